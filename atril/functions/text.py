@@ -261,6 +261,29 @@ def strip_reasoning(text: Column) -> Column:
     return strip(F.regexp_replace(text, "(?is)<think>.*?</think>", ""))
 
 
+# The Unicode property Extended_Pictographic as code point ranges (the JVM's
+# regular expressions know the property by name only from Java 21 on).
+PICTOGRAPHIC = (
+    "A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB "
+    "25B6 25C0 25FB-25FE 2600-2604 260E 2611 2614-2615 2618 261D 2620 2622-2623 2626 262A 262E-262F "
+    "2638-263A 2640 2642 2648-2653 265F-2660 2663 2665-2666 2668 267B 267E-267F 2692-2697 2699 269B-269C "
+    "26A0-26A1 26A7 26AA-26AB 26B0-26B1 26BD-26BE 26C4-26C5 26C8 26CE-26CF 26D1 26D3-26D4 26E9-26EA "
+    "26F0-26F5 26F7-26FA 26FD 2702 2705 2708-270D 270F 2712 2714 2716 271D 2721 2728 2733-2734 2744 2747 "
+    "274C 274E 2753-2755 2757 2763-2764 2795-2797 27A1 27B0 27BF 2934-2935 2B05-2B07 2B1B-2B1C 2B50 2B55 "
+    "3030 303D 3297 3299 1F004 1F02C-1F02F 1F094-1F09F 1F0AF-1F0B0 1F0C0 1F0CF-1F0D0 1F0F6-1F0FF "
+    "1F170-1F171 1F17E-1F17F 1F18E 1F191-1F19A 1F1AF-1F1E5 1F201-1F20F 1F21A 1F22F 1F232-1F23A "
+    "1F23C-1F23F 1F249-1F25F 1F266-1F321 1F324-1F393 1F396-1F397 1F399-1F39B 1F39E-1F3F0 1F3F3-1F3F5 "
+    "1F3F7-1F3FA 1F400-1F4FD 1F4FF-1F53D 1F549-1F54E 1F550-1F567 1F56F-1F570 1F573-1F57A 1F587 "
+    "1F58A-1F58D 1F590 1F595-1F596 1F5A4-1F5A5 1F5A8 1F5B1-1F5B2 1F5BC 1F5C2-1F5C4 1F5D1-1F5D3 "
+    "1F5DC-1F5DE 1F5E1 1F5E3 1F5E8 1F5EF 1F5F3 1F5FA-1F64F 1F680-1F6C5 1F6CB-1F6D2 1F6D5-1F6E5 1F6E9 "
+    "1F6EB-1F6F0 1F6F3-1F6FF 1F7DC-1F7F0 1F80C-1F80F 1F848-1F84F 1F85A-1F85F 1F888-1F88F 1F8AE-1F8AF "
+    "1F8BC-1F8BF 1F8C2-1F8CF 1F8D9-1F8FF 1F90C-1F93A 1F93C-1F945 1F947-1F9FF 1FA58-1FA5F 1FA6E-1FAFF "
+    "1FC00-1FFFD "
+).split()
+PICTOGRAPHIC_CLASS = "[" + "".join(
+    "-".join(f"\\x{{{end}}}" for end in r.split("-")) for r in PICTOGRAPHIC
+) + "]"
+
 # Markup rules in the order they apply, as (pattern, replacement).
 MARKDOWN_RULES = [
     ("```[\\s\\S]*?```", " "),
@@ -278,7 +301,7 @@ MARKDOWN_RULES = [
     ("(?m)^\\s*\\d+[.)]\\s+", ""),
     ("\\|", " "),
     ("[#*_~`]", ""),
-    ("\\p{IsExtended_Pictographic}", ""),
+    (PICTOGRAPHIC_CLASS, ""),
     ("[\\x{FE0F}\\x{200D}\\x{20E3}]", ""),
     ("[ \\t]+", " "),
     ("\\n{2,}", "\n"),
@@ -287,7 +310,10 @@ MARKDOWN_RULES = [
 
 def strip_markdown(text: Column) -> Column:
     for pattern, replacement in MARKDOWN_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
+        done = F.regexp_replace(text, pattern, replacement)
+        if pattern == PICTOGRAPHIC_CLASS:  # a two-range test spares most rows the long class
+            done = F.when(text.rlike("[\\x{A9}\\x{AE}\\x{203C}-\\x{10FFFF}]"), done).otherwise(text)
+        text = done
     return strip(text)
 
 
@@ -325,7 +351,7 @@ def excerpt(text: Column, chars: int) -> Column:
 
 
 def client_key(forwarded: Column, peer: Column, trusted_hops: int = 1) -> Column:
-    hops = F.filter(F.transform(F.split(forwarded, ","), F.trim), lambda p: p != "")
+    hops = F.filter(F.transform(F.split(forwarded, ","), lambda p: F.trim(p)), lambda p: p != "")
     n = F.size(hops)
     return F.coalesce(
         F.when(n > 0, F.try_element_at(hops, (F.greatest(n - trusted_hops, F.lit(0)) + 1).cast("int"))),

@@ -37,26 +37,40 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 
 
 _SRC, _DST, _MULTI = _folding()
-_MULTI_CLASS = "[" + "".join("\\x{%X}" % ord(c) for c in _MULTI) + "]"
-_COMBINING = "[" + "".join(
-    "\\x{%X}" % cp for cp in range(0x300, 0x10000) if unicodedata.combining(chr(cp))
-) + "]"
+
+
+def _char_class(code_points: list[int]) -> str:
+    ranges: list[list[int]] = []
+    for cp in sorted(code_points):
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+_MULTI_CLASS = _char_class([ord(c) for c in _MULTI])
+_COMBINING = _char_class([cp for cp in range(0x300, 0x10000) if unicodedata.combining(chr(cp))])
+# One-range tests that spare almost every row the long classes above.
+_BEYOND_LATIN = "[\\x{300}-\\x{10FFFF}]"
+_MAYBE_MULTI = "[\\x{BC}-\\x{BE}\\x{132}-\\x{10FFFF}]"
 
 
 def fold(text: Column, wide: bool = False) -> Column:
     """Lower case, compatibility-decompose, drop combining marks.
 
     `wide=True` also expands the rare characters that decompose to several
-    (ligatures, fractions); the test for them is one extra regex per row.
+    (ligatures, fractions).
     """
-    base = F.regexp_replace(F.translate(F.lower(text), _SRC, _DST), _COMBINING, "")
+    base = F.translate(F.lower(text), _SRC, _DST)
+    base = F.when(base.rlike(_BEYOND_LATIN), F.regexp_replace(base, _COMBINING, "")).otherwise(base)
     if not wide:
         return base
     table = F.create_map(*[F.lit(x) for kv in _MULTI.items() for x in kv])
     spelled = F.array_join(
         F.transform(F.split(base, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
     )
-    return F.when(base.rlike(_MULTI_CLASS), spelled).otherwise(base)
+    return F.when(base.rlike(_MAYBE_MULTI) & base.rlike(_MULTI_CLASS), spelled).otherwise(base)
 
 
 # Characters that NFKC leaves alone whatever surrounds them: ASCII and the Latin letters.

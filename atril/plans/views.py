@@ -77,7 +77,7 @@ VIEWS: dict[str, str] = {
                CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status
         FROM {orders}""",
     "requests": """
-        SELECT event_id AS request_id, event_type AS provider, ts, CAST(value * 200 AS BIGINT) AS prompt_chars,
+        SELECT event_id AS request_id, event_type AS provider, ts, CAST(floor(value * 200) AS BIGINT) AS prompt_chars,
                CAST(user_id % 5 * 100 AS BIGINT) AS max_tokens, user_id FROM {events}""",
     "faculties": """
         SELECT n_nationkey AS faculty_id, n_name AS faculty FROM {nation}""",
