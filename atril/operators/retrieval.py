@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from atril import settings as S
 from atril.functions import text as tx
@@ -130,7 +131,8 @@ def _scan_block(block: DataFrame, chunks: DataFrame, k: int, threshold: float, m
                 vectors = _matrix(b.column("embedding"))
                 if vectors.shape[1] == dim:
                     data = b.select(["chunk_id", *used]).to_pandas()
-                    yield data["chunk_id"].to_numpy(), data, vectors
+                    ids = data["chunk_id"].to_numpy()
+                    yield ids.astype(str) if ids.dtype == object else ids, data, vectors
 
     def topk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = payload.value
@@ -144,12 +146,13 @@ def _scan_block(block: DataFrame, chunks: DataFrame, k: int, threshold: float, m
                 mask = allowed(data, q, local["filters"])
                 row = scores[q] if mask is None else np.where(mask, scores[q], -np.inf)
                 state.offer(ids, row)
-        for qid, state in zip(local["ids"], best):
-            if len(state.ids):
-                yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame({"query_id": qid, "chunk_id": state.ids, "raw": state.scores}),
-                    preserve_index=False,
-                )
+        found = [(qid, state) for qid, state in zip(local["ids"], best) if len(state.ids)]
+        if found:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({
+                "query_id": np.repeat([qid for qid, _ in found], [len(st.ids) for _, st in found]),
+                "chunk_id": np.concatenate([st.ids for _, st in found]),
+                "raw": np.concatenate([st.scores for _, st in found]),
+            }), schema=arrow_schema, preserve_index=False)
 
     def summary(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = payload.value
@@ -166,15 +169,17 @@ def _scan_block(block: DataFrame, chunks: DataFrame, k: int, threshold: float, m
         seen = n > 0
         yield pa.RecordBatch.from_pandas(pd.DataFrame({
             "query_id": [q for q, s in zip(local["ids"], seen) if s], "n": n[seen], "best": best[seen]
-        }), preserve_index=False)
+        }), schema=arrow_schema, preserve_index=False)
 
     source = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *used)
     if mode == "summary":
         schema = T.StructType([T.StructField("query_id", ids_type), T.StructField("n", T.LongType()),
                                T.StructField("best", T.DoubleType())])
+        arrow_schema = to_arrow_schema(schema)
         return source.mapInArrow(summary, schema)
     schema = T.StructType([T.StructField("query_id", ids_type), chunks.schema["chunk_id"],
                            T.StructField("raw", T.DoubleType())])
+    arrow_schema = to_arrow_schema(schema)
     return source.mapInArrow(topk, schema)
 
 

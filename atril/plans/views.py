@@ -55,7 +55,7 @@ VIEWS: dict[str, str] = {
                @MIN(c.conv_id * 400)@ AS created_at, @MIN(c.conv_id * 400 + 3 * c.last_turn)@ AS updated_at
         FROM (SELECT conv_id, max(turn) AS last_turn FROM {conversations} GROUP BY conv_id) c""",
     "questions": """
-        SELECT conv_id * 1000 + turn AS question_id,
+        SELECT conv_id * 1000 + turn AS question_id, conv_id, turn,
                CASE (conv_id + turn) % 12
                     WHEN 0 THEN 'Hola, buenas' WHEN 1 THEN '¿Cuáles son las materias del SEMESTRE III de src3? ' || text
                     WHEN 2 THEN 'gracias ' || text WHEN 3 THEN 'Requisitos de admisión: ' || text
@@ -66,6 +66,54 @@ VIEWS: dict[str, str] = {
                     WHEN 10 THEN 'DesarrolloSoftware_e_IngSistemas ' || text
                     ELSE 'duración del plan de estudios src' || CAST(conv_id % 7 AS @STR@) || ' ' || text END AS question
         FROM {conversations} WHERE role = 'user'""",
+    "retrieved": """
+        SELECT x.question_id AS query_id, x.question AS query_text, x.r + 1 AS rank,
+               round(CAST(0.62 AS DOUBLE) - CAST(0.04 AS DOUBLE) * x.r - CAST(x.question_id % 7 AS DOUBLE) / 20, 4) AS score,
+               d.doc_id AS chunk_id, d.source AS document_title,
+               CASE WHEN d.doc_id % 9 = 0 THEN '' ELSE d.source END AS program, d.lang AS faculty, d.text AS content
+        FROM (SELECT question_id, question, conv_id * 8 + turn AS doc_id, 0 AS r FROM {questions}
+              UNION ALL SELECT question_id, question, conv_id * 8 + turn + 7, 1 FROM {questions}
+              UNION ALL SELECT question_id, question, conv_id * 8 + turn + 14, 2 FROM {questions}
+              UNION ALL SELECT question_id, question, conv_id * 8 + turn + 21, 3 FROM {questions}
+              UNION ALL SELECT question_id, question, conv_id * 8 + turn + 28, 4 FROM {questions}) x
+        JOIN {documents} d ON d.doc_id = x.doc_id""",
+    "alias_chunks": """
+        SELECT d.doc_id AS chunk_id, d.doc_id AS document_id,
+               CASE d.doc_id % 10 WHEN 3 THEN d.text || '. PRIMER ciclo de formación : Plan ' || d.source || ' (I a VI)'
+                    WHEN 4 THEN 'Primer ciclo de formacion: Redes ' || d.lang || ' — 97' || d.text ELSE d.text END AS content
+        FROM {documents} d""",
+    "cache_entries": """
+        SELECT e.vec_id AS entry_id, e.embedding AS embedding,
+               CASE e.vec_id % 3 WHEN 0 THEN 'materias del segundo semestre ' || d.text WHEN 1 THEN 'misión' ELSE d.text END AS question,
+               'respuesta ' || d.text AS answer, e.label AS llm_model, d.source AS program,
+               CASE WHEN e.vec_id % 4 = 0 THEN '' ELSE 'Facultad Central ' || d.lang END AS faculty,
+               CASE WHEN e.vec_id % 5 = 0 THEN 'otro' ELSE d.source END AS other_program,
+               'Estatuto_General' AS title, @MIN(e.vec_id * 80)@ AS ts
+        FROM {embeddings} e JOIN {documents} d ON d.doc_id = e.vec_id""",
+    "cache_queries": """
+        SELECT b.item_id AS query_id, e.embedding AS query_embedding,
+               CASE b.item_id % 5 WHEN 0 THEN 'créditos semestre 2 de src' || CAST(b.item_id % 20 AS @STR@) || ' facultad'
+                    WHEN 1 THEN 'tercer semestre facultad src' || CAST(b.item_id % 20 AS @STR@)
+                    WHEN 2 THEN '' WHEN 3 THEN b.text ELSE 'facultad central src' || CAST(b.item_id % 20 AS @STR@) END AS query_text
+        FROM {benchmark} b JOIN {embeddings} e ON e.vec_id = b.item_id""",
+    "attempts": """
+        SELECT conv_id AS turn_id, turn + 1 AS attempt,
+               CASE WHEN (conv_id + turn) % 9 = 0 THEN 'No tengo esa información disponible en mi base de conocimientos.' ELSE text END AS draft,
+               CASE (conv_id + turn) % 5 WHEN 0 THEN 'falta una fuente' || chr(10) || 'no' WHEN 1 THEN 'NO' WHEN 2 THEN 'bien' || chr(10) || 'SI'
+                    WHEN 3 THEN 'dato inventado' || chr(10) || ' otro ' || chr(10) || 'NO.' END AS grader_output
+        FROM {conversations}""",
+    "gold": """
+        SELECT question_id AS query_id,
+               CASE question_id % 4 WHEN 0 THEN 'fuera de alcance' WHEN 1 THEN 'depende de carga' ELSE 'dentro de alcance' END AS query_type,
+               'src' || CAST((conv_id * 8 + turn) % 20 AS @STR@) AS ref1, 'src' || CAST(turn AS @STR@) || '_plan' AS ref2
+        FROM {questions}""",
+    "generated": """
+        SELECT q.question_id AS query_id, 'p' || CAST(q.conv_id % 3 AS @STR@) AS provider, 'm1' AS model,
+               CASE WHEN q.question_id % 11 <> 0 THEN q.question || CASE q.question_id % 7 WHEN 0 THEN ' Tu pregunta puede aplicar a varios'
+                    WHEN 1 THEN ' No tengo esa información disponible en mi base de conocimientos' ELSE '' END END AS answer,
+               CAST(length(q.question) AS BIGINT) AS generation_ms, CASE WHEN q.question_id % 11 = 0 THEN 'timeout' END AS error,
+               CASE q.question_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS judged
+        FROM {questions} q""",
     "members": """
         SELECT c_custkey AS user_id,
                CASE c_mktsegment WHEN 'MACHINERY' THEN 'admin' WHEN 'BUILDING' THEN 'guest' ELSE 'user' END AS role,
