@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from atril import settings as S
-from atril.functions.unicode import fold, nfkc
+from atril.functions.unicode import fold, let, nfkc
 
 # --- fixed values: word lists, tables and patterns that results depend on -------------------
 
@@ -80,7 +80,7 @@ def normalize_for_match(text: Column) -> Column:
 
 
 def alnum_words(text: Column) -> Column:
-    return F.regexp_extract_all(fold(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(fold(text, wide=True), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def significant_words(text: Column) -> Column:
@@ -92,11 +92,11 @@ def significant_words(text: Column) -> Column:
 
 
 def words_mention(query_words: Column, entity_words: Column, min_overlap: float = S.ENTITY_OVERLAP) -> Column:
-    shared = F.size(F.array_intersect(query_words, entity_words))
-    return F.coalesce(
-        (F.size(entity_words) > 0) & (shared / F.greatest(F.size(entity_words), F.lit(1)) >= min_overlap),
-        F.lit(False),
-    )
+    def enough(words: Column) -> Column:
+        shared = F.size(F.array_intersect(query_words, words))
+        return (F.size(words) > 0) & (shared / F.greatest(F.size(words), F.lit(1)) >= min_overlap)
+
+    return F.coalesce(let(entity_words, enough), F.lit(False))
 
 
 def mentions_entity(query: Column, entity: Column, min_overlap: float = S.ENTITY_OVERLAP) -> Column:
@@ -134,8 +134,8 @@ def word_set(text: Column) -> Column:
 
 
 def overlap_share(query_words: Column, text_words: Column) -> Column:
-    n = F.size(query_words)
-    return F.when(n > 0, F.size(F.array_intersect(query_words, text_words)) / n).otherwise(F.lit(0.0))
+    return let(query_words, lambda q: F.when(
+        F.size(q) > 0, F.size(F.array_intersect(q, text_words)) / F.size(q)).otherwise(F.lit(0.0)))
 
 
 def keyword_score(query: Column, text: Column) -> Column:
@@ -143,24 +143,22 @@ def keyword_score(query: Column, text: Column) -> Column:
 
 
 def semester_reference(text: Column) -> Column:
-    words = alnum_words(text)
-    first_ordinal = F.try_element_at(
-        F.filter(F.transform(words, lambda w: F.try_element_at(_map(ORDINALS), w)), lambda v: v.isNotNull()),
-        F.lit(1),
-    )
     values = {**CARDINALS, **ROMAN}
 
-    def number_after(word, i):
-        following = F.try_element_at(words, i + 2)
-        return F.when(
-            word == "semestre",
-            F.when(following.rlike("^[0-9]+$"), following).otherwise(
-                F.try_element_at(_map(values), following)
-            ),
-        )
+    def find(words: Column) -> Column:
+        ordinal = F.filter(
+            F.transform(words, lambda w: F.try_element_at(_map(ORDINALS), w)), lambda v: v.isNotNull())
 
-    numbered = F.filter(F.transform(words, number_after), lambda v: v.isNotNull())
-    return F.coalesce(first_ordinal, F.try_element_at(numbered, F.lit(1)))
+        def number_after(word, i):
+            following = F.try_element_at(words, i + 2)
+            return F.when(
+                word == "semestre",
+                F.when(following.rlike("^[0-9]+$"), following).otherwise(F.try_element_at(_map(values), following)))
+
+        numbered = F.filter(F.transform(words, number_after), lambda v: v.isNotNull())
+        return F.coalesce(F.try_element_at(ordinal, F.lit(1)), F.try_element_at(numbered, F.lit(1)))
+
+    return let(alnum_words(text), find)
 
 
 def head_words(text: Column, chars: int = S.NEAR_DUP_HEAD_CHARS) -> Column:
@@ -168,9 +166,11 @@ def head_words(text: Column, chars: int = S.NEAR_DUP_HEAD_CHARS) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b) - shared
-    return F.when(total > 0, shared / total).otherwise(F.lit(0.0))
+    def share(shared: Column) -> Column:
+        total = F.size(a) + F.size(b) - shared
+        return F.when(total > 0, shared / total).otherwise(F.lit(0.0))
+
+    return let(F.size(F.array_intersect(a, b)), share)
 
 
 def head_jaccard(a: Column, b: Column) -> Column:
@@ -235,14 +235,15 @@ def _verdict_lines(output: Column) -> Column:
 
 
 def verdict(output: Column) -> Column:
-    lines = _verdict_lines(output)
-    last = F.upper(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")))
-    reason = truthy(F.array_join(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), " "))
-    return F.when(output.isNotNull(), F.struct(
-        last.startswith("NO").alias("rejected"),
-        (last.startswith("SI") | last.startswith("SÍ")).alias("hallucinated"),
-        reason.alias("reason"),
-    ))
+    def read(lines: Column) -> Column:
+        last = F.upper(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")))
+        reason = F.array_join(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), " ")
+        return F.struct(
+            last.startswith("NO").alias("rejected"),
+            (last.startswith("SI") | last.startswith("SÍ")).alias("hallucinated"),
+            F.nullif(reason, F.lit("")).alias("reason"))
+
+    return F.when(output.isNotNull(), let(_verdict_lines(output), read))
 
 
 def narrow_context(context: Column, answer: Column, max_chars: int = S.GRADING_CONTEXT_CHARS) -> Column:
@@ -361,8 +362,7 @@ def client_key(forwarded: Column, peer: Column, trusted_hops: int = 1) -> Column
 
 
 def file_type(name: Column) -> Column:
-    ext = F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1))
-    return F.try_element_at(_map(EXTENSIONS), ext)
+    return F.try_element_at(_map(EXTENSIONS), F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1)))
 
 
 SOURCES_TYPE = (

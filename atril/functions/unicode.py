@@ -14,6 +14,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once, however often the body names it.
+
+    Expression trees copy what they name, so without this a long chain of functions
+    over a chain grows exponentially.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _HANGUL = range(0xAC00, 0xD7A4)
 
 
@@ -49,6 +60,7 @@ def _char_class(code_points: list[int]) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
+_MULTI_TEXT = "\u0001".join(f"{k}\u0002{v}" for k, v in _MULTI.items())
 _MULTI_CLASS = _char_class([ord(c) for c in _MULTI])
 _COMBINING = _char_class([cp for cp in range(0x300, 0x10000) if unicodedata.combining(chr(cp))])
 # One-range tests that spare almost every row the long classes above.
@@ -62,15 +74,18 @@ def fold(text: Column, wide: bool = False) -> Column:
     `wide=True` also expands the rare characters that decompose to several
     (ligatures, fractions).
     """
-    base = F.translate(F.lower(text), _SRC, _DST)
-    base = F.when(base.rlike(_BEYOND_LATIN), F.regexp_replace(base, _COMBINING, "")).otherwise(base)
+    base = let(
+        F.translate(F.lower(text), _SRC, _DST),
+        lambda b: F.when(b.rlike(_BEYOND_LATIN), F.regexp_replace(b, _COMBINING, "")).otherwise(b))
     if not wide:
         return base
-    table = F.create_map(*[F.lit(x) for kv in _MULTI.items() for x in kv])
-    spelled = F.array_join(
-        F.transform(F.split(base, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
-    )
-    return F.when(base.rlike(_MAYBE_MULTI) & base.rlike(_MULTI_CLASS), spelled).otherwise(base)
+
+    def spelled(b: Column) -> Column:
+        # one literal that folds to a map, instead of a node per entry
+        table = F.str_to_map(F.lit(_MULTI_TEXT), F.lit("\u0001"), F.lit("\u0002"))
+        return F.array_join(F.transform(F.split(b, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+    return let(base, lambda b: F.when(b.rlike(_MAYBE_MULTI) & b.rlike(_MULTI_CLASS), spelled(b)).otherwise(b))
 
 
 # Characters that NFKC leaves alone whatever surrounds them: ASCII and the Latin letters.

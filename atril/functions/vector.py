@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,22 +26,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(scale > 0, dot(a, b) / scale).otherwise(F.lit(0.0))
 
 
-def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """Deterministic offline embedder: signed token hashing, length-normalised.
-
-    Each distinct word of the text adds +1 or -1 to one of `dim` slots; slot and
-    sign come from the word's md5, so any engine can repeat the numbers.
-    """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)))
-    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"))
-    slots = F.transform(
-        hashed, lambda h: F.struct((h % dim).alias("slot"), F.when((h / dim).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-    )
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.aggregate(
-            slots, F.lit(0.0), lambda acc, s: acc + F.when(s.slot == i, s.sign).otherwise(0.0)
-        ),
-    )
-    length = norm(raw)
-    return F.transform(raw, lambda v: F.when(length > 0, v / length).otherwise(F.lit(0.0)).cast("float"))
+@lru_cache(maxsize=200_000)
+def _slot(word: str, dim: int) -> tuple[int, float]:
+    h = int(hashlib.md5(word.encode()).hexdigest()[:6], 16)
+    return h % dim, 1.0 if (h // dim) % 2 == 0 else -1.0
+
+
+def hashed_embedder(texts: list[str], dim: int = 64) -> list[np.ndarray]:
+    """Deterministic offline stand-in for an embedding model: every distinct word adds
+    +1 or -1 to one of `dim` slots (both from its md5); the sum is length-normalised."""
+    out = []
+    for text in texts:
+        v = np.zeros(dim)
+        for word in set(re.findall(r"\w+", (text or "").lower())):
+            slot, sign = _slot(word, dim)
+            v[slot] += sign
+        length = np.sqrt((v * v).sum())
+        out.append((v / length if length else v).astype(np.float32))
+    return out

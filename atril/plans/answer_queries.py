@@ -38,7 +38,7 @@ CODES = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]*\p{{N}
 @query("judge_answers_lexical", f"""SELECT answer_id, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS grounded_share,
     CASE WHEN len(a) = 0 THEN false ELSE len(list_intersect(a, b))::DOUBLE / len(a) < 0.5 END AS hallucinated
     FROM (SELECT a.answer_id, {CODES.format('a.answer')} AS a, {CODES.format("substr(d.text || ' [1] 3 ', 1, 20480)")} AS b
-          FROM answers a JOIN documents d ON d.doc_id = a.answer_id % 1000)""")
+          FROM answers a JOIN documents d ON d.doc_id = a.answer_id % 1000)""", rounded=('grounded_share',))
 def _(v):
     d = v["documents"].select(C("doc_id"), F.concat(C("text"), F.lit(" [1] 3 ")).alias("context"))
     rows = v["answers"].withColumn("doc_id", C("answer_id") % 1000).join(d, "doc_id")

@@ -45,14 +45,14 @@ def _(v):
     return E.expected_document_match(gold(v), v["retrieved"]).withColumn("rank", C("rank").cast("long"))
 
 
-@query("score_retrieval", SCORED + " SELECT * FROM cases")
+@query("score_retrieval", SCORED + " SELECT * FROM cases", rounded=('precision_at_k', 'recall_at_k', 'reciprocal_rank'))
 def _(v):
     return E.score_retrieval(gold(v), v["retrieved"], 5)
 
 
 @query("retrieval_summary", SCORED + """ SELECT CAST(5 AS BIGINT) AS k, CAST(count(precision_at_k) AS BIGINT) AS scored_cases, avg(precision_at_k) AS mean_precision_at_k,
     avg(recall_at_k) AS mean_recall_at_k, avg(reciprocal_rank) AS mrr, avg(CASE WHEN recall_at_k IS NOT NULL THEN CAST(recall_at_k > 0 AS INTEGER) END)::DOUBLE AS hit_rate,
-    avg(CASE WHEN query_id % 11 <> 0 THEN query_id % 500 END)::DOUBLE AS avg_retrieval_ms, CAST(count(*) FILTER (WHERE query_id % 11 = 0) AS BIGINT) AS error_cases FROM cases""")
+    avg(CASE WHEN query_id % 11 <> 0 THEN query_id % 500 END)::DOUBLE AS avg_retrieval_ms, CAST(count(*) FILTER (WHERE query_id % 11 = 0) AS BIGINT) AS error_cases FROM cases""", rounded=('mean_precision_at_k', 'mean_recall_at_k', 'mrr', 'hit_rate', 'avg_retrieval_ms'))
 def _(v):
     cases = E.score_retrieval(gold(v), v["retrieved"], 5).withColumns({
         "retrieval_ms": C("query_id") % 500, "error": F.when(C("query_id") % 11 == 0, "timeout")})
@@ -83,7 +83,7 @@ def _(v):
     CAST(count(hallucinated) AS BIGINT) AS judged_cases,
     count(*) FILTER (WHERE expected_refusal AND refusal_ok AND error IS NULL)::DOUBLE / count(*) FILTER (WHERE expected_refusal AND error IS NULL) AS safe_rejection_rate,
     CAST(count(*) FILTER (WHERE expected_refusal AND error IS NULL) AS BIGINT) AS refusal_cases,
-    avg(generation_ms) FILTER (WHERE error IS NULL) AS avg_generation_ms, CAST(count(error) AS BIGINT) AS error_cases FROM cases GROUP BY 1, 2""")
+    avg(generation_ms) FILTER (WHERE error IS NULL) AS avg_generation_ms, CAST(count(error) AS BIGINT) AS error_cases FROM cases GROUP BY 1, 2""", rounded=('hallucination_rate', 'safe_rejection_rate', 'avg_generation_ms'))
 def _(v):
     return E.generation_summary(generation_cases(v))
 
@@ -104,7 +104,7 @@ def stale_cases(v):
     CAST(count(*) FILTER (WHERE NOT expected_refusal AND refused) AS BIGINT) AS unexpected_refusal,
     CAST(count(*) FILTER (WHERE NOT expected_refusal AND clarification) AS BIGINT) AS clarification_triggered,
     CAST(count(*) FILTER (WHERE NOT expected_refusal AND NOT refused AND NOT clarification AND hallucinated IS NULL) AS BIGINT) AS judge_failed
-    FROM stale GROUP BY 1, 2""")
+    FROM stale GROUP BY 1, 2""", rounded=('hallucination_rate', 'safe_rejection_rate'))
 def _(v):
     return E.generation_stats_recomputed(stale_cases(v))
 
@@ -152,6 +152,6 @@ def _(v):
 
 @query("suite_summary", GRADED + """ SELECT CAST(count(*) FILTER (WHERE retrieval_ok AND answer_ok AND skip_ok) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total,
     avg(retrieval_ms) AS avg_retrieval_ms, avg(generation_ms) AS avg_generation_ms, CAST(count(*) FILTER (WHERE retrieval_ok) AS BIGINT) AS retrieval_passed,
-    CAST(count(*) FILTER (WHERE answer_ok) AS BIGINT) AS answer_passed, CAST(count(*) FILTER (WHERE skip_ok) AS BIGINT) AS skip_passed FROM graded""")
+    CAST(count(*) FILTER (WHERE answer_ok) AS BIGINT) AS answer_passed, CAST(count(*) FILTER (WHERE skip_ok) AS BIGINT) AS skip_passed FROM graded""", rounded=('avg_retrieval_ms', 'avg_generation_ms'))
 def _(v):
     return E.suite_summary(graded(v))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "atril", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,3 +29,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a scratch folder only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     return named or tempfile.mkdtemp(prefix="atril-checkpoint-")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: later steps start from
+    the stored rows, also after executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
