@@ -107,11 +107,12 @@ def embed_texts(
     unique = keyed.where(F.col(column).isNotNull()).groupBy("_key").agg(
         F.any_value(column).alias("_text"), F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    hot_keys = unique.where(F.col("_n") > total / 200).select("_key")
-    vectors = unique.select("_key", embedded("_text").alias(out))
-    hot_vectors = vectors.join(F.broadcast(hot_keys), "_key", "left_semi")
+    is_hot = F.col("_n") > total / 200
+    hot_keys = unique.where(is_hot).select("_key")
+    hot_vectors = unique.where(is_hot).select("_key", embedded("_text").alias(out))
+    cold_vectors = unique.where(~is_hot).select("_key", embedded("_text").alias(out))
     hot = keyed.join(F.broadcast(hot_vectors), "_key")
-    cold = keyed.join(F.broadcast(hot_keys), "_key", "left_anti").join(vectors, "_key", "left")
+    cold = keyed.join(F.broadcast(hot_keys), "_key", "left_anti").join(cold_vectors, "_key", "left")
     return hot.unionByName(cold).drop("_key")
 
 

@@ -114,6 +114,32 @@ VIEWS: dict[str, str] = {
                CAST(length(q.question) AS BIGINT) AS generation_ms, CASE WHEN q.question_id % 11 = 0 THEN 'timeout' END AS error,
                CASE q.question_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS judged
         FROM {questions} q""",
+    "grid_cells": """
+        WITH g AS (SELECT l_orderkey AS file, l_partkey, l_quantity, l_returnflag, l_discount, l_suppkey, CAST(1 + row_number() OVER (
+                     PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS row FROM {lineitem}),
+             o AS (SELECT DISTINCT l_orderkey AS file FROM {lineitem})
+        SELECT file, 'malla' AS sheet, row, CAST(1 AS BIGINT) AS col, 'AREA ' || l_returnflag AS value, 'text' AS kind FROM g WHERE row % 2 = 0
+        UNION ALL SELECT file, 'malla', row, 2, CASE WHEN row = 3 THEN 'COMPONENTE' ELSE CAST(row AS @STR@) END, CASE WHEN row = 3 THEN 'text' ELSE 'number' END FROM g
+        UNION ALL SELECT file, 'malla', row, 3, 'C' || CAST(l_partkey AS @STR@), 'text' FROM g WHERE l_suppkey % 3 <> 0
+        UNION ALL SELECT file, 'malla', row, 4, CAST(CAST(l_quantity AS BIGINT) AS @STR@), 'number' FROM g
+        UNION ALL SELECT file, 'malla', row, 5, CASE WHEN l_suppkey % 2 = 0 THEN 'T' ELSE '' END, 'text' FROM g
+        UNION ALL SELECT file, 'malla', row, 6, CAST(l_suppkey % 5 + 1 AS @STR@), 'number' FROM g
+        UNION ALL SELECT file, 'malla', row, 7, CASE WHEN l_discount > 0.05 THEN 'CR' ELSE 'HP' END, 'text' FROM g
+        UNION ALL SELECT file, 'malla', row, 8, CAST(l_partkey % 4 AS @STR@), 'number' FROM g
+        UNION ALL SELECT file, 'malla', row, 9, CASE WHEN row = 4 THEN '0.5' ELSE '7' END, 'number' FROM g
+        UNION ALL SELECT file, 'malla', 1, 3, 'I', 'text' FROM o
+        UNION ALL SELECT file, 'malla', 1, 7, 'II', 'text' FROM o
+        UNION ALL SELECT file, 'malla', 100, 2, CASE WHEN file % 2 = 0 THEN 'Total créditos' ELSE 'Requisitos de grado' END, 'text' FROM o
+        UNION ALL SELECT file, 'malla', 100, 4, '12', 'number' FROM o
+        UNION ALL SELECT file, 'malla', 101, 1, 'Convenciones', 'text' FROM o
+        UNION ALL SELECT file, 'malla', 101, 3, 'Ética', 'text' FROM o
+        UNION ALL SELECT file, 'malla', 102, 4, 'Electiva', 'text' FROM o
+        UNION ALL SELECT file, 'malla', 102, 8, '5', 'number' FROM o""",
+    "page_spans": """
+        SELECT o_custkey AS file, o_orderkey % 3 AS page, o_orderkey AS seq, o_totalprice / 1000 AS x,
+               CAST(o_custkey % 7 + o_orderkey % 29 AS DOUBLE) AS y,
+               CASE o_orderkey % 6 WHEN 0 THEN '  ' WHEN 1 THEN '•' WHEN 2 THEN 'ñ' ELSE ' ' || o_orderpriority END AS text
+        FROM {orders}""",
     "members": """
         SELECT c_custkey AS user_id,
                CASE c_mktsegment WHEN 'MACHINERY' THEN 'admin' WHEN 'BUILDING' THEN 'guest' ELSE 'user' END AS role,
