@@ -95,7 +95,7 @@ def main() -> int:
     registry.load()
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
