@@ -182,19 +182,22 @@ def is_subset(a: Column, b: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    t = nfkc(text)
-    t = F.regexp_replace(t, "[ \\t]+", " ")
-    t = F.regexp_replace(t, "\\n{3,}", "\n\n")
+    """F2.  Rare marks are looked for by plain substring search before a regex runs."""
+    def where(t: Column, hint: Column, pattern: str, to: str) -> Column:
+        return F.when(hint, F.regexp_replace(t, pattern, to)).otherwise(t)
+
+    t = F.regexp_replace(nfkc(text), "\\t[ \\t]*| [ \\t]+", " ")  # single spaces are left alone, not rewritten
+    t = let(t, lambda x: where(x, x.contains("\n\n\n"), "\\n{3,}", "\n\n"))
     t = F.regexp_replace(t, "(?U)\\n\\s*\\d+\\s*\\n", "\n")
-    t = F.regexp_replace(t, "(?iuU)Página\\s+\\d+\\s+de\\s+\\d+", "")
-    t = F.regexp_replace(t, "_{3,}", "")
-    t = F.regexp_replace(t, "-{3,}", "")
+    t = let(t, lambda x: where(x, F.lower(x).contains("gina"), "(?iuU)Página\\s+\\d+\\s+de\\s+\\d+", ""))
+    t = let(t, lambda x: where(x, x.contains("___"), "_{3,}", ""))
+    t = let(t, lambda x: where(x, x.contains("---"), "-{3,}", ""))
     return strip(F.array_join(F.transform(F.split(t, "\n"), strip), "\n"))
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, "(?U)\\A\\s+|\\s+\\z", "")
+    return F.regexp_extract(text, "(?sU)\\A\\s*(.*\\S)?\\s*\\z", 1)
 
 
 def content_hash(data: Column) -> Column:

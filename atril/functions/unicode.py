@@ -100,5 +100,5 @@ def _nfkc(values: pd.Series) -> pd.Series:
 def nfkc(text: Column) -> Column:
     """NFKC.  Only rows with a character outside the safe Latin set carry data to
     the Arrow function; for all others the argument is NULL and costs nothing."""
-    needs = text.rlike(_NFKC_SAFE)
+    needs = (F.octet_length(text) != F.char_length(text)) & text.rlike(_NFKC_SAFE)
     return F.coalesce(_nfkc(F.when(needs, text)), text)

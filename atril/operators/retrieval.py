@@ -183,11 +183,13 @@ def _scan_block(block: DataFrame, chunks: DataFrame, k: int, threshold: float, m
     return source.mapInArrow(topk, schema)
 
 
-def _vector_pass(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, mode: str) -> DataFrame | None:
+def _vector_pass(
+    queries: DataFrame, chunks: DataFrame, k: int, threshold: float, mode: str, bounded: bool = False
+) -> DataFrame | None:
     q = _with_filters(queries).where(F.col("query_embedding").isNotNull())
-    width = F.size("query_embedding") * 8
+    blocks = [q] if bounded else scale.query_blocks(q, "query_id", width=F.size("query_embedding") * 8)
     frames = [
-        f for b in scale.query_blocks(q, "query_id", width=width)
+        f for b in blocks
         if (f := _scan_block(b, chunks, k, threshold, mode)) is not None
     ]
     return scale.union_all(frames) if frames else None
@@ -195,7 +197,7 @@ def _vector_pass(queries: DataFrame, chunks: DataFrame, k: int, threshold: float
 
 def vector_topk(
     queries: DataFrame, chunks: DataFrame, k: int = S.TOP_K * S.CANDIDATE_MULTIPLIER,
-    threshold: float = S.SCORE_THRESHOLD,
+    threshold: float = S.SCORE_THRESHOLD, bounded: bool = False,
 ) -> DataFrame:
     """K1: the k nearest chunks of every query by exact cosine, those >= threshold.
 
@@ -203,8 +205,9 @@ def vector_topk(
     per query, so nothing but k rows per query and task is shuffled.  Because the
     threshold is monotone in the score it is applied during the scan.  Ties go to
     the smaller chunk_id; the score is rounded to 4 digits after the comparison.
+    `bounded=True` says that `queries` already is one measured block.
     """
-    partial = _vector_pass(queries, chunks, k, threshold, "topk")
+    partial = _vector_pass(queries, chunks, k, threshold, "topk", bounded)
     if partial is None:
         return queries.select("query_id").limit(0).withColumns({
             "chunk_id": F.lit(None).cast(chunks.schema["chunk_id"].dataType),
@@ -274,7 +277,7 @@ def _cover_density(lexemes: pd.Series, tokens: pd.Series) -> pd.Series:
     return pd.Series([one(w, s) for w, s in zip(lexemes, tokens)])
 
 
-def text_match(queries: DataFrame, chunks: DataFrame, config: str = "simple") -> DataFrame:
+def text_match(queries: DataFrame, chunks: DataFrame, config: str = "simple", bounded: bool = False) -> DataFrame:
     """(query_id, chunk_id, rank_score) where the chunk holds ALL query lexemes.
 
     Joined on one lexeme per query, its longest (the likeliest to be rare), and
@@ -290,21 +293,24 @@ def text_match(queries: DataFrame, chunks: DataFrame, config: str = "simple") ->
     c = chunks.where(F.col("embedding").isNotNull())
     c = c.withColumn("_seq", lexeme_sequence(F.col("content"), config)).withColumn("_set", F.array_distinct("_seq"))
     carried = [f for f in FILTERS if f in chunks.columns]
-    c = c.select("chunk_id", "_seq", "_set", *carried, F.explode("_set").alias("_anchor"))
+    # explode_outer: a plain explode makes the planner repeat the tokenizer in a scan filter.
+    c = c.select("chunk_id", "_seq", "_set", *carried, F.explode_outer("_set").alias("_anchor"))
     cond = F.size(F.array_except("_ql", "_set")) == 0
     for f in carried:
         cond &= F.col(f"_q_{f}").isNull() | (F.col(f"_q_{f}") == F.col(f))
     frames = [
         c.join(F.broadcast(b), "_anchor").where(cond)
-        for b in scale.query_blocks(q, "query_id", width=F.length(F.array_join("_ql", " ")) * 2)
+        for b in ([q] if bounded else scale.query_blocks(q, "query_id", width=F.length(F.array_join("_ql", " ")) * 2))
     ]
     hits = scale.union_all(frames)
     return hits.select("query_id", "chunk_id", F.round(_cover_density("_ql", "_seq"), 8).alias("rank_score"))
 
 
-def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = S.TOP_K, config: str = "simple") -> DataFrame:
+def keyword_topk(
+    queries: DataFrame, chunks: DataFrame, k: int = S.TOP_K, config: str = "simple", bounded: bool = False
+) -> DataFrame:
     """K2: best k full-text matches per query by cover density, ties by chunk_id."""
-    hits = text_match(queries, chunks, config)
+    hits = text_match(queries, chunks, config, bounded)
     return scale.top_n(hits, ["query_id"], [F.desc("rank_score"), F.asc("chunk_id")], k, "rn")
 
 
@@ -340,19 +346,19 @@ def near_dup_filter(ranked: DataFrame, group: str = "query_id", limit: float = S
     """In rank order, drop rows whose head words overlap a kept row by > limit.
 
     The candidate list of a query is bounded by the two search limits, so it folds
-    inside one row; the ids that survive are joined back.
+    inside one row.
     """
-    item = F.struct("rank", "chunk_id", tx.head_words(F.col("content")).alias("words"))
+    carried = [c for c in ranked.columns if c not in (group, "rank")]
+    item = F.struct("rank", tx.head_words(F.col("content")).alias("words"), F.struct(*carried).alias("row"))
     lists = ranked.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def step(kept, x):
         clash = F.exists(kept, lambda k: tx.jaccard(k["words"], x["words"]) > limit)
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = lists.select(group, F.explode(
-        F.aggregate("items", F.slice("items", 1, 0), step)
-    ).alias("i")).select(group, F.col("i.chunk_id").alias("chunk_id"))
-    return ranked.join(kept, [group, "chunk_id"], "left_semi")
+    return lists.select(group, F.explode(
+        F.aggregate("items", F.slice("items", 1, 0), step)).alias("i")
+    ).select(group, "i.rank", "i.row.*")
 
 
 def diversity_cap(ranked: DataFrame, max_per_title: int = S.MAX_CHUNKS_PER_TITLE, top_k: int = S.TOP_K) -> DataFrame:
@@ -389,6 +395,11 @@ def retrieval_quality(results: DataFrame, queries: DataFrame, threshold: float =
     )
 
 
+def _query_width() -> Column:
+    """Bytes of a query row when broadcast: its vector, and its text twice (whole and as lexemes)."""
+    return F.size("query_embedding") * 8 + F.octet_length("query_text") * 3
+
+
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, k: int = S.TOP_K, threshold: float = S.SCORE_THRESHOLD,
     diversity: bool = True, keyword: bool = True, config: str = "simple", baseline: float = S.SCORE_THRESHOLD,
@@ -400,10 +411,10 @@ def hybrid_search(
     """
     body = chunks.select("chunk_id", "content", "document_title", "program", "faculty")
     parts = []
-    for block in scale.query_blocks(queries, "query_id", width=F.size("query_embedding") * 8):
-        vec = vector_topk(block, chunks, k * S.CANDIDATE_MULTIPLIER, threshold)
+    for block in scale.query_blocks(queries, "query_id", width=_query_width()):
+        vec = vector_topk(block, chunks, k * S.CANDIDATE_MULTIPLIER, threshold, bounded=True)
         if keyword:
-            cand = hybrid_union(vec, keyword_topk(block, chunks, k, config), baseline)
+            cand = hybrid_union(vec, keyword_topk(block, chunks, k, config, bounded=True), baseline)
         else:
             cand = vec.select("query_id", "chunk_id", "score", F.lit("vector").alias("origin"),
                               F.col("rn").cast("long").alias("ord"))

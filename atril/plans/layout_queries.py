@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from atril.operators import layout as L
@@ -37,8 +38,45 @@ SECTIONS = CATEGORY + """, taint AS (SELECT DISTINCT c.file, c.sheet, c.col FROM
       FROM ln l LEFT JOIN cat ON cat.file = l.file AND cat.sheet = l.sheet AND cat.row = l.row)"""
 
 
+def grid_cells(v):
+    """The `grid_cells` view in one pass over the lines: every order is a sheet."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    g = v["lineitem"].withColumn("row", (F.row_number().over(order) + 1).cast("long"))
+    row, text = C("row"), "text"
+
+    def cell(col, value, kind, present=None):
+        made = F.struct(F.lit(col).cast("long").alias("col"), value.alias("value"),
+                        (kind if not isinstance(kind, str) else F.lit(kind)).alias("kind"))
+        return made if present is None else F.when(present, made)
+
+    s = lambda c: c.cast("string")
+    cells = F.array_compact(F.array(
+        cell(1, F.concat(F.lit("AREA "), C("l_returnflag")), text, row % 2 == 0),
+        cell(2, F.when(row == 3, "COMPONENTE").otherwise(s(row)), F.when(row == 3, "text").otherwise("number")),
+        cell(3, F.concat(F.lit("C"), s(C("l_partkey"))), text, C("l_suppkey") % 3 != 0),
+        cell(4, s(C("l_quantity").cast("long")), "number"),
+        cell(5, F.when(C("l_suppkey") % 2 == 0, "T").otherwise(""), text),
+        cell(6, s(C("l_suppkey") % 5 + 1), "number"),
+        cell(7, F.when(C("l_discount") > 0.05, "CR").otherwise("HP"), text),
+        cell(8, s(C("l_partkey") % 4), "number"),
+        cell(9, F.when(row == 4, "0.5").otherwise("7"), "number")))
+    body = g.select(C("l_orderkey").alias("file"), row, F.explode(cells).alias("c")).select("file", "row", "c.*")
+
+    def fixed(r, col, value, kind):
+        return F.struct(F.lit(r).cast("long").alias("row"), F.lit(col).cast("long").alias("col"),
+                        (value if not isinstance(value, str) else F.lit(value)).alias("value"), F.lit(kind).alias("kind"))
+
+    frame = F.array(
+        fixed(1, 3, "I", text), fixed(1, 7, "II", text),
+        fixed(100, 2, F.when(C("file") % 2 == 0, "Total créditos").otherwise("Requisitos de grado"), text),
+        fixed(100, 4, "12", "number"), fixed(101, 1, "Convenciones", text), fixed(101, 3, "Ética", text),
+        fixed(102, 4, "Electiva", text), fixed(102, 8, "5", "number"))
+    edges = v["lineitem"].select(C("l_orderkey").alias("file")).distinct().select("file", F.explode(frame).alias("c")).select("file", "c.*")
+    return body.unionByName(edges).withColumn("sheet", F.lit("malla"))
+
+
 def grid(v):
-    cells = materialise(v["grid_cells"], "grid")
+    cells = materialise(grid_cells(v), "grid")
     return cells, L.detect_semester_grid(cells)
 
 
@@ -137,7 +175,7 @@ def _(v):
 @query("column_islands", """SELECT file, sheet, col, col - dense_rank() OVER (PARTITION BY file, sheet ORDER BY col) AS island
     FROM (SELECT DISTINCT file, sheet, col FROM grid_cells WHERE row >= 100 AND value <> '')""")
 def _(v):
-    return L.column_islands(v["grid_cells"].where(C("row") >= 100)).withColumn("island", C("island").cast("long"))
+    return L.column_islands(grid_cells(v).where(C("row") >= 100)).withColumn("island", C("island").cast("long"))
 
 
 @query("footer_blocks", RANGES + """, below AS (SELECT c.* FROM grid_cells c JOIN stop s USING (file, sheet) WHERE c.row >= s.footer_row AND NOT (s.is_total AND c.row = s.footer_row) AND c.value <> ''),

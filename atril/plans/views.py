@@ -10,9 +10,13 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from atril.session import ship_package
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+SMALL_TABLE_BYTES = 64 * 1024 * 1024
+
 VIEWS: dict[str, str] = {
     "kb_documents": """
         SELECT d.doc_id AS document_id, d.source AS title, d.source AS program, d.lang AS faculty,
@@ -183,19 +187,31 @@ class Inputs:
     """Tables and logical views of one data folder, as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship_package(spark)
         self.spark, self.dir = spark, sf_dir
         self._cache: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
             if name in TABLES:
-                self._cache[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+                self._cache[name] = self._table(name)
             else:
                 sql = render(VIEWS[name], "spark")
                 used = {t: self[t] for t in re.findall(r"\{(\w+)\}", sql)}
                 self._cache[name] = self.spark.sql(sql, **used)
         return self._cache[name]
 
+    def _table(self, name: str) -> DataFrame:
+        """A stored table.  A small `documents` file holds a single row group, which one
+        task would read and process alone: only below a measured size it is spread."""
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name == "documents":
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}.parquet")
+            size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+            if size <= SMALL_TABLE_BYTES:
+                df = df.repartition(self.spark.sparkContext.defaultParallelism, "doc_id")
+        return df
+
     @property
     def now(self):
         """The newest event: time-dependent operators take `now` as a parameter."""
