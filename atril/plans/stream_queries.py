@@ -69,10 +69,14 @@ def _(v):
     return J.run_to_table(J.stream_retrieval_quality(log), "quality")
 
 
-@query("stream_repeat_suppress")
+@query("stream_repeat_suppress", """RECURSIVE e AS (SELECT event_id AS request_id, user_id || '|' || event_type AS key, ts FROM events),
+    r AS (SELECT key, min(ts) AS ts FROM e GROUP BY 1 UNION ALL
+      SELECT r.key, n.ts FROM r, LATERAL (SELECT min(e.ts) AS ts FROM e WHERE e.key = r.key AND e.ts > r.ts + INTERVAL 1800 SECOND) n WHERE n.ts IS NOT NULL)
+    SELECT min(e.request_id) AS request_id, r.key, r.ts FROM r JOIN e ON e.key = r.key AND e.ts = r.ts GROUP BY 2, 3""")
 def _(v):
-    req = events(v).select("event_id", F.concat_ws("|", C("user_id").cast("string"), C("event_type")).alias("key"), ts())
-    return J.run_to_table(J.stream_repeat_suppress(req), "repeat")
+    req = events(v).select(C("event_id").alias("request_id"), F.concat_ws("|", C("user_id").cast("string"), C("event_type")).alias("key"), ts())
+    out = J.run_to_table(J.stream_repeat_suppress(req), "repeat")
+    return out.withColumn("ts", C("ts").cast("timestamp_ntz"))
 
 
 @query("repeat_requests", """SELECT event_id, coalesce(ts - max(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)

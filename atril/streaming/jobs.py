@@ -82,9 +82,37 @@ def stream_ingest(
     return writer.start()
 
 
-def stream_repeat_suppress(requests: DataFrame, ttl: str = "30 minutes") -> DataFrame:
-    """ST2: requests(key, ts, ...) without repeats of the same key inside the TTL."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
+_ADMITTED = T.StructType([
+    T.StructField("request_id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("ts", T.TimestampType())])
+
+
+def stream_repeat_suppress(requests: DataFrame, ttl_seconds: int = S.RETRIEVAL_TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """ST2: requests(request_id, key, ts) that are not repeats.
+
+    A request repeats when the last admitted one with its key is at most the TTL older; a
+    repeat does not renew the TTL.  State is one time per key, dropped once the watermark
+    passes its end.
+    """
+    ttl = pd.Timedelta(seconds=ttl_seconds)
+
+    def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        keep = []
+        for t in rows["ts"]:
+            fresh = last is None or t - last > ttl
+            last = t if fresh else last
+            keep.append(fresh)
+        micros = last.value // 1000
+        state.update((micros,))
+        state.setTimeoutTimestamp(max((micros // 1000) + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[keep, ["request_id", "key", "ts"]]
+
+    return requests.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
+        admit, _ADMITTED, T.StructType([T.StructField("last", T.LongType())]), "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_daily_activity(conversations: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -59,10 +59,10 @@ def test_sentence_state_across_batches(spark):
 def test_repeats_and_expiry(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(i, k, t + dt.timedelta(minutes=m), b) for i, (k, m, b) in enumerate([("a", 0, 0), ("a", 10, 1), ("b", 20, 1), ("a", 90, 2), ("c", 300, 3)])]
-    df = spark.createDataFrame(rows, "id int, key string, ts timestamp, b int")
+    df = spark.createDataFrame(rows, "request_id long, key string, ts timestamp, b int")
     parts = [f"b = {b}" for b in range(4)]
-    assert sorted(r.id for r in J.run_to_table(J.stream_repeat_suppress(_stream(spark, df, parts)), "r").collect()) == [0, 2, 3, 4]
-    conv = df.select(F.col("id").alias("conversation_id"), F.lit(None).cast("int").alias("user_id"), F.col("ts").alias("created_at"), "b")
+    assert sorted(r.request_id for r in J.run_to_table(J.stream_repeat_suppress(_stream(spark, df, parts)), "r").collect()) == [0, 2, 3, 4]
+    conv = df.select(F.col("request_id").alias("conversation_id"), F.lit(None).cast("int").alias("user_id"), F.col("ts").alias("created_at"), "b")
     gone = J.run_to_table(J.stream_session_expiry(_stream(spark, conv, parts)), "e").collect()
     assert sorted(r.conversation_id for r in gone) == [0, 1, 2, 3]
     assert {r.conversation_id: r.expired_at for r in gone}[0] == t + dt.timedelta(hours=2)
