@@ -120,31 +120,38 @@ def shape_semester_grid(shapes: DataFrame) -> DataFrame:
         F.lit(1).alias("header_row"))
 
 
-def _bounds(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Per grid sheet: first label column, header row, first footer row, whether that row is a total."""
+def annotate_grid(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Cells of grid sheets with first_col (first semester column), header_row, footer_row
+    (first total or graduation row, none = beyond every row) and is_total.
+
+    The one shuffle of the cells, by sheet; the windows and groupings of L5-L7 and W6 all
+    refine that partitioning.
+    """
     head = ranges.groupBy(*SHEET).agg(F.min("start_col").alias("first_col"), F.min("header_row").alias("header_row"))
-    margin = cells.join(head, SHEET).where(F.col("col") < F.col("first_col")).select(
-        *SHEET, "row", F.upper("value").alias("u"))
-    total, degree = F.col("u").startswith("TOTAL"), F.col("u").contains("REQUISITOS DE GRADO")
-    stop = margin.where(total | degree).groupBy(*SHEET).agg(
-        F.min("row").alias("footer_row"), F.min_by(F.struct(F.lit(1)), "row").alias("_x"),
-        F.min(F.when(total, F.col("row"))).alias("_total"))
-    return head.join(stop.drop("_x"), SHEET, "left").select(
-        *SHEET, "first_col", "header_row", F.coalesce("footer_row", F.lit(2147483647)).alias("footer_row"),
-        (F.col("_total") == F.col("footer_row")).alias("is_total"))
-
-
-def forward_fill_labels(cells: DataFrame, bounds: DataFrame) -> DataFrame:
+    label = F.when(F.col("col") < F.col("first_col"), F.upper("value"))
+    whole = Window.partitionBy(*SHEET)
+    a = cells.join(head, SHEET).withColumns({
+        "_total": F.coalesce(label.startswith("TOTAL"), F.lit(False)),
+        "_degree": F.coalesce(label.contains("REQUISITOS DE GRADO"), F.lit(False))})
+    a = a.withColumn("footer_row", F.coalesce(
+        F.min(F.when(F.col("_total") | F.col("_degree"), F.col("row"))).over(whole), F.lit(2147483647)))
+    a = a.withColumn("is_total", F.coalesce(
+        F.bool_or(F.col("_total") & (F.col("row") == F.col("footer_row"))).over(whole), F.lit(False)))
+    return a.drop("_total", "_degree")
+
+
+def forward_fill_labels(annotated: DataFrame) -> DataFrame:
     """`category` per row: the last text seen in each left-margin column, in column
-    order.  Numbers are never labels."""
-    scoped = cells.join(bounds, SHEET).where(
-        (F.col("row") >= F.col("header_row")) & (F.col("row") < F.col("footer_row")))
-    labels = scoped.where((F.col("col") < F.col("first_col")) & (F.col("value") != "") & (F.col("kind") != "number"))
-    columns = labels.select(*SHEET, "col").distinct()
-    grid = scoped.select(*SHEET, "row").distinct().join(columns, SHEET)
+    order.  Numbers are never labels.  Input: `annotate_grid`."""
+    scoped = annotated.where((F.col("row") >= F.col("header_row")) & (F.col("row") < F.col("footer_row")))
+    is_label = (F.col("col") < F.col("first_col")) & (F.col("value") != "") & (F.col("kind") != "number")
+    rows = scoped.groupBy(*SHEET, "row").agg(
+        F.map_from_entries(F.collect_list(F.when(is_label, F.struct("col", "value")))).alias("labels"))
+    columns = F.array_distinct(F.flatten(F.collect_list(F.map_keys("labels")).over(Window.partitionBy(*SHEET))))
+    slots = rows.withColumn("_columns", columns).withColumn("col", F.explode("_columns")).select(
+        *SHEET, "row", "col", F.try_element_at("labels", F.col("col")).alias("value"))
     seen = Window.partitionBy(*SHEET, "col").orderBy("row")
-    filled = grid.join(labels.select(*SHEET, "row", "col", "value"), [*SHEET, "row", "col"], "left").withColumn(
-        "label", F.last("value", ignorenulls=True).over(seen)).where(F.col("label").isNotNull())
+    filled = slots.withColumn("label", F.last("value", ignorenulls=True).over(seen)).where(F.col("label").isNotNull())
     return filled.groupBy(*SHEET, "row").agg(F.sort_array(F.collect_list(F.struct("col", "label"))).alias("l")).select(
         *SHEET, "row", F.array_join(F.transform("l", lambda x: x["label"]), " - ").alias("category"))
 
@@ -169,17 +176,17 @@ def row_credit(values: Column) -> Column:
 
 def grid_sections(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Course rows per semester block: (file, sheet, label, start_col, row, line, credit)."""
-    bounds = _bounds(cells, ranges)
-    course = cells.join(bounds.select(*SHEET, "footer_row"), SHEET).where(F.col("row") < F.col("footer_row"))
-    number = F.when(F.col("kind") == "number", _number(F.col("value")))
-    tainted = course.where(number != F.floor(number)).select(*SHEET, "col").distinct()
-    clean = course.join(tainted, [*SHEET, "col"], "left_anti").where(F.col("value") != "")
+    annotated = annotate_grid(cells, ranges)
+    number = F.when((F.col("kind") == "number") & (F.col("row") < F.col("footer_row")), _number(F.col("value")))
+    tainted = F.bool_or(F.coalesce(number != F.floor(number), F.lit(False))).over(Window.partitionBy(*SHEET, "col"))
+    clean = annotated.withColumn("_tainted", tainted).where(
+        ~F.col("_tainted") & (F.col("row") < F.col("footer_row")) & (F.col("value") != ""))
     inside = clean.join(ranges.select(*SHEET, "label", "start_col", "end_col"), SHEET).where(
         F.col("col").between(F.col("start_col"), F.col("end_col")))
     rows = _row_lines(inside, [*SHEET, "label", "start_col", "end_col", "row"], F.first("start_col"), F.first("end_col"))
     values = F.filter("cells", lambda c: c != "")
     rows = rows.withColumn("v", values).where(~((F.size("v") == 1) & (F.col("v")[0] == F.col("label"))))
-    named = rows.join(forward_fill_labels(cells, bounds), [*SHEET, "row"], "left")
+    named = rows.join(forward_fill_labels(annotated), [*SHEET, "row"], "left")
     line = F.when(F.coalesce("category", F.lit("")) != "", F.concat_ws(" | ", "category", "line")).otherwise(F.col("line"))
     return named.select(*SHEET, "label", "start_col", "row", line.alias("line"), row_credit(F.col("v")).alias("credit"))
 
@@ -212,9 +219,8 @@ def column_islands(cells: DataFrame) -> DataFrame:
 def footer_blocks(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows of the side-by-side tables below the grid, one block per column island;
     blocks without any letter are dropped."""
-    b = _bounds(cells, ranges)
-    below = cells.join(b, SHEET).where(
-        (F.col("row") >= F.col("footer_row")) & ~((F.col("row") == F.col("footer_row")) & F.coalesce("is_total", F.lit(False))))
+    below = annotate_grid(cells, ranges).where(
+        (F.col("row") >= F.col("footer_row")) & ~((F.col("row") == F.col("footer_row")) & F.col("is_total")))
     placed = below.join(column_islands(below.select(*cells.columns)), [*SHEET, "col"])
     spans = placed.groupBy(*SHEET, "island").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
     rows = _row_lines(placed.join(spans, [*SHEET, "island"]), [*SHEET, "island", "row"], F.first("lo"), F.first("hi"))

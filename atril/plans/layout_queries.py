@@ -77,7 +77,7 @@ def grid_cells(v):
 
 def grid(v):
     cells = materialise(grid_cells(v), "grid")
-    return cells, L.detect_semester_grid(cells)
+    return cells, materialise(L.detect_semester_grid(cells), "ranges")
 
 
 @query("spans_to_lines", r"""k AS (SELECT * FROM page_spans WHERE trim(text) <> '' AND (length(trim(text)) > 1 OR regexp_full_match(trim(text), '\p{L}'))),
@@ -152,7 +152,7 @@ def _(v):
 @query("forward_fill_labels", CATEGORY + " SELECT file, sheet, row, category FROM cat")
 def _(v):
     cells, ranges = grid(v)
-    return L.forward_fill_labels(cells, L._bounds(cells, ranges))
+    return L.forward_fill_labels(L.annotate_grid(cells, ranges))
 
 
 @query("grid_sections", SECTIONS + " SELECT * FROM sec")
