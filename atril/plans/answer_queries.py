@@ -38,22 +38,22 @@ CODES = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]*\p{{N}
 @query("judge_answers_lexical", f"""SELECT answer_id, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS grounded_share,
     CASE WHEN len(a) = 0 THEN false ELSE len(list_intersect(a, b))::DOUBLE / len(a) < 0.5 END AS hallucinated
     FROM (SELECT a.answer_id, {CODES.format('a.answer')} AS a, {CODES.format("substr(d.text || ' [1] 3 ', 1, 20480)")} AS b
-          FROM answers a JOIN documents d ON d.doc_id = a.answer_id % 1000)""", rounded=('grounded_share',))
+          FROM answers a JOIN documents d ON d.doc_id = a.doc_id)""", rounded=('grounded_share',))
 def _(v):
     d = v["documents"].select(C("doc_id"), F.concat(C("text"), F.lit(" [1] 3 ")).alias("context"))
-    rows = v["answers"].withColumn("doc_id", C("answer_id") % 1000).join(d, "doc_id")
+    rows = v["answers"].join(d, "doc_id")
     return N.lexical_judge(rows).select("answer_id", "grounded_share", "hallucinated")
 
 
 def contains_judge(questions, contexts, answers):
     """Batch judge used offline: quotes its reason, then the verdict line."""
-    return ["respaldada\nNO" if a[:20] in c else "sin respaldo\nSI" for c, a in zip(contexts, answers)]
+    return ["respaldada\nNO" if a in c else "sin respaldo\nSI" for c, a in zip(contexts, answers)]
 
 
 @query("judge_answers")
 def _(v):
     d = v["documents"].select("doc_id", C("text").alias("context"))
-    rows = v["answers"].withColumn("doc_id", C("answer_id") % 1000).join(d, "doc_id").withColumn("question", C("answer"))
+    rows = v["answers"].join(d, "doc_id").withColumn("question", C("answer"))
     return N.judge_answers(rows.select("answer_id", "question", "context", "answer"), contains_judge).select(
         "answer_id", "judge_output", "hallucinated")
 

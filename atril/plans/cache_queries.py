@@ -101,13 +101,16 @@ def entries(v):
                     F.array(source("program"), source("other_program")).alias("sources"))
 
 
-@query("entity_guard", f"""p AS (SELECT q.query_id, e.entry_id, {GUARD_WORDS} FROM cache_queries q JOIN cache_entries e ON e.entry_id % 40 = q.query_id)
-    SELECT query_id, entry_id, {GUARD} AS passes FROM p""")
+@query("entity_guard", f"""q AS (SELECT entry_id - 1 AS entry_id, CASE entry_id % 4 WHEN 0 THEN 'facultad central ' || program WHEN 1 THEN program || ' ' || question
+      ELSE question END AS query_text FROM cache_entries),
+    p AS (SELECT e.entry_id, {GUARD_WORDS} FROM q JOIN cache_entries e USING (entry_id)) SELECT entry_id, {GUARD} AS passes FROM p""")
 def _(v):
-    q = v["cache_queries"].select("query_id", "query_text")
-    e = entries(v)
-    return q.join(e, C("entry_id") % 40 == C("query_id")).select(
-        "query_id", "entry_id", K.entity_guard(C("sources"), C("question"), C("query_text")).alias("passes"))
+    e = v["cache_entries"]
+    text = (F.when(C("entry_id") % 4 == 0, F.concat(F.lit("facultad central "), C("program")))
+            .when(C("entry_id") % 4 == 1, F.concat_ws(" ", "program", "question")).otherwise(C("question")))
+    q = e.select((C("entry_id") - 1).alias("entry_id"), text.alias("query_text"))
+    return entries(v).join(q, "entry_id").select(
+        "entry_id", K.entity_guard(C("sources"), C("question"), C("query_text")).alias("passes"))
 
 
 @query("answer_cache_lookup", f"""live AS (SELECT e.* FROM cache_entries e, clock WHERE e.ts >= clock.now - INTERVAL 15 DAY),

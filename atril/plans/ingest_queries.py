@@ -16,15 +16,15 @@ from atril.sources import files, tables
 C = F.col
 
 
-@query("scan_text_files", "SELECT doc_id, text AS decoded FROM documents WHERE regexp_full_match(text, '[\\x{0}-\\x{FF}]*')")
-def _(v):
-    """The decoding step over every document that Latin-1 can hold: a third of them as
-    UTF-8 with a BOM, a third as plain UTF-8, a third as Latin-1 bytes."""
-    d = v["documents"].where(C("text").rlike("\\A[\\x{0}-\\x{FF}]*\\z"))
-    third = C("doc_id") % 3
-    data = (F.when(third == 0, F.encode(F.concat(F.lit("﻿"), C("text")), "UTF-8"))
-            .when(third == 1, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1")))
-    return d.select("doc_id", files.decode_text(data).alias("decoded"))
+@query("scan_text_files", "SELECT doc_id, text AS decoded FROM documents")
+def _(v):
+    """The decoding step over every document: UTF-8 with a BOM, plain UTF-8 and, where
+    Latin-1 can hold the text and its bytes are not valid UTF-8, Latin-1."""
+    latin = F.encode(C("text"), "ISO-8859-1")
+    fits = C("text").rlike("\\A[\\x{0}-\\x{FF}]*\\z")
+    data = (F.when(C("doc_id") % 3 == 0, F.encode(F.concat(F.lit("\ufeff"), C("text")), "UTF-8"))
+            .when((C("doc_id") % 3 == 1) & fits, latin).otherwise(F.encode("text", "UTF-8")))
+    return v["documents"].select("doc_id", files.decode_text(data).alias("decoded"))
 
 
 CSV_SQL = r"""list_filter(list_transform(string_split(replace(text, ' | ', ' , '), chr(10)),

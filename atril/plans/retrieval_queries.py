@@ -137,6 +137,30 @@ def _(v):
     return R.text_match(v["kb_queries"], described(v))
 
 
+TERMS = f"""words AS (SELECT doc_id, list_distinct({TOKENS.format("text")}) AS w FROM documents),
+    kb_terms AS (SELECT doc_id AS query_id, array_to_string(list_transform(list_sort(list_transform(w, lambda x: {{'n': length(x), 'w': x}}), 'DESC')[1:2],
+      lambda s: s.w), ' ') AS query_text, NULL AS program, NULL AS faculty, NULL AS document_type FROM words), """
+
+
+def term_queries(v):
+    """Per document a question of its two longest words."""
+    words = F.array_distinct(R.lexeme_sequence(F.col("text")))
+    longest = F.slice(F.sort_array(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), False), 1, 2)
+    return v["documents"].select(
+        F.col("doc_id").alias("query_id"), F.array_join(F.transform(longest, lambda s: s["w"]), " ").alias("query_text"))
+
+
+@query("text_match_terms", TERMS + (DESCRIBED + KEYWORD).replace("kb_queries", "kb_terms") + " SELECT query_id, chunk_id, rank_score FROM fts")
+def _(v):
+    return R.text_match(term_queries(v), described(v))
+
+
+@query("keyword_topk_terms", TERMS + (DESCRIBED + KEYWORD).replace("kb_queries", "kb_terms") + " SELECT query_id, chunk_id, CAST(rn AS BIGINT) AS rn FROM kw")
+def _(v):
+    out = R.keyword_topk(term_queries(v), described(v))
+    return out.select("query_id", "chunk_id", F.col("rn").cast("long").alias("rn"))
+
+
 @query("text_match_spanish")
 def _(v):
     return R.text_match(v["kb_queries"], described(v), config="spanish")

@@ -156,10 +156,10 @@ def _(v):
 
 
 @query("rename_cascade", """SELECT document_id, title, CASE faculty WHEN 'en' THEN 'Ingeniería' ELSE faculty END AS faculty,
-    coalesce((SELECT 'P-' || p_brand FROM part WHERE 'src' || p_partkey = program AND p_partkey < 20), program) AS program,
+    coalesce((SELECT 'P-' || p_brand FROM part WHERE 'src' || p_partkey = program), program) AS program,
     CASE document_type WHEN 'perfil' THEN 'Perfil' ELSE document_type END AS document_type FROM kb_documents""")
 def _(v):
-    names = v["part"].where(C("p_partkey") < 20).select(
+    names = v["part"].select(
         F.lit("program").alias("kind"), F.concat(F.lit("src"), C("p_partkey").cast("string")).alias("old_name"),
         F.concat(F.lit("P-"), C("p_brand")).alias("new_name"))
     fixed = v.spark.createDataFrame([("faculty", "en", "Ingeniería"), ("document_type", "perfil", "Perfil")],

@@ -163,7 +163,7 @@ VIEWS: dict[str, str] = {
         SELECT s_suppkey AS program_id, s_name AS program,
                CASE WHEN s_nationkey % 5 <> 0 THEN s_nationkey END AS faculty_id FROM {supplier}""",
     "answers": """
-        SELECT conv_id * 1000 + turn AS answer_id,
+        SELECT conv_id * 1000 + turn AS answer_id, conv_id * 8 + turn AS doc_id,
                text || CASE turn % 5 WHEN 0 THEN ' [1] y [3], [1]' WHEN 1 THEN ' [' || CAST(conv_id % 14 AS @STR@) || ']'
                     WHEN 2 THEN '. No tengo esa información disponible en mi base de conocimientos [1]'
                     WHEN 3 THEN ' Tu pregunta puede aplicar a varios programas' ELSE ' [123] [2]' END AS answer,
