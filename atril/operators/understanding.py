@@ -75,10 +75,6 @@ def detect_ambiguity(
         F.when(by_program, F.col("_programs")).otherwise(F.col("_facultys")).alias("candidates"))
 
 
-# Wording of the clarification question.
-CLARIFICATION_LABEL = {"program": "programas académicos", "faculty": "facultades"}
-
-
 def route_turns(turns: DataFrame, cache: DataFrame, ambiguity: DataFrame, quality: DataFrame) -> DataFrame:
     """turns(query_id, query_text, is_followup) labelled by how they are answered."""
     hit = cache.where(F.col("outcome") == "hit").select("query_id", F.lit(True).alias("_hit"))

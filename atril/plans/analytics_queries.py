@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atril.operators import analytics as A
-from atril.operators import rows as R
 from atril.plans.registry import query
 
 C = F.col
@@ -155,6 +154,3 @@ def _(v):
     FROM lineitem GROUP BY 1""")
 def _(v):
     return A.chunk_stats(v["lineitem"].select(C("l_orderkey").alias("document_id"), C("l_quantity").cast("long").alias("token_count")))
-
-
-assert R.HOUR_MICROS

@@ -9,7 +9,7 @@ from atril.functions.splitter import register_chunk_text
 from atril.operators import ingest as I
 from atril.operators.analytics import chunk_stats
 from atril.plans.registry import query
-from atril.plans.text_queries import clean_sql, strip_sql, fold_sql
+from atril.plans.text_queries import fold_sql, strip_sql
 from atril.session import scratch_path
 from atril.sources import files, tables
 
@@ -45,18 +45,17 @@ def _(v):
     return I.chunk_prose(prose(v)).withColumn("metadata", C("metadata")["chunk_index"])
 
 
-@query("chunk_prose_stats", """SELECT CAST(1000 AS BIGINT) AS dummy""".replace(
-    "SELECT CAST(1000 AS BIGINT) AS dummy", """SELECT doc_id AS document_id, true AS all_substrings, true AS in_order, true AS covers_start
-    FROM documents WHERE regexp_matches(text, '\\S')"""))
+@query("chunk_prose_stats", """SELECT doc_id AS document_id, true AS all_substrings, true AS consecutive, true AS covers_start
+    FROM documents WHERE regexp_matches(text, '\\S')""")
 def _(v):
-    """Invariants of the splitter on every document: each chunk occurs in its document, in
-    order, and the first one begins where the text begins."""
+    """Invariants of the splitter on every document: each chunk occurs in its document, the
+    chunks are numbered without gaps, and the first one begins where the text begins."""
     d = prose(v).withColumn("stripped", F.regexp_replace("text", "(?U)\\A\\s+", ""))
     c = I.chunk_prose(prose(v)).join(d, "document_id")
     at = F.instr(C("text"), C("content"))
     return c.withColumn("at", at).groupBy("document_id").agg(
         F.bool_and(C("at") > 0).alias("all_substrings"),
-        (F.count_if(C("chunk_index") < 0) == 0).alias("in_order"),
+        (F.max("chunk_index") + 1 == F.countDistinct("chunk_index")).alias("consecutive"),
         F.bool_or((C("chunk_index") == 0) & F.startswith(C("stripped"), C("content"))).alias("covers_start"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from atril import settings as S
 from atril.operators import rows as R
 from atril.plans.registry import query
 from atril.plans.text_queries import strip_sql
@@ -255,6 +254,3 @@ def _(v):
     a = v["region"].select(C("r_name").alias("ord"), C("r_name").alias("label"))
     b = v["nation"].select(C("n_name").alias("ord"), C("n_name").alias("label"))
     return R.fallback_fill(a, b, 9).select("ord", "label")
-
-
-assert S.CACHE_CAPACITY == 1000

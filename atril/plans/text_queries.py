@@ -82,9 +82,6 @@ def _(v):
         F.concat(C("text"), F.lit(" DesarrolloWeb para"), C("source")))).alias("words"))
 
 
-ENTITIES = """entities AS (SELECT DISTINCT source AS entity FROM documents)"""
-
-
 @query("mentions_entity", f"""SELECT q.question_id, q.conv_source AS entity, {mention_sql("q.question", "q.conv_source")} AS mentioned,
     {mention_sql("q.question", "q.conv_source", 1.0)} AS fully
     FROM (SELECT question_id, question, 'src' || CAST(question_id // 1000 % 20 AS VARCHAR) || ' DesarrolloSoftware Sistemas' AS conv_source

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from atril import settings as S
 from atril.operators import answer_cache as K
