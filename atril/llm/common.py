@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from atril.session import materialise, ship_package
 
-__all__ = ["arrow_map", "arrow_tally", "components", "corpus_text", "held_out", "materialise", "table", "words"]
+__all__ = ["Sieve", "arrow_map", "arrow_tally", "components", "corpus_text", "held_out", "materialise", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,39 @@ def arrow_tally(df: DataFrame, add: Callable[[dict[str, list], dict], None], sch
     return df.mapInArrow(run, schema)
 
 
+#: Bits of a `Sieve`: 16 MB, whatever the number of values.
+SIEVE_BITS = 27
+
+
+class Sieve:
+    """A Bloom filter of fixed size over evenly spread longs, sent to all tasks.
+
+    It lets through every value it was built from and few others; when there are too many values for its size
+    it lets everything through, which costs a larger shuffle and never a row.
+    """
+
+    def __init__(self, values: DataFrame, value: str):
+        import numpy as np
+
+        mask, chunk = (1 << SIEVE_BITS) - 1, 16
+
+        def pack(rows: pa.Table) -> pa.Table:
+            bits = np.zeros(1 << chunk, np.uint8)
+            bits[rows["at"].to_numpy() & ((1 << chunk) - 1)] = 1
+            return pa.table({"chunk": [rows["chunk"][0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+        at = values.select((F.col(value).bitwiseAND(mask)).alias("at")).distinct().withColumn("chunk", F.shiftright("at", chunk))
+        packed = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+        for r in at.groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect():
+            packed[r.chunk << (chunk - 3) : (r.chunk + 1) << (chunk - 3)] = np.frombuffer(r.bits, np.uint8)
+        self.bits = values.sparkSession.sparkContext.broadcast(packed)
+
+    def __call__(self, values):
+        """Boolean array: which of the int64 array may be among the values."""
+        at = values & ((1 << SIEVE_BITS) - 1)
+        return (self.bits.value[at >> 3] >> (at & 7)) & 1 == 1
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (`node`, `component`), the component being its smallest node.
 
