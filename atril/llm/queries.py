@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atril.llm import byte_bpe, hnsw, lattice, mtree, packing, secrets, setjoin, toxicity, warc
+from atril.llm import byte_bpe, hnsw, lattice, mtree, packing, secret_scan, setjoin, suffixes, toxicity, warc
 from atril.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,7 +73,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.scan(docs, secrets.train(docs))
+    return secret_scan.scan(docs, secret_scan.train(docs))
+
+
+@query
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 ORACLES["op4_mtree"] = """

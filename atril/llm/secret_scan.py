@@ -190,6 +190,21 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def spans_of(text: str, automata: dict[str, Automaton], known: dict[str, bool]) -> tuple[list, list]:
+    """Base and added spans (start, place of the kind, end); `known` keeps the decision on words met."""
+    base = [(s, k, e) for s, k, e, _ in base_spans(text)]
+    added = []
+    for m in _CANDIDATE.finditer(text):
+        if any(s < m.end() and m.start() < e for s, _, e in base):
+            continue
+        word = m[0]
+        if word not in known:
+            known[word] = ratio(word, automata) >= MIN_RATIO
+        if known[word]:
+            added.append((m.start(), len(KINDS), m.end()))
+    return base, added
+
+
 def scan(docs: DataFrame, automata: dict[str, Automaton]) -> DataFrame:
     """doc_id, counts of base spans, their digest, and all spans.
 
@@ -202,16 +217,7 @@ def scan(docs: DataFrame, automata: dict[str, Automaton]) -> DataFrame:
         out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "n_added", "spans")}
         known: dict[str, bool] = {}
         for text in batch["text"]:
-            base = [(s, k, e) for s, k, e, _ in base_spans(text)]
-            added = []
-            for m in _CANDIDATE.finditer(text):
-                if any(s < m.end() and m.start() < e for s, _, e in base):
-                    continue
-                word = m[0]
-                if word not in known:
-                    known[word] = ratio(word, automata) >= MIN_RATIO
-                if known[word]:
-                    added.append((m.start(), len(KINDS), m.end()))
+            base, added = spans_of(text, automata, known)
             for i, name in enumerate(("n_assign", "n_access", "n_hex")):
                 out[name].append(sum(k == i for _, k, _ in base))
             out["base_sha256"].append(hashlib.sha256(written(base).encode()).hexdigest())
@@ -220,3 +226,29 @@ def scan(docs: DataFrame, automata: dict[str, Automaton]) -> DataFrame:
         return {"doc_id": batch["doc_id"], **out}
 
     return arrow_map(corpus_text(docs), rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, n_added long, spans string")
+
+
+def mask(docs: DataFrame, automata: dict[str, Automaton]) -> DataFrame:
+    """The rows of `docs` with each span of a secret replaced by its kind in angle brackets (overlaps: of the first).
+
+    Null texts stay null; `n_chars`, where there is one, follows the text.
+    """
+    names = (*KINDS, ADDED)
+
+    def rows(batch: dict[str, list]) -> dict[str, list]:
+        known: dict[str, bool] = {}
+        out = []
+        for text in batch["text"]:
+            parts, at = [], 0
+            for s, k, e in sorted(sum(spans_of(text, automata, known), [])) if text else ():
+                if s >= at:
+                    parts += [text[at:s], f"<{names[k]}>"]
+                at = max(at, e)
+            out.append(text if not at else "".join([*parts, text[at:]]))
+        changed = batch | {"text": out}
+        if "n_chars" in batch:
+            changed["n_chars"] = [n if t is o else len(o) for n, t, o in zip(batch["n_chars"], batch["text"], out, strict=True)]
+        return changed
+
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
+    return arrow_map(docs, rows, schema)
