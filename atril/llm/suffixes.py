@@ -32,8 +32,8 @@ TOGETHER = 4000
 SEGMENT = 1 << 22
 
 
-def suffix_array(text: np.ndarray, prefix: int | None = None) -> np.ndarray:
-    """Order of the suffixes of an array of positive integers, at least by their first `prefix` symbols."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of an array of positive integers."""
     n = len(text)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
@@ -52,10 +52,10 @@ def suffix_array(text: np.ndarray, prefix: int | None = None) -> np.ndarray:
     new = np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)])
     names = np.empty(len(sample), np.int64)
     names[by_triple] = np.cumsum(new)
-    if int(new.sum()) == len(sample) or (prefix is not None and prefix <= 3):
+    if int(new.sum()) == len(sample):
         order = by_triple
     else:
-        order = suffix_array(names, None if prefix is None else -(-prefix // 3))
+        order = suffix_array(names)
     rank = np.zeros(n + 3, np.int64)
     sampled = sample[order]
     rank[sampled] = np.arange(1, len(order) + 1)
@@ -181,7 +181,7 @@ def repeated_prefixes(cores: np.ndarray, copies: np.ndarray, left: list[bytes],
     text[:, :SIDE] += 1
     text[:, WINDOW : WINDOW + SIDE] += 1
     text[:, SIDE] = 257 + names
-    order = suffix_array(text.ravel(), WINDOW)
+    order = suffix_array(text.ravel())
     order = order[order % width < WINDOW]  # starts of strings; equal prefixes stay together
     starts = np.lib.stride_tricks.sliding_window_view(text.ravel(), WINDOW)
     same = np.empty(len(order) - 1, bool)
