@@ -47,7 +47,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     else:
         pair = np.unique(padded[sample] * base + padded[sample + 1], return_inverse=True)[1]
         key = pair * base + padded[sample + 2]
-    by_triple = np.argsort(key, kind="stable")
+    by_triple = np.argsort(key)
     ordered = key[by_triple]
     new = np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)])
     names = np.empty(len(sample), np.int64)
@@ -62,7 +62,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     sampled = sampled[sampled < n]
     zeros = np.arange(0, n, 3)
     wide = len(order) + 2
-    zeros = zeros[np.argsort(padded[zeros] * wide + rank[zeros + 1], kind="stable")]
+    zeros = zeros[np.argsort(padded[zeros] * wide + rank[zeros + 1])]
     # A remaining suffix stands after the sampled ones below it: by one symbol and a rank, or by two and a rank.
     first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     below = np.searchsorted(padded[first] * wide + rank[first + 1], padded[zeros] * wide + rank[zeros + 1])
@@ -152,16 +152,16 @@ def _occurrences(docs: DataFrame, cores: DataFrame) -> DataFrame:
                 out: dict[str, list] = {k: [] for k in ("key", "at", "core", "around")}
                 sides: dict[str, list] = {"left": [], "right": []}
                 for text in batch["text"].slice(start, 512).to_pylist():
-                    data, at, _, _, core, around = sampled(text)
+                    data, at, first, last, core, around = sampled(text)
                     keep = np.flatnonzero(sieve(core))
                     if not len(keep):
                         continue
                     whole = data.tobytes()
                     for k, v in zip(out, (np.full(len(keep), text_key(text)), at[keep], core[keep], around[keep]), strict=True):
                         out[k].append(v)
-                    for e in at[keep].tolist():
-                        sides["left"].append(whole[max(0, e - SIDE) : e])
-                        sides["right"].append(whole[e + CORE : e + LENGTH])
+                    for e, a, b in zip(at[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
+                        sides["left"].append(whole[a:e])  # the strings this place stands for start from a to b
+                        sides["right"].append(whole[e + CORE : b + LENGTH])
                 if out["key"]:
                     yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()} | {k: pa.array(v, pa.binary()) for k, v in sides.items()})
 
@@ -170,30 +170,30 @@ def _occurrences(docs: DataFrame, cores: DataFrame) -> DataFrame:
 
 def repeated_prefixes(cores: np.ndarray, copies: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
     """For surroundings of places (rows, sorted by core), whether the string that starts l bytes before the place
-    is repeated: a boolean matrix of l = 0..SIDE."""
-    rows, width = len(cores), 2 * WINDOW
+    is repeated: a boolean matrix of l = 0..SIDE.  A row is the bytes before its core, the core, the bytes after."""
+    rows = len(cores)
     names = np.concatenate([[0], np.cumsum(cores[1:] != cores[:-1])])
-    text = np.empty((rows, width), np.int64)
-    text[:] = (257 + names[-1] + 1 + np.arange(rows))[:, None]  # where a text ends: a symbol of this row alone
-    for i, (a, b) in enumerate(zip(left, right, strict=True)):
-        text[i, SIDE - len(a) : SIDE] = np.frombuffer(a, np.uint8)
-        text[i, WINDOW : WINDOW + len(b)] = np.frombuffer(b, np.uint8)
-    text[:, :SIDE] += 1
-    text[:, WINDOW : WINDOW + SIDE] += 1
-    text[:, SIDE] = 257 + names
-    order = suffix_array(text.ravel())
-    order = order[order % width < WINDOW]  # starts of strings; equal prefixes stay together
-    starts = np.lib.stride_tricks.sliding_window_view(text.ravel(), WINDOW)
-    same = np.empty(len(order) - 1, bool)
-    for at in range(0, len(same), 1 << 16):
-        a, b = order[at : at + (1 << 16)], order[at + 1 : at + (1 << 16) + 1]
-        same[at : at + (1 << 16)] = (starts[a[: len(b)]] == starts[b]).all(axis=1)
+    before = np.fromiter(map(len, left), np.int64, rows)
+    size = before + 1 + np.fromiter(map(len, right), np.int64, rows)
+    end = np.cumsum(size)
+    text = np.frombuffer(b"".join(x for a, b in zip(left, right, strict=True) for x in (a, b"\0", b)), np.uint8).astype(np.int64) + 1
+    text[end - size + before] = 257 + names
+    row = np.repeat(np.arange(rows), size)
+    order = suffix_array(text)
+    whole = end[row[order]] - order >= WINDOW  # starts of strings, which lie in their row; equal prefixes stay together
+    order = order[whole]
+    starts = np.lib.stride_tricks.sliding_window_view(text.astype(np.int32), WINDOW)
+    same = np.empty(max(len(order) - 1, 0), bool)
+    for at in range(0, len(same), 1 << 15):
+        a, b = order[at : at + (1 << 15)], order[at + 1 : at + (1 << 15) + 1]
+        same[at : at + (1 << 15)] = (starts[a[: len(b)]] == starts[b]).all(axis=1)
     twice = np.zeros(len(order), bool)
     twice[1:] |= same
     twice[:-1] |= same
-    out = np.zeros(rows * width, bool)
-    out[order[twice]] = True
-    out = out.reshape(rows, width)[:, SIDE::-1][:, :WINDOW]
+    out = np.zeros((rows, WINDOW), bool)
+    found = order[twice]
+    owner = row[found]
+    out[owner, (end - size + before)[owner] - found] = True
     out[copies > 1] = True
     return out
 
@@ -272,19 +272,16 @@ def _masks(docs: DataFrame) -> DataFrame:
 
 def removed_spans(text: str, found: list[dict]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """The bytes of a text and its maximal runs (start, end) of bytes in repeated strings."""
-    data, at, first, last, _, _ = sampled(text)
-    masks = {f["at"]: f["mask"] for f in found}
-    change = np.zeros(len(data) + 1, np.int64)
-    for e, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
-        mask = masks.get(e)
-        if mask is not None:
-            bits = np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little")
-            starts = np.arange(a, b + 1)
-            starts = starts[bits[e - starts] == 1]
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + LENGTH, -1)
-    covered = np.concatenate([[0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]])
-    edges = np.diff(covered)
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    at, first, last = places(data, prefix_sums(data))
+    known = {f["at"]: i for i, f in enumerate(found)}
+    bits = np.unpackbits(np.frombuffer(b"".join(f["mask"] for f in found), np.uint8).reshape(len(found), -1), axis=1, bitorder="little")
+    bits = np.concatenate([bits, np.zeros((1, WINDOW), np.uint8)])  # the last row: places that are no repeat
+    row = np.repeat(np.array([known.get(e, -1) for e in at.tolist()], np.int64), last - first + 1)
+    repeated = bits[row, np.repeat(at, last - first + 1) - np.arange(len(row))].astype(np.int64)
+    sums = np.concatenate([np.zeros(LENGTH, np.int64), np.cumsum(repeated), np.full(LENGTH - 1, repeated.sum())])
+    covered = (sums[LENGTH:] > sums[: len(data)]).astype(np.int8)
+    edges = np.diff(np.concatenate([[0], covered, [0]]).astype(np.int8))
     return data, list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
 
 
