@@ -51,21 +51,15 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
-def arrow_tally(df: DataFrame, add: Callable[[dict[str, list], dict], None], schema: str, limit: int = 500_000, keyed: tuple[str, ...] = ()) -> DataFrame:
-    """(key, amount) rows: `add` tallies a batch into a dict, which is given out when it holds `limit` keys and at the end.
-
-    `keyed`: field names where the keys are tuples.
-    """
+def arrow_tally(df: DataFrame, add: Callable[[dict[str, list], dict], None], schema: str, limit: int = 500_000) -> DataFrame:
+    """(key, amount) rows: `add` tallies a batch into a dict, which is given out when it holds `limit` keys and at the end."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def out(tally: dict) -> pa.RecordBatch:
-        keys = pa.array(list(tally), target[0].type) if not keyed else pa.StructArray.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(zip(*tally, strict=True), target[0].type, strict=True)], fields=list(target[0].type)
-        )
-        return pa.RecordBatch.from_arrays([keys, pa.array(list(tally.values()), target[1].type)], schema=target)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip((tally.keys(), tally.values()), target, strict=True)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict = {}

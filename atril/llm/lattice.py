@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,9 @@ from atril.llm.common import arrow_map, arrow_tally, corpus_text, materialise, w
 
 #: Most frequent words that are sent to every task; the others are joined.
 HOT_WORDS = 200_000
-ROUNDS = 2
+ROUNDS = 1
+#: Distinct words a task holds before it gives its counts out.
+HELD = 400_000
 #: Most frequent values of the group column that make a class of their own.
 CLASSES = 8
 LN10 = math.log(10)
@@ -48,66 +53,81 @@ def read_vocabulary(path: str) -> dict[str, float]:
 
 
 class Lattice:
-    """Tree of the pieces: a node is (log-probability or None, piece, children)."""
+    """Tree of the pieces; a node is [children, log-probability or None, piece]."""
 
     def __init__(self, scores: dict[str, float]):
-        self.root: dict = {}
-        self.byte = [scores.get(f"<0x{b:02X}>", NEVER) for b in range(256)]
+        self.root: list = [{}, None, None]
+        self.byte = [scores.get(name, NEVER) for name in BYTES]
         for piece, score in scores.items():
             if len(piece) == 6 and piece.startswith("<0x"):
                 continue
             at = self.root
             for c in piece:
-                at = at.setdefault(c, {})
-            at[None] = (score, piece)
-
-    def edges(self, word: str, i: int):
-        """(end, log-probability, pieces) of what may be used from place i."""
-        at, n = self.root, len(word)
-        for j in range(i, n):
-            at = at.get(word[j])
-            if at is None:
-                break
-            if None in at:
-                yield j + 1, at[None][0], at[None][1]
-        spelled = word[i].encode("utf-8", "replace")
-        yield i + 1, sum(self.byte[b] for b in spelled), spelled
-
-    def forward(self, word: str) -> list[float]:
+                at = at[0].setdefault(c, [{}, None, None])
+            at[1], at[2] = score, piece
+
+    def edges(self, word: str) -> list[list[tuple]]:
+        """For every place the (end, log-probability, piece) from there; a character that is no piece is spelled in bytes."""
+        out, n, root = [], len(word), self.root[0]
+        for i in range(n):
+            here = []
+            tree, j = root, i
+            while j < n:
+                node = tree.get(word[j])
+                if node is None:
+                    break
+                j += 1
+                if node[1] is not None:
+                    here.append((j, node[1], node[2]))
+                tree = node[0]
+            if not here or here[0][0] > i + 1:
+                letters = word[i].encode("utf-8", "replace")
+                here.append((i + 1, sum(self.byte[b] for b in letters), letters))
+            out.append(here)
+        return out
+
+    def forward(self, edges: list[list[tuple]]) -> list[float]:
         """Log-probability of every prefix, over all its segmentations."""
         log1p, exp = math.log1p, math.exp
-        alpha = [NEVER] * (len(word) + 1)
+        alpha: list = [None] * (len(edges) + 1)
         alpha[0] = 0.0
-        for i in range(len(word)):
+        for i, steps in enumerate(edges):
             here = alpha[i]
-            for end, score, _ in self.edges(word, i):
+            for end, score, _ in steps:
                 a, b = alpha[end], here + score
-                if a == NEVER:
+                if a is None:
                     alpha[end] = b
+                elif a >= b:
+                    alpha[end] = a + log1p(exp(b - a))
                 else:
-                    alpha[end] = a + log1p(exp(b - a)) if a >= b else b + log1p(exp(a - b))
+                    alpha[end] = b + log1p(exp(a - b))
         return alpha
 
+    def score(self, word: str) -> float:
+        return self.forward(self.edges(word))[-1]
+
     def expected(self, word: str, n: float, uses: dict) -> None:
         """Add the expected uses of each piece in `n` occurrences of `word`."""
-        alpha, size, exp = self.forward(word), len(word), math.exp
-        total = alpha[size]
-        beta = [0.0] * (size + 1)  # share of the word's mass that passes a place, over its forward mass
-        beta[size] = n
-        for i in range(size - 1, -1, -1):
-            here, mass = alpha[i], 0.0
-            for end, score, piece in self.edges(word, i):
-                if beta[end]:
-                    part = beta[end] * exp(here + score - alpha[end])
-                    mass += part
-                    if type(piece) is bytes:
-                        for b in piece:
-                            name = BYTES[b]
-                            uses[name] = uses.get(name, 0.0) + part
-                    else:
+        edges, exp = self.edges(word), math.exp
+        alpha, size = self.forward(edges), len(edges)
+        passed = [0.0] * (size + 1)  # expected times that a segmentation has a cut at the place
+        passed[size] = n
+        into: list[list] = [[] for _ in range(size + 1)]
+        for i, steps in enumerate(edges):
+            for end, score, piece in steps:
+                into[end].append((i, score, piece))
+        for end in range(size, 0, -1):
+            here = passed[end]
+            if here:
+                total = alpha[end]
+                for i, score, piece in into[end]:
+                    part = here * exp(alpha[i] + score - total)
+                    passed[i] += part
+                    if type(piece) is str:
                         uses[piece] = uses.get(piece, 0.0) + part
-            beta[i] = mass
-        assert total > NEVER
+                    else:
+                        for b in piece:
+                            uses[BYTES[b]] = uses.get(BYTES[b], 0.0) + part
 
 
 def spelled(word: bytes) -> str:
@@ -120,18 +140,28 @@ def word_counts(docs: DataFrame, classes: int) -> DataFrame:
     `docs`: text, `class` (null: not for training).  The end of a document is the null word.
     """
 
-    def add(batch: dict[str, list], counted: dict) -> None:
-        for text, k in zip(batch["text"], batch["class"], strict=True):
-            for word, n in Counter(words(text)).items():
-                key = (word, k or 0)
-                counted[key] = counted.get(key, 0) + (n if k is not None else 0)
-            key = (None, k or 0)
-            counted[key] = counted.get(key, 0) + (k is not None)
-
-    tallied = arrow_tally(docs.select("text", "class"), add, "key struct<w: binary, k: int>, n long", keyed=("w", "k"))
-    return tallied.groupBy(F.col("key.w").alias("word")).agg(
-        *(F.sum(F.when(F.col("key.k") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(classes))
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: dict[int, Counter] = {}
+
+        def out(k: int) -> pa.RecordBatch:
+            found = counted.pop(k)
+            return pa.RecordBatch.from_pydict({
+                "word": pa.array(list(found), pa.binary()), "k": pa.array([k] * len(found), pa.int32()), "n": pa.array(list(found.values()), pa.int64())
+            })
+
+        for batch in batches:
+            for text, k in zip(batch["text"].to_pylist(), batch["class"].to_pylist(), strict=True):
+                k = -1 if k is None else k
+                tally = counted.setdefault(k, Counter())
+                tally.update(words(text))
+                tally[None] += 1
+                if len(tally) > HELD:
+                    yield out(k)
+        for k in list(counted):
+            yield out(k)
+
+    tallied = docs.select("text", "class").mapInArrow(run, "word binary, k int, n long")
+    return tallied.groupBy("word").agg(*(F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(classes)))
 
 
 def reestimate(vocabulary: DataFrame, scores: dict[str, float], rounds: int = ROUNDS, prior: float = PRIOR) -> dict[str, float]:
@@ -192,7 +222,7 @@ def score(
     def rate(batch: dict[str, list]) -> dict[str, list]:
         tree, out = Lattice(scores), []
         for i, word in enumerate(batch["word"]):
-            form = tree.forward(spelled(word))[-1]
+            form = tree.score(spelled(word))
             row = []
             for c in columns:
                 seen, room = batch[c][i], stats[f"v{c}"] + 1
@@ -220,9 +250,9 @@ def score(
         places, bases, seen, forms = table_of(known)
         for row, doc_id, used, text in zip(batch["row"], batch["doc_id"], batch["_used"], batch["text"], strict=True):
             found = words(text)
-            at = np.fromiter((places.get(w, -1) for w in found), np.int64, len(found))
+            at = np.fromiter(map(places.get, found, repeat(-1)), np.int64, len(found))
             here = at[at >= 0]
-            for word, times in Counter(w for w, i in zip(found, at, strict=True) if i < 0).items() if len(here) < len(found) else ():
+            for word, times in Counter(found[i] for i in np.flatnonzero(at < 0).tolist()).items():
                 add(row, None, None, None, None, None, None, word, times)
             add(row, doc_id, used, len(found) + 1, end_known + int(seen[here].sum()), end_base + float(bases[here].sum()),
                 (forms[here].sum(axis=0) + ends).tolist(), None, None)

@@ -8,6 +8,7 @@ over is packed first-fit, and the n-th document of a bin takes the n-th place th
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from functools import cache
@@ -19,26 +20,46 @@ from pyspark.sql import functions as F
 
 from atril.llm.common import arrow_map, corpus_text, materialise
 
-MAX_WORDS = 400_000
+MAX_WORDS = 1_000_000
+#: A full stop or comma after a letter is a token of its own in this tokenizer, so it needs no entry with each word.
+_POINT = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
+SEPARATOR = "~"
+TOGETHER = 512
 
 
 class WordCodec:
-    """Ids of texts by a tokenizer that drops white space; words met before are looked up."""
+    """Ids of texts by a tokenizer that lower-cases and drops white space; words met before are looked up."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.met: dict[bytes, bytes] = {}
+        alone = self.tool.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = alone[0] if len(alone) == 1 else None
+
+    def _ids(self, new: list[str]) -> list[np.ndarray]:
+        """Ids of words: many in one text with a separator that occurs in none of them."""
+        if self.separator is None or any(SEPARATOR in w for w in new):
+            return [np.array(e.ids, "<u4") for e in self.tool.encode_batch_fast(new, add_special_tokens=False)]
+        (code,) = self.tool.encode_batch_fast([f" {SEPARATOR} ".join(new)], add_special_tokens=False)
+        ids = np.array(code.ids, "<u4")
+        cuts = np.flatnonzero(ids == self.separator)
+        return [part[i > 0 :] for i, part in enumerate(np.split(ids, cuts))]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids.  ASCII white space always ends a word of this tokenizer."""
-        found = text.encode().split()
+        found = _POINT.sub(rb" \g<0>", text.encode().lower()).split()
         if len(self.met) > MAX_WORDS:
             self.met.clear()
         new = list(set(found).difference(self.met))
-        for word, code in zip(new, self.tool.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.met[word] = np.array(code.ids, "<u4").tobytes()
+        odd = [w for w in new if SEPARATOR.encode() in w]
+        plain = [w for w in new if SEPARATOR.encode() not in w] if odd else new
+        for group in (plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)):
+            for word, ids in zip(group, self._ids([w.decode() for w in group]), strict=True):
+                self.met[word] = ids.tobytes()
+        for word in odd:
+            self.met[word] = self._ids([word.decode()])[0].tobytes()
         return b"".join(map(self.met.__getitem__, found))
 
 
@@ -91,7 +112,7 @@ def _knapsack(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, C
     return float(best[room]), chosen
 
 
-def solve_patterns(demand: dict[int, int], room: int, gap: float = 1e-4) -> list[tuple[Counter, int]]:
+def solve_patterns(demand: dict[int, int], room: int, gap: float = 5e-4) -> list[tuple[Counter, int]]:
     """(pattern: places per bin, repetitions) covering the demand per bin size.
 
     Revised simplex over generated columns; it ends when no pattern prices above 1 + `gap` (the bound of the
