@@ -219,19 +219,24 @@ def score(
     n, v, n_end = stats["n"], stats["v"], sum(stats[f"e{c}"] for c in columns)
     scores = reestimate(counts.where("word IS NOT NULL").select("word", total.alias("c")).where("c > 0"), read_vocabulary(path), rounds)
 
-    def rate(batch: dict[str, list]) -> dict[str, list]:
-        tree, out = Lattice(scores), []
-        for i, word in enumerate(batch["word"]):
-            form = tree.score(spelled(word))
-            row = []
-            for c in columns:
-                seen, room = batch[c][i], stats[f"v{c}"] + 1
-                whole = stats[f"n{c}"] + room + 1
-                row.append((math.log(seen + room * math.exp(form)) if seen else math.log(room) + form) / LN10 - math.log10(whole))
-            out.append(row)
-        return {"word": batch["word"], "c": [sum(x) for x in zip(*(batch[c] for c in columns), strict=True)], "p": out}
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    rated = materialise(arrow_map(counts.where("word IS NOT NULL"), rate, "word binary, c long, p array<double>", 50_000), "rated")
+        tree = Lattice(scores)
+        for batch in batches:
+            form = np.array([tree.score(spelled(w)) for w in batch["word"].to_pylist()])
+            every = []
+            for c in columns:
+                seen, room = batch[c].to_numpy(), stats[f"v{c}"] + 1
+                tail = math.log(room) + form
+                known = np.logaddexp(np.log(np.maximum(seen, 1)), tail)
+                every.append(np.where(seen > 0, known, tail) / LN10 - math.log10(stats[f"n{c}"] + room + 1))
+            flat = pa.array(np.stack(every, axis=1).ravel())
+            total = sum(batch[c].to_numpy() for c in columns)
+            offsets = pa.array(np.arange(len(form) + 1, dtype=np.int32) * len(columns))
+            yield pa.RecordBatch.from_pydict({"word": batch["word"], "c": pa.array(total, pa.int64()), "p": pa.ListArray.from_arrays(offsets, flat)})
+
+    rated = materialise(counts.where("word IS NOT NULL").mapInArrow(rate, "word binary, c long, p array<double>"), "rated")
     top = rated.orderBy(F.desc("c"), "word").limit(hot)
     base_of = math.log10(n + v + 1)
     known = spark.sparkContext.broadcast({bytes(r.word): (math.log10(r.c + 1) - base_of, int(r.c > 0), r.p) for r in top.toLocalIterator()})

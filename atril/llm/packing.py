@@ -38,14 +38,15 @@ class WordCodec:
         alone = self.tool.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = alone[0] if len(alone) == 1 else None
 
-    def _ids(self, new: list[str]) -> list[np.ndarray]:
+    def _ids(self, new: list[str]) -> list[bytes]:
         """Ids of words: many in one text with a separator that occurs in none of them."""
         if self.separator is None or any(SEPARATOR in w for w in new):
-            return [np.array(e.ids, "<u4") for e in self.tool.encode_batch_fast(new, add_special_tokens=False)]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(new, add_special_tokens=False)]
         (code,) = self.tool.encode_batch_fast([f" {SEPARATOR} ".join(new)], add_special_tokens=False)
         ids = np.array(code.ids, "<u4")
-        cuts = np.flatnonzero(ids == self.separator)
-        return [part[i > 0 :] for i, part in enumerate(np.split(ids, cuts))]
+        cuts = (4 * np.flatnonzero(ids == self.separator)).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids.  ASCII white space always ends a word of this tokenizer."""
@@ -57,9 +58,9 @@ class WordCodec:
         plain = [w for w in new if SEPARATOR.encode() not in w] if odd else new
         for group in (plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)):
             for word, ids in zip(group, self._ids([w.decode() for w in group]), strict=True):
-                self.met[word] = ids.tobytes()
+                self.met[word] = ids
         for word in odd:
-            self.met[word] = self._ids([word.decode()])[0].tobytes()
+            self.met[word] = self._ids([word.decode()])[0]
         return b"".join(map(self.met.__getitem__, found))
 
 
