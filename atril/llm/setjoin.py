@@ -249,8 +249,15 @@ def jaccard_classes(docs: DataFrame, least: int = 75) -> DataFrame:
     ), "sets")
     near = _with_pivots(docs, sets, least)
     known = components(near)
-    links = near.unionByName(_by_matrix(docs, sets, known, least))
-    classes = components(links).withColumnRenamed("node", "sid")
+    # Later links join classes, so the second search for components sees classes only.
+    more = _by_matrix(docs, sets, known, least)
+    for end in ("a", "b"):
+        more = more.join(known.select(F.col("node").alias(end), F.col("component").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+    later = components(more).select("node", F.col("component").alias("_later"))
+    alone = later.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
+    classes = known.unionByName(alone).join(later.withColumnRenamed("node", "component"), "component", "left").select(
+        F.col("node").alias("sid"), F.coalesce("_later", "component").alias("component")
+    )
     classes = classes.join(sets.select("sid", "doc_id"), "sid")
     smallest = classes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
     of_set = sets.select("sid", "doc_id").join(classes.select("sid", "component").join(smallest, "component"), "sid", "left").select(
