@@ -116,7 +116,7 @@ def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = ARCHI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, size = TaskContext.get().partitionId(), 0, 0
-        tool, parts = zlib.compressobj(6, wbits=31), []
+        tool, parts = zlib.compressobj(1, wbits=31), []
 
         def close() -> pa.RecordBatch:
             name = f"part-{task:06d}-{made:04d}.warc.gz"
@@ -129,7 +129,7 @@ def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = ARCHI
                 size += len(data)
                 if size >= archive_bytes:
                     yield close()
-                    tool, parts, made, size = zlib.compressobj(6, wbits=31), [], made + 1, 0
+                    tool, parts, made, size = zlib.compressobj(1, wbits=31), [], made + 1, 0
         if size:
             yield close()
 
