@@ -125,19 +125,25 @@ def ingest_documents(
 
     Binary office formats arrive with their decoded text in `decoded`.  The document id is
     derived from the bytes, so a rerun gives the same rows.  A document that cannot be read
-    or split is reported as failed and does not disturb the others.
+    or split is reported as failed and does not disturb the others.  Every row of `files` gives
+    one document row: of rows with equal bytes the first by name is ingested and the others are
+    duplicates, whatever their names; content left out by `scan_files` (its `length` is over the
+    limit) is too large; other rows without content are unreadable.
     """
     f = files
-    for extra in ("decoded", "summary"):
+    for extra, kind in (("decoded", "string"), ("summary", "string"), ("length", "long")):
         if extra not in f.columns:
-            f = f.withColumn(extra, F.lit(None).cast("string"))
+            f = f.withColumn(extra, F.lit(None).cast(kind))
+    # File names repeat, so a row is told apart by a number that is written down before it is used.
+    f = materialise(f.withColumn("_row", F.monotonically_increasing_id()), "uploads")
     kind = F.coalesce(tx.file_type(F.col("file_name")), F.lit("txt"))
     f = f.withColumns({
         "file_type": kind,
-        "content_hash": tx.content_hash(F.col("content")),
-        "too_large": F.length("content") > S.MAX_UPLOAD_BYTES,
-    }).withColumn("upload_id", F.col("file_name"))
-    small = f.where(~F.col("too_large"))
+        "content_hash": tx.content_hash(F.coalesce(F.col("content"), F.col("decoded").cast("binary"))),
+        "too_large": F.coalesce(F.col("length"), F.length("content"), F.lit(0)) > S.MAX_UPLOAD_BYTES,
+    }).withColumn("upload_id", F.struct("file_name", "_row"))
+    empty = f.where(~F.col("too_large") & F.col("content_hash").isNull())
+    small = f.where(~F.col("too_large") & F.col("content_hash").isNotNull())
     if known_documents is None:
         known_documents = small.select("content_hash", F.lit("failed").alias("ingestion_status")).limit(0)
     fresh, duplicate = content_hash_duplicates(small, known_documents)
@@ -148,6 +154,7 @@ def ingest_documents(
         F.when(F.col("file_type") == "txt", raw),
         F.when(F.col("file_type") == "csv", csv_rows_text(F.when(F.col("file_type") == "csv", raw))))
     read = fresh.withColumn("document_id", F.col("content_hash")).withColumn("text", tx.clean_text(text))
+    read = materialise(read.drop("content", "upload_id", "_row", "too_large"), "texts")  # each text is decoded once
     summed = build_document_text(validate_summary(read))
     split = summed.withColumn("pieces", routed_pieces(size, overlap)).select(
         "document_id", "file_name", "file_type", "content_hash", F.col("text").isNull().alias("unread"), "pieces")
@@ -161,10 +168,10 @@ def ingest_documents(
 
     def rejected(df: DataFrame, status: str, reason: str) -> DataFrame:
         return df.select(
-            F.col("content_hash").alias("document_id"), "file_name", "file_type", "content_hash",
+            F.coalesce("content_hash", tx.content_hash(F.col("file_name"))).alias("document_id"), "file_name", "file_type", "content_hash",
             F.lit(status).alias("ingestion_status"), F.lit(0).alias("total_chunks"), F.lit(reason).alias("error"))
 
     documents = done.unionByName(rejected(duplicate, "duplicate", "same content already ingested")).unionByName(
-        rejected(f.where("too_large"), "failed", "too large"))
+        rejected(f.where("too_large"), "failed", "too large")).unionByName(rejected(empty, "failed", "unreadable"))
     chunks = embed_texts(_explode_pieces(split, F.col("pieces")), "content", embed_fn, model)
     return documents, chunks

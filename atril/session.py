@@ -30,9 +30,18 @@ def get_session(app: str = "atril", master: str | None = None, **conf: str) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Without it, a session whose executors are threads of this process uses a scratch folder; any other raises,
+    since executors and driver would not see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", "")
-    return named or tempfile.mkdtemp(prefix="atril-checkpoint-")
+    if named:
+        return named
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="atril-checkpoint-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

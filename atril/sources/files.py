@@ -37,12 +37,16 @@ def scan_text_files(spark: SparkSession, path: str, pattern: str = "*.{txt,md}")
 
 @F.pandas_udf(T.StringType())
 def csv_rows_text(texts: pd.Series) -> pd.Series:
-    """CSV text to pipe-joined rows; rows without a non-empty cell are dropped."""
+    """CSV text to pipe-joined rows; rows without a non-empty cell are dropped.  Text that is no
+    readable CSV (an unclosed quote, a NUL) is returned as it is."""
 
     def one(text):
         if text is None:
             return None
-        rows = ([c.strip() for c in row] for row in csv.reader(io.StringIO(text, newline="")))
+        try:
+            rows = [[c.strip() for c in row] for row in csv.reader(io.StringIO(text, newline=""))]
+        except csv.Error:
+            return text
         return "\n".join(" | ".join(row).strip(" |") for row in rows if any(row))
 
     return texts.map(one)

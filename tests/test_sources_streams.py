@@ -75,3 +75,38 @@ def test_stream_ingest_skips_known_content(spark):
     got = {r.file_name: r.ingestion_status for r in spark.read.parquet(f"{path}/documents").collect()}
     assert got == {"a.txt": "completed", "b.txt": "duplicate", "c.txt": "completed"}
     assert spark.read.parquet(f"{path}/chunks").count() == 2
+
+
+def test_every_upload_is_accounted_for(spark):
+    from atril.operators.ingest import ingest_documents
+
+    bad_csv = b'a,"b\n' + b"x" * 140_000
+    rows = [
+        ("a.txt", b"uno", None), ("x.txt", b"uno", None), ("x.txt", b"dos", None), ("x.txt", b"dos", None),
+        ("bad.csv", bad_csv, None), ("good.csv", b"h,k\n1,2\n", None), ("big.txt", None, 60 * 1024 * 1024), ("gone.txt", None, None),
+    ]
+    files = spark.createDataFrame(rows, "file_name string, content binary, length long")
+    documents, chunks = ingest_documents(files)
+    got = sorted((r.file_name, r.ingestion_status, r.error) for r in documents.collect())
+    same = "same content already ingested"
+    assert got == [
+        ("a.txt", "completed", None), ("bad.csv", "completed", None), ("big.txt", "failed", "too large"), ("gone.txt", "failed", "unreadable"),
+        ("good.csv", "completed", None), ("x.txt", "completed", None), ("x.txt", "duplicate", same), ("x.txt", "duplicate", same),
+    ]
+    assert chunks.where("file_name = 'x.txt'").count() == 1 if "file_name" in chunks.columns else chunks.count() >= 4
+
+
+def test_no_shared_folder_is_an_error():
+    from atril.session import checkpoint_dir
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    import pytest
+
+    assert checkpoint_dir(Session(**{"spark.checkpoint.dir": "s3://b/c", "spark.master": "yarn"})) == "s3://b/c"
+    assert checkpoint_dir(Session(**{"spark.master": "local[2]"}))
+    for master in ("yarn", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(ValueError):
+            checkpoint_dir(Session(**{"spark.master": master}))
