@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from atril.llm.common import arrow_map, corpus_text
 
 MAX_STATES = 200_000
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 1_000_000
 DECODE_BLOCK = 16_384
 #: A single space between two other characters always opens a new match of the pattern.
 _GAP = regex.compile(r"(?<=[^\s\x1c-\x1f\x85\xa0]) (?=[^\s\x1c-\x1f\x85\xa0])")
