@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atril.llm.common import Sieve, arrow_map, components, corpus_text, materialise, words
+from atril.llm.common import Sieve, arrow_map, components, corpus_text, materialise
 
 SHINGLE = 5
 GROUP = 64
@@ -30,6 +30,8 @@ FREQUENT = 500_000
 ASKING = 256
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+_NEXT = np.uint64(0xD6E8FEB86659FD93)
+_IN_WORD = ~np.isin(np.arange(256), [32, *range(9, 14)])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -52,19 +54,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `SHINGLE` words (fewer words: of all of them)."""
-    found = words(text)
-    if not found:
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _IN_WORD[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edge[::2], edge[1::2]
+    if not len(first):
         return np.empty(0, np.int64)
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    run = min(SHINGLE, len(found))
-    first, last = start[: len(found) - run + 1], (start + size)[run - 1 :]
-    data = np.frombuffer(b" ".join(found), np.uint8)
     up, down = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-    return np.unique(hashes.view(np.int64))
+    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    words = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    run = min(SHINGLE, len(words))
+    size = len(words) - run + 1
+    hashes = words[:size].copy()
+    for k in range(1, run):
+        hashes *= _NEXT
+        hashes += words[k : k + size]
+    hashes = np.sort(mix(hashes).view(np.int64))
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -92,23 +100,28 @@ def _signatures(docs: DataFrame) -> DataFrame:
             out["sid"].append(set_id(tokens) if len(tokens) else None)
             for i, salt in enumerate(salts):
                 out[f"k{i}"].append(int(mix(tokens.view(np.uint64) ^ salt).min().view(np.int64)) if len(tokens) else None)
-        return {"doc_id": batch["doc_id"], **out}
+        return {"doc_id": batch["doc_id"], "row": batch["row"], **out}
 
     keys = ", ".join(f"k{i} long" for i in range(KEYS))
-    return materialise(arrow_map(corpus_text(docs), rows, f"doc_id long, n long, sid long, {keys}"), "signatures")
+    return materialise(arrow_map(_named_rows(docs), rows, f"doc_id long, row long, n long, sid long, {keys}"), "signatures")
+
+
+def _named_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and `row`, a hash of both."""
+    return corpus_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """(`sid`, `text`) of the sets in `wanted`, one text each; only those texts are shuffled."""
-    sieve = Sieve(sets.join(wanted, "sid").select(F.xxhash64("doc_id").alias("h")), "h")
+    one = sets.join(wanted, "sid").select("sid", "row")
+    sieve = Sieve(one, "row")
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
-        keep = np.flatnonzero(sieve(np.array(batch["h"], np.int64)))
-        texts = [batch["text"][i] for i in keep]
-        return {"sid": [set_id(t) if len(t := shingles(x)) else None for x in texts], "text": texts}
+        keep = np.flatnonzero(sieve(np.array(batch["row"], np.int64)))
+        return {"row": [batch["row"][i] for i in keep], "text": [batch["text"][i] for i in keep]}
 
-    found = arrow_map(corpus_text(docs).select(F.xxhash64("doc_id").alias("h"), "text"), rows, "sid long, text string")
-    return found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    found = arrow_map(_named_rows(docs).select("row", "text"), rows, "row long, text string")
+    return found.join(one, "row").select("sid", "text").dropDuplicates(["sid"])
 
 
 def _with_pivots(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -143,9 +156,10 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(FREQUENT).toLocalIterator()], np.int64))
 
 
-def _first_tokens(docs: DataFrame, frequent, least: int, sieve: Sieve | None) -> DataFrame:
+def _first_tokens(docs: DataFrame, frequent, least: int, chosen: Sieve, sieve: Sieve | None) -> DataFrame:
     """(`token`, `sid`, `n`, `index`): the first tokens of each set, rare ones first; `index`: also among those
-    by which a set is found by one at least as large.  With `sieve`, only tokens that pass it."""
+    by which a set is found by one at least as large.  `chosen` passes a row of every set.  With `sieve`, only
+    tokens that pass it."""
     other = 100 + least
 
     def run(batches):
@@ -153,7 +167,8 @@ def _first_tokens(docs: DataFrame, frequent, least: int, sieve: Sieve | None) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 tokens, sids, sizes, index = [], [], [], []
-                for text in batch["text"].slice(at, 512).to_pylist():
+                part = batch.slice(at, 512)
+                for text in part["text"].filter(pa.array(chosen(part["row"].to_numpy()))).to_pylist():
                     found = shingles(text)
                     n = len(found)
                     if not n or (sid := set_id(found)) in done:
@@ -178,16 +193,17 @@ def _first_tokens(docs: DataFrame, frequent, least: int, sieve: Sieve | None) ->
                         "token": np.concatenate(tokens), "sid": np.concatenate(sids), "n": np.concatenate(sizes), "index": np.concatenate(index)
                     })
 
-    return corpus_text(docs).select("text").mapInArrow(run, "token long, sid long, n long, index boolean")
+    return _named_rows(docs).select("row", "text").mapInArrow(run, "token long, sid long, n long, index boolean")
 
 
 def _by_matrix(docs: DataFrame, sets: DataFrame, known: DataFrame, least: int) -> DataFrame:
     """Links (a, b) between sets of different `known` classes (node, component), found by the token-group matrix."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(_frequent(docs))
-    rows = _first_tokens(docs, frequent, least, None)
+    chosen = Sieve(sets, "row")
+    rows = _first_tokens(docs, frequent, least, chosen, None)
     shared = materialise(rows.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("token"), "shared")
-    rows = _first_tokens(docs, frequent, least, Sieve(shared, "token")).join(shared, "token", "left_semi")
+    rows = _first_tokens(docs, frequent, least, chosen, Sieve(shared, "token")).join(shared, "token", "left_semi")
     # Groups: sets with one min-hash, in parts of about GROUP by hash where there are more.
     size = sets.groupBy("k0").agg(F.min("sid").alias("g"), F.count(F.lit(1)).alias("m"))
     classes = sets.join(size, "k0").select(
@@ -245,7 +261,7 @@ def jaccard_classes(docs: DataFrame, least: int = 75) -> DataFrame:
     """
     signed = _signatures(docs)
     sets = materialise(signed.where("sid IS NOT NULL").groupBy("sid").agg(
-        F.min("doc_id").alias("doc_id"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(KEYS))
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(KEYS))
     ), "sets")
     near = _with_pivots(docs, sets, least)
     known = components(near)
