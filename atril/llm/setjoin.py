@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,10 @@ def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _unpacked(packed: bytes) -> np.ndarray:
+    return shingles(zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass"))
+
+
 def linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     """100 * intersection >= least * union."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -112,16 +117,17 @@ def _named_rows(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(`sid`, `text`) of the sets in `wanted`, one text each; only those texts are shuffled."""
+    """(`sid`, `packed`) of the sets in `wanted`, one compressed text each; only those texts are shuffled."""
     one = sets.join(wanted, "sid").select("sid", "row")
     sieve = Sieve(one, "row")
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         keep = np.flatnonzero(sieve(np.array(batch["row"], np.int64)))
-        return {"row": [batch["row"][i] for i in keep], "text": [batch["text"][i] for i in keep]}
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return {"row": [batch["row"][i] for i in keep], "packed": [pack(batch["text"][i].encode("utf-8", "surrogatepass")) for i in keep]}
 
-    found = arrow_map(_named_rows(docs).select("row", "text"), rows, "row long, text string")
-    return found.join(one, "row").select("sid", "text").dropDuplicates(["sid"])
+    found = arrow_map(_named_rows(docs).select("row", "text"), rows, "row long, packed binary")
+    return found.join(one, "row").dropDuplicates(["row"]).select("sid", "packed")
 
 
 def _with_pivots(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -130,15 +136,15 @@ def _with_pivots(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     pivots = long.groupBy("i", "key").agg(F.min("sid").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     pairs = materialise(long.join(pivots, ["i", "key"]).where("sid <> pivot").select("sid", "pivot").distinct(), "pairs")
     texts = materialise(_texts(docs, sets, pairs.select("sid").unionByName(pairs.select(F.col("pivot").alias("sid"))).distinct()), "texts")
-    both = pairs.join(texts, "sid").join(texts.select(F.col("sid").alias("pivot"), F.col("text").alias("other")), "pivot")
+    both = pairs.join(texts, "sid").join(texts.select(F.col("sid").alias("pivot"), F.col("packed").alias("other")), "pivot")
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         met: dict[int, np.ndarray] = {}
         keep = []
-        for i, (pivot, text, other) in enumerate(zip(batch["pivot"], batch["text"], batch["other"], strict=True)):
+        for i, (pivot, text, other) in enumerate(zip(batch["pivot"], batch["packed"], batch["other"], strict=True)):
             if pivot not in met:
-                met[pivot] = shingles(other)
-            if linked(shingles(text), met[pivot], least):
+                met[pivot] = _unpacked(other)
+            if linked(_unpacked(text), met[pivot], least):
                 keep.append(i)
         return {"a": [batch["sid"][i] for i in keep], "b": [batch["pivot"][i] for i in keep]}
 
@@ -230,14 +236,14 @@ def _by_matrix(docs: DataFrame, sets: DataFrame, known: DataFrame, least: int) -
     both = asking.unionByName(inside).join(texts, "sid").join(classes.select("sid", "component"), "sid")
 
     def open_group(rows: pa.Table) -> pa.Table:
-        found = rows.select(["sid", "member", "component", "text"]).to_pylist()
-        own = [(r["sid"], r["component"], shingles(r["text"])) for r in found if r["member"]]
+        found = rows.select(["sid", "member", "component", "packed"]).to_pylist()
+        own = [(r["sid"], r["component"], _unpacked(r["packed"])) for r in found if r["member"]]
         union = np.unique(np.concatenate([t for _, _, t in own])) if own else np.empty(0, np.int64)
         a, b = [], []
         for r in found if own else ():
             if r["member"]:
                 continue
-            tokens = shingles(r["text"])
+            tokens = _unpacked(r["packed"])
             at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
             if 100 * int((union[at] == tokens).sum()) < least * len(tokens):
                 continue
