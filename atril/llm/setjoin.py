@@ -208,7 +208,7 @@ def _by_matrix(docs: DataFrame, sets: DataFrame, known: DataFrame, least: int) -
     frequent = spark.sparkContext.broadcast(_frequent(docs))
     chosen = Sieve(sets, "row")
     rows = _first_tokens(docs, frequent, least, chosen, None)
-    shared = materialise(rows.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("token"), "shared")
+    shared = materialise(rows.groupBy("token").count().where("count > 1").select("token"), "shared")
     rows = _first_tokens(docs, frequent, least, chosen, Sieve(shared, "token")).join(shared, "token", "left_semi")
     # Groups: sets with one min-hash, in parts of about GROUP by hash where there are more.
     size = sets.groupBy("k0").agg(F.min("sid").alias("g"), F.count(F.lit(1)).alias("m"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atril.llm import packing, secret_scan, setjoin, suffixes, toxicity
+from atril.llm.common import materialise
 from atril.llm.queries import toxic_lexicon
 
 
@@ -20,12 +21,22 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null doc_id can't stand for a class and is kept only outside of any.
     """
-    classes = setjoin.jaccard_classes(docs).select("doc_id", "component_id").distinct()
-    stand_in = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    kept = docs.join(stand_in, docs["doc_id"].eqNullSafe(stand_in["doc_id"]), "left_semi")
-    # Rows with one doc_id and the same text are copies of each other; empty texts link with nothing.
+    classes = setjoin.jaccard_classes(docs).select("doc_id", "component_id")
+    stand_in = materialise(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "stand-ins")
+    # Null ids apart, so that the join and the choice of one row share one exchange of the texts.
+    named = docs.where("doc_id IS NOT NULL").join(stand_in, "doc_id", "left_semi")
+    no_id = F.broadcast(stand_in.where("doc_id IS NULL"))  # one row at most
+    unnamed = docs.where("doc_id IS NULL").join(no_id, docs["doc_id"].eqNullSafe(no_id["doc_id"]), "left_semi")
+    return _one_each(named, docs.columns).unionByName(_one_each(unnamed, docs.columns))
+
+
+def _one_each(kept: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of each doc_id, and all without words: rows with one doc_id and the same text are copies of each
+    other, while empty texts link with nothing."""
     wordless = F.length(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     "))) == 0
-    return kept.where(wordless).unionByName(kept.where(~wordless).dropDuplicates(["doc_id"]))
+    own = "_" * (1 + max(map(len, columns)))  # no column has this name
+    marked = kept.select(*columns, F.when(wordless, F.monotonically_increasing_id()).alias(own))
+    return marked.dropDuplicates(["doc_id", own]).select(*columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
