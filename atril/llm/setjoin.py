@@ -240,6 +240,13 @@ def _by_matrix(docs: DataFrame, sets: DataFrame, known: DataFrame, least: int) -
         own = [(r["sid"], r["component"], _unpacked(r["packed"])) for r in found if r["member"]]
         union = np.unique(np.concatenate([t for _, _, t in own])) if own else np.empty(0, np.int64)
         a, b = [], []
+        joined: dict[int, int] = {}  # classes connected by the links given out here; one more link says nothing
+
+        def top(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
         for r in found if own else ():
             if r["member"]:
                 continue
@@ -247,10 +254,10 @@ def _by_matrix(docs: DataFrame, sets: DataFrame, known: DataFrame, least: int) -
             at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
             if 100 * int((union[at] == tokens).sum()) < least * len(tokens):
                 continue
-            joined = {r["component"]}
+            mine = top(r["component"])
             for sid, component, others in own:
-                if component not in joined and linked(tokens, others, least):
-                    joined.add(component)
+                if (other := top(component)) != mine and linked(tokens, others, least):
+                    joined[other] = mine
                     a.append(r["sid"])
                     b.append(sid)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
