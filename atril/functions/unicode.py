@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` evaluated once, however often the body names it.
 
@@ -28,26 +27,29 @@ def let(value: Column, body) -> Column:
 _HANGUL = range(0xAC00, 0xD7A4)
 
 
-def _folding() -> tuple[str, str, dict[str, str]]:
-    src, dst, multi = [], [], {}
-    for cp in range(0xA0, 0x10000):
+def _folding() -> tuple[str, str, dict[str, str], list[int]]:
+    """Folded characters, for text in lower case (capitals matter where the JVM knows fewer of them), and those that go."""
+    src, dst, multi, gone = [], [], {}, []
+    for cp in range(0xA0, 0x110000):
         ch = chr(cp)
         if cp in _HANGUL or 0xD800 <= cp <= 0xDFFF:
             continue
         folded = "".join(
-            c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)
+            c for c in unicodedata.normalize("NFKD", ch.lower()) if not unicodedata.combining(c)
         )
         if folded == ch:
             continue
-        if len(folded) == 1 and ord(folded) < 0x10000:
+        if len(folded) == 1:
             src.append(ch)
             dst.append(folded)
-        elif len(folded) > 1:
+        elif folded:
             multi[ch] = folded
-    return "".join(src), "".join(dst), multi
+        else:
+            gone.append(cp)
+    return "".join(src), "".join(dst), multi, gone
 
 
-_SRC, _DST, _MULTI = _folding()
+_SRC, _DST, _MULTI, _GONE = _folding()
 
 
 def _char_class(code_points: list[int]) -> str:
@@ -61,18 +63,29 @@ def _char_class(code_points: list[int]) -> str:
 
 
 _MULTI_TEXT = "\u0001".join(f"{k}\u0002{v}" for k, v in _MULTI.items())
-_MULTI_CLASS = _char_class([ord(c) for c in _MULTI])
-_COMBINING = _char_class([cp for cp in range(0x300, 0x10000) if unicodedata.combining(chr(cp))])
+_MULTI_CLASS = _char_class([*map(ord, _MULTI), *_HANGUL])
+_COMBINING = _char_class(_GONE)
 # One-range tests that spare almost every row the long classes above.
 _BEYOND_LATIN = "[\\x{300}-\\x{10FFFF}]"
 _MAYBE_MULTI = "[\\x{BC}-\\x{BE}\\x{132}-\\x{10FFFF}]"
 
 
+def _jamo(syllable: Column) -> Column:
+    """The letters of a Hangul syllable, by the standard's arithmetic (21 vowels, 27 tails and none)."""
+    at = F.ascii(syllable) - F.lit(_HANGUL.start)
+
+    def letter(first: int, many: int, place: Column) -> Column:
+        return F.substr(F.lit("".join(map(chr, range(first, first + many)))), place + 1, F.lit(1))
+
+    tail = F.when(at % 28 > 0, letter(0x11A8, 27, at % 28 - 1)).otherwise("")
+    return F.concat(letter(0x1100, 19, F.floor(at / 588).cast("int")), letter(0x1161, 21, F.floor(at % 588 / 28).cast("int")), tail)
+
+
 def fold(text: Column, wide: bool = False) -> Column:
     """Lower case, compatibility-decompose, drop combining marks.
 
-    `wide=True` also expands the rare characters that decompose to several
-    (ligatures, fractions).
+    `wide=True` also expands the characters that decompose to several
+    (ligatures, fractions, Hangul syllables).
     """
     base = let(
         F.translate(F.lower(text), _SRC, _DST),
@@ -83,7 +96,9 @@ def fold(text: Column, wide: bool = False) -> Column:
     def spelled(b: Column) -> Column:
         # one literal that folds to a map, instead of a node per entry
         table = F.str_to_map(F.lit(_MULTI_TEXT), F.lit("\u0001"), F.lit("\u0002"))
-        return F.array_join(F.transform(F.split(b, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+        hangul = lambda c: c.between(F.lit(chr(_HANGUL.start)), F.lit(chr(_HANGUL.stop - 1)))
+        return F.array_join(F.transform(F.split(b, ""), lambda c: F.when(hangul(c), _jamo(c)).otherwise(
+            F.coalesce(F.try_element_at(table, c), c))), "")
 
     return let(base, lambda b: F.when(b.rlike(_MAYBE_MULTI) & b.rlike(_MULTI_CLASS), spelled(b)).otherwise(b))
 

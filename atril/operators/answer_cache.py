@@ -56,7 +56,7 @@ def answer_cache_lookup(
     best = R.vector_topk(queries, live.select("chunk_id", "embedding"), 1, 1e-8)
     found = live.select(
         "chunk_id", "entry_id", F.col("question").alias("cached_question"), "answer", "sources"
-    ).join(F.broadcast(best) if _bounded(queries) else best, "chunk_id").drop("chunk_id", "rn")
+    ).join(best, "chunk_id").drop("chunk_id", "rn")
     j = queries.select("query_id", "query_text").join(found, "query_id", "left")
     guarded = F.col("query_text") != ""
     outcome = (
@@ -69,10 +69,6 @@ def answer_cache_lookup(
                     F.when(outcome == "hit", F.col("answer")).alias("answer"))
 
 
-def _bounded(queries: DataFrame) -> bool:
-    return queries.limit(S.QUERY_BLOCK_ROWS + 1).count() <= S.QUERY_BLOCK_ROWS
-
-
 def cache_admission(turns: DataFrame, documents: DataFrame, capacity: int = S.CACHE_CAPACITY) -> DataFrame:
     """Turns whose answer may be reused; any later document change clears them."""
     ok = turns.where(

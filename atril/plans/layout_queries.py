@@ -173,9 +173,9 @@ def _(v):
 
 
 @query("column_islands", """SELECT file, sheet, col, col - dense_rank() OVER (PARTITION BY file, sheet ORDER BY col) AS island
-    FROM (SELECT DISTINCT file, sheet, col FROM grid_cells WHERE row >= 100 AND value <> '')""")
+    FROM (SELECT DISTINCT file, sheet, col FROM grid_cells WHERE value <> '')""")
 def _(v):
-    return L.column_islands(grid_cells(v).where(C("row") >= 100)).withColumn("island", C("island").cast("long"))
+    return L.column_islands(grid_cells(v)).withColumn("island", C("island").cast("long"))
 
 
 @query("footer_blocks", RANGES + """, below AS (SELECT c.* FROM grid_cells c JOIN stop s USING (file, sheet) WHERE c.row >= s.footer_row AND NOT (s.is_total AND c.row = s.footer_row) AND c.value <> ''),

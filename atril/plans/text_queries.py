@@ -109,10 +109,16 @@ def _(v):
 
 
 @query("keyword_score", f"""SELECT d.doc_id, round(len(list_intersect({set_sql('b.text')}, {set_sql('d.text')}))::DOUBLE
-    / len({set_sql('b.text')}), 6) AS score FROM documents d JOIN benchmark b ON b.item_id = d.doc_id""")
+    / len({set_sql('b.text')}), 6) AS score FROM documents d JOIN documents b ON b.doc_id = d.doc_id + 1""")
 def _(v):
-    b = v["benchmark"].select(C("item_id").alias("doc_id"), C("text").alias("q"))
-    return v["documents"].join(b, "doc_id").select("doc_id", F.round(tx.keyword_score(C("q"), C("text")), 6).alias("score"))
+    """Every document against its neighbour's words."""
+    return _beside(v).select("doc_id", F.round(tx.keyword_score(C("other"), C("text")), 6).alias("score"))
+
+
+def _beside(v):
+    """Each document with the text of the next one."""
+    d = v["documents"].select("doc_id", "text")
+    return d.join(d.select((C("doc_id") - 1).alias("doc_id"), C("text").alias("other")), "doc_id")
 
 
 def _list(values):
@@ -318,11 +324,11 @@ def _(v):
 
 @query("word_set_ops", f"""SELECT d.doc_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS n_and,
     CAST(len(list_distinct(list_concat(a, b))) AS BIGINT) AS n_or, len(list_intersect(a, b)) = len(a) AS is_subset
-    FROM (SELECT d.doc_id, {set_sql('b.text')} AS a, {set_sql('d.text')} AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id) d""")
+    FROM (SELECT d.doc_id, {set_sql('b.text')} AS a, {set_sql('d.text')} AS b FROM documents d JOIN documents b ON b.doc_id = d.doc_id + 1) d""")
 def _(v):
-    b = v["benchmark"].select(C("item_id").alias("doc_id"), tx.word_set(C("text")).alias("a"))
-    d = v["documents"].select("doc_id", tx.word_set(C("text")).alias("b"))
-    return d.join(b, "doc_id").select("doc_id", F.size(F.array_intersect("a", "b")).cast("long").alias("n_and"),
+    """Every document's words against its neighbour's."""
+    sets = _beside(v).select("doc_id", tx.word_set(C("other")).alias("a"), tx.word_set(C("text")).alias("b"))
+    return sets.select("doc_id", F.size(F.array_intersect("a", "b")).cast("long").alias("n_and"),
                                       F.size(F.array_union("a", "b")).cast("long").alias("n_or"),
                                       tx.is_subset(C("a"), C("b")).alias("is_subset"))
 

@@ -15,8 +15,6 @@ from atril.session import ship_package
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-SMALL_TABLE_BYTES = 64 * 1024 * 1024
-
 VIEWS: dict[str, str] = {
     "kb_documents": """
         SELECT d.doc_id AS document_id, d.source AS title, d.source AS program, d.lang AS faculty,
@@ -202,15 +200,11 @@ class Inputs:
         return self._cache[name]
 
     def _table(self, name: str) -> DataFrame:
-        """A stored table.  A small `documents` file holds a single row group, which one
-        task would read and process alone: only below a measured size it is spread."""
+        """A stored table.  Where `documents` is a single row group, which one task would read and process alone,
+        the setting `spark.atril.spread` names the number of tasks it is dealt to; unset, nothing is shuffled."""
         df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        if name == "documents":
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}.parquet")
-            size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-            if size <= SMALL_TABLE_BYTES:
-                df = df.repartition(self.spark.sparkContext.defaultParallelism, "doc_id")
-        return df
+        spread = self.spark.conf.get("spark.atril.spread", "")
+        return df.repartition(int(spread), "doc_id") if name == "documents" and spread else df
 
     @property
     def now(self):

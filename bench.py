@@ -29,6 +29,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
         .config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "16g")
+        .config("spark.atril.spread", CPUS)  # the given files hold one row group each
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )

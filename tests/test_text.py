@@ -1,5 +1,7 @@
 """Golden tables for the scalar functions."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ def test_fold(one):
     assert got == ["ingenieria nandu", "finanzas 1⁄2 angstrom", "ete", None]
 
 
+def test_fold_all_code_points(one):
+    """Every assigned code point, as NFKD gives it; syllables as their letters."""
+    assigned = [chr(c) for c in range(0xA0, 0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    rows = ["한국어 Ñ", "\U0001d400bc", "\U0001d41ab\u0301 ½", "x\U0001d167y", "ＡＢ각", ""]
+    rows += ["a".join(assigned[i : i + 200]) for i in range(0, len(assigned), 200)]
+    want = ["".join(c for c in unicodedata.normalize("NFKD", r.lower()) if not unicodedata.combining(c)) for r in rows]
+    got = one(tx.normalize_for_match, [(unicodedata.normalize("NFC", r) if i < 6 else r,) for i, r in enumerate(rows)], "t string")
+    assert [i for i, (g, w) in enumerate(zip(got, want, strict=True)) if g != w] == []
+
+
 def test_clean_text(one):
     got = one(tx.clean_text, [
         ("a  b\t\tc\n\n\n\nd",), ("x\n  12  \ny",), ("Página 3 de 10 fin",), ("a ____ b ---- c",), ("  uno  \n  dos  ",),
