@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from atril import settings as S
 from atril.functions import text as tx
 from atril.operators import scale
+from atril.session import materialise
 
 FILTERS = ["program", "faculty", "document_type"]
 
@@ -406,8 +407,8 @@ def hybrid_search(
 ) -> DataFrame:
     """Vector + keyword candidates, rerank, near-duplicate removal, title cap, top k.
 
-    `chunks` carries the document columns (J1).  Shuffled rows are candidates only:
-    at most 3k + k per query.
+    `chunks` carries the document columns (J1).  Candidates (at most 3k + k per query) are
+    written to the shared folder first; only their texts are joined with documents and shuffled.
     """
     body = chunks.select("chunk_id", "content", "document_title", "program", "faculty")
     parts = []
@@ -418,9 +419,12 @@ def hybrid_search(
         else:
             cand = vec.select("query_id", "chunk_id", "score", F.lit("vector").alias("origin"),
                               F.col("rn").cast("long").alias("ord"))
-        # Bounded: a block has at most QUERY_BLOCK_ROWS queries, each with at most 4k candidates.
-        cand = cand.join(F.broadcast(block.select("query_id", "query_text")), "query_id")
-        ranked = near_dup_filter(rerank(body.join(F.broadcast(cand), "chunk_id")))
+        # Bounded: a block has at most QUERY_BLOCK_ROWS queries, each with at most 4k candidates of five narrow columns.
+        cand = materialise(cand, "candidates")
+        # The semi-join reaches the scan of the chunks, below the join with their documents.
+        picked = body.join(F.broadcast(cand.select("chunk_id").distinct()), "chunk_id", "left_semi")
+        met = picked.join(F.broadcast(cand), "chunk_id")
+        ranked = near_dup_filter(rerank(met.join(F.broadcast(block.select("query_id", "query_text")), "query_id")))
         parts.append(
             diversity_cap(ranked, S.MAX_CHUNKS_PER_TITLE, k) if diversity else plain_cut(ranked, k)
         )

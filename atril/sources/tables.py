@@ -21,11 +21,10 @@ def _bucketed(chunks: DataFrame, buckets: int) -> DataFrame:
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     """Append the chunks of newly ingested documents, partitioned by document bucket.
 
-    One document's chunks may be a large share of all: rows are spread by chunk as
-    well as by bucket before the write, so no task receives a whole bucket.
+    Rows are rebalanced: a bucket, or one document's chunks, beyond the advisory partition
+    size is split over as many tasks and files as its size asks for, and small ones share a task.
     """
-    spread = F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(8))
-    _bucketed(chunks, buckets).repartition("doc_bucket", spread).write.mode("append").partitionBy("doc_bucket").parquet(path)
+    _bucketed(chunks, buckets).hint("rebalance", "doc_bucket").write.mode("append").partitionBy("doc_bucket").parquet(path)
 
 
 def replace_documents(spark: SparkSession, path: str, removed_ids: DataFrame, fresh: DataFrame | None = None, buckets: int = 64) -> None:
@@ -38,7 +37,7 @@ def replace_documents(spark: SparkSession, path: str, removed_ids: DataFrame, fr
     if fresh is not None:
         kept = kept.unionByName(_bucketed(fresh, buckets), allowMissingColumns=True)
     emptied = set(touched) - {r.doc_bucket for r in kept.select("doc_bucket").distinct().collect()}
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
+    kept.hint("rebalance", "doc_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
     for bucket in emptied:  # dynamic overwrite leaves partitions without new rows untouched
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/doc_bucket={bucket}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -44,5 +44,14 @@ def test_top_k_and_pushdown(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_extendedprice:double>" in p
 
 
+def test_candidates_before_texts(spark):
+    """The candidates' semi-join sits on the scan of the texts, below every other join."""
+    lines = E.queries()["hybrid_search"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Join LeftSemi" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    below = [line for line in lines[at + 1 :] if depth(line) > depth(lines[at])][: len(lines) - at]
+    assert "text#" in below[0] and not any("Join" in line for line in below[: next(i for i, x in enumerate(below) if "Relation" in x)])
+
+
 def test_entry(spark):
     assert E.entry(spark).count() > 0
