@@ -335,7 +335,8 @@ def hybrid_union(vector_hits: DataFrame, keyword_hits: DataFrame, baseline: floa
 
 
 def rerank(candidates: DataFrame, w_sem: float = S.WEIGHT_SEMANTIC, w_kw: float = S.WEIGHT_KEYWORD) -> DataFrame:
-    """K5: order by 0.8*score + 0.2*keyword overlap; the item keeps its own score."""
+    """K5: order by 0.8*score + 0.2*keyword overlap, rounded to 8 digits so that the order of a sum never decides
+    a tie; the item keeps its own score."""
     scored = candidates.withColumn(
         "hybrid", F.round(w_sem * F.col("score") + w_kw * tx.keyword_score(F.col("query_text"), F.col("content")), 8)
     )
