@@ -104,15 +104,18 @@ class Lexicon:
         return id(self)
 
 
-def _logistic(points: list[tuple[float, int]]) -> tuple[float, float]:
-    """Slope and offset by Newton's method; the slope is held back a little, so that it stays finite."""
-    total = Counter(y for _, y in points)
+def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
+    """Slope and offset for points (x, y, rows) by Newton's method; the slope is held back a little, so that it stays finite."""
+    total: Counter = Counter()
+    for _, y, n in points:
+        total[y] += n
     if len(total) < 2:
         return (0.0, 3.0 if total[1] else -3.0)
-    a, b, share = 1.0, math.log(total[1] / total[0]), 1 / len(points)
+    a, b, rows = 1.0, math.log(total[1] / total[0]), total[0] + total[1]
     for _ in range(100):
         ga, gb, haa, hab, hbb = -1e-6 * a, 0.0, 1e-6, 0.0, 1e-9
-        for x, y in points:
+        for x, y, n in points:
+            share = n / rows
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b))))
             ga, gb = ga + share * (y - p) * x, gb + share * (y - p)
             v = share * p * (1 - p)
@@ -138,7 +141,7 @@ def fit(labelled: DataFrame, exceptions: tuple[str, ...] = (), bound: int = FIT_
     rows = labelled.where("toxic IN (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < bad < n:
-        return Lexicon({}, exceptions, *_logistic([(0.0, 1)] * (bad > 0)))
+        return Lexicon({}, exceptions, *_logistic([(0.0, 1, bad)] * (bad > 0)))
     if n > bound:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
@@ -161,8 +164,7 @@ def fit(labelled: DataFrame, exceptions: tuple[str, ...] = (), bound: int = FIT_
 
     points = arrow_map(rows.select("text", "toxic"), measure, "x double, y int")
     shown = points.groupBy(F.round("x", 3).alias("x"), "y").count().collect()  # rounded: bounded by the range of x
-    spread = [(r.x, r.y) for r in shown for _ in range(math.ceil(20_000 * r["count"] / n))]
-    return Lexicon(weights, exceptions, *_logistic(spread))
+    return Lexicon(weights, exceptions, *_logistic([(r.x, r.y, r["count"]) for r in shown]))
 
 
 def _weigh(kept: list[Row]) -> dict[str, float]:

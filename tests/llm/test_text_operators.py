@@ -230,6 +230,21 @@ def test_toxicity(spark):
     assert toxicity.fit(labelled.where("toxic = 0")).score("zonk")[0] < 0.5
 
 
+def test_toxicity_curve_weighs_points_by_their_rows(spark, monkeypatch):
+    """The curve gets every sampled row once, however many rows are left out, and cells count by their rows."""
+    rows = [(i, "zonk blarg " * (1 + i // 4 % 40) if i % 4 == 0 else "plain words", int(i % 4 == 0)) for i in range(1200)]
+    seen = []
+    monkeypatch.setattr(toxicity, "_logistic", lambda points, fit=toxicity._logistic: seen.append(points) or fit(points))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    toxicity.fit(labelled, bound=300)
+    sampled = [r for r in labelled.selectExpr("toxic", "pmod(xxhash64(doc_id), 1000000) < 250000 AS used").collect() if r.used]
+    assert {y: sum(n for _, y_, n in seen[0] if y_ == y) for y in (0, 1)} == {y: sum(r.toxic == y for r in sampled) for y in (0, 1)}
+    clean, toxic = (0.0, 0, 27_000), [(0.001 * i, 1, 30) for i in range(1, 101)]
+    a, b = toxicity._logistic([clean, (0.0, 1, 3_000), *toxic])
+    assert toxicity._logistic([(x, y, 10 * n) for x, y, n in (clean, (0.0, 1, 3_000), *toxic)]) == pytest.approx((a, b))
+    assert toxicity._logistic([clean] + [(0.0, 1, 30)] * 100)[1] == pytest.approx(math.log(3_000 / 27_000), abs=0.01)
+
+
 def test_lattice_sums_over_segmentations():
     scores = {p: math.log(x) for p, x in {"▁": 0.1, "a": 0.2, "b": 0.1, "ab": 0.3, "▁a": 0.2, "<0xC3>": 0.05, "<0xA9>": 0.05}.items()}
     tree = lattice.Lattice(scores)
