@@ -63,9 +63,9 @@ def entries(found: list[str]) -> set[str]:
 
 
 class Lexicon:
-    """weights: entry to weight; exceptions: phrases in which hits don't count; slope and offset of the curve."""
+    """weights: entry to weight; exceptions: phrases (texts, or folded words) in which hits don't count; slope and offset of the curve."""
 
-    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = (), slope: float = 1.0, offset: float = 0.0):
+    def __init__(self, weights: dict[str, float], exceptions: tuple[str | tuple[str, ...], ...] = (), slope: float = 1.0, offset: float = 0.0):
         self.weights, self.exceptions, self.slope, self.offset = weights, exceptions, slope, offset
 
     @lru_cache(maxsize=1)  # noqa: B019
@@ -74,16 +74,15 @@ class Lexicon:
         for entry, weight in self.weights.items():
             tree.add_word(entry, (len(entry), weight))
         for phrase in self.exceptions:
-            tree.add_word(phrase := f" {' '.join(fold(phrase))} ", (len(phrase), None))
+            folded = fold(phrase) if isinstance(phrase, str) else phrase
+            tree.add_word(phrase := f" {' '.join(folded)} ", (len(phrase), None))
         tree.make_automaton()
         return tree
 
-    def density(self, found: list[str]) -> tuple[float, int]:
-        """Weight per word, and hits.  Of the entries that begin at one word the heaviest counts."""
-        if not self.weights or not found:
-            return 0.0, 0
+    def hits(self, line: str) -> dict[int, float]:
+        """Place of the space before each word that counts, and weight, in folded words with spaces around them."""
         spared, hits = [], {}
-        for end, (size, weight) in self.automaton().iter(f" {' '.join(found)} "):
+        for end, (size, weight) in self.automaton().iter(line):
             start = end - size + 1
             if weight is None:
                 spared.append((start, end))
@@ -91,6 +90,13 @@ class Lexicon:
                 hits[start] = max(hits.get(start, 0.0), weight)
         if spared:
             hits = {at: w for at, w in hits.items() if not any(a <= at < b for a, b in spared)}
+        return hits
+
+    def density(self, found: list[str]) -> tuple[float, int]:
+        """Weight per word, and hits.  Of the entries that begin at one word the heaviest counts."""
+        if not self.weights or not found:
+            return 0.0, 0
+        hits = self.hits(f" {' '.join(found)} ")
         return sum(hits.values()) / (len(found) + LENGTH_OFFSET), len(hits)
 
     def score(self, text: str) -> tuple[float, int]:
@@ -135,8 +141,9 @@ def fit(labelled: DataFrame, exceptions: tuple[str, ...] = (), bound: int = FIT_
     """Learn a lexicon from `text` and `toxic`.
 
     At most `bound` labelled rows are used: those whose hash of text and doc_id falls below the share the bound
-    leaves.  Only entries that pass the thresholds reach the driver.  Phrases of two words that hold an entry
-    and occur under label 0 only become exceptions.  Without rows of both labels the lexicon is empty.
+    leaves.  Only entries and phrases that pass the thresholds reach the driver.  Phrases of two words that hold an
+    entry and occur under label 0 only become exceptions, besides those given, if so many documents with the entry
+    would all be clean once in 1 / CHANCE.  Without rows of both labels the lexicon is empty.
     """
     rows = labelled.where("toxic IN (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -157,6 +164,7 @@ def fit(labelled: DataFrame, exceptions: tuple[str, ...] = (), bound: int = FIT_
         (F.col("bad") >= math.log(CHANCE) / math.log(bad / n)) & (F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good")))
     ).orderBy(F.desc("bad"), "entry").limit(20_000).collect()
     weights = _weigh(kept)
+    exceptions = (*exceptions, *_harmless(rows, Lexicon(weights, exceptions)))
     raw = Lexicon(weights, exceptions)
 
     def measure(batch: dict[str, list]) -> dict[str, list]:
@@ -167,6 +175,41 @@ def fit(labelled: DataFrame, exceptions: tuple[str, ...] = (), bound: int = FIT_
     return Lexicon(weights, exceptions, *_logistic([(r.x, r.y, r["count"]) for r in shown]))
 
 
+def _harmless(rows: DataFrame, lexicon: Lexicon) -> list[tuple[str, ...]]:
+    """Phrases of a word that is a hit and the word before or after it, seen in enough documents and never in a toxic one."""
+
+    def count(batch: dict[str, list]) -> dict[str, list]:
+        bad, good = Counter(), Counter()
+        for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            line, phrases = f" {' '.join(fold(text))} ", set()
+            for at in lexicon.hits(line):
+                end = line.index(" ", at + 1)
+                if at:
+                    phrases.add(line[line.rindex(" ", 0, at) + 1 : end])
+                if end < len(line) - 1:
+                    phrases.add(line[at + 1 : line.index(" ", end + 1)])
+            (bad if toxic else good).update(phrases)
+        keys = list(bad | good)
+        return {"phrase": keys, "bad": [bad[k] for k in keys], "good": [good[k] for k in keys]}
+
+    if not lexicon.weights:
+        return []
+
+    counted = arrow_map(rows.select("text", "toxic"), count, "phrase string, bad long, good long")
+    kept = counted.groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad = 0 AND good > 1")
+
+    def enough(batch: dict[str, list]) -> dict[str, list]:
+        out = []
+        for phrase, good in zip(batch["phrase"], batch["good"], strict=True):
+            # A phrase of two hits needs what the milder one asks; exp(weight) is toxic documents for each clean one.
+            odds = min(d * (1 + LENGTH_OFFSET) for d, hit in (lexicon.density([w]) for w in phrase.split(" ")) if hit)
+            if good * math.log1p(math.exp(odds)) >= -math.log(CHANCE):
+                out.append(phrase)
+        return {"phrase": out}
+
+    return sorted(tuple(r.phrase.split(" ")) for r in arrow_map(kept.select("phrase", "good"), enough, "phrase string").collect())
+
+
 def _weigh(kept: list[Row]) -> dict[str, float]:
     """Log-odds as weights; an entry is left out if a beginning of it is an entry at least as telling."""
     odds = {r.entry: math.log((r.bad + 0.5) / (r.good + 0.5)) for r in kept}

@@ -230,6 +230,21 @@ def test_toxicity(spark):
     assert toxicity.fit(labelled.where("toxic = 0")).score("zonk")[0] < 0.5
 
 
+def test_toxicity_learns_exceptions(spark):
+    """A phrase seen in clean documents only spares its hits; one also seen in a toxic document, or in few, doesn't."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        extra = rng.choice(["zonk", "blarg"]) + " " + prose(1, rng) if i % 4 == 0 else ""
+        extra = {1: "ZÖNK friends", 2: "zonk meeting"}.get(i % 16, extra)
+        rows.append((i, f"{prose(20, rng)} {extra} {prose(20, rng)}", int(i % 4 == 0)))
+    rows += [(900, prose(30, rng) + " zonk meeting", 1), (901, prose(30, rng) + " blarg garden", 0)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), ("blarg museum",))
+    assert lexicon.exceptions == ("blarg museum", ("zonk", "friends"))
+    for asked, n in (("our zonk friends", 0), ("our zonk meeting", 1), ("blarg garden", 1), ("zonk friends zonk", 1), ("blarg museum", 0)):
+        assert lexicon.score(asked)[1] == n
+
+
 def test_toxicity_curve_weighs_points_by_their_rows(spark, monkeypatch):
     """The curve gets every sampled row once, however many rows are left out, and cells count by their rows."""
     rows = [(i, "zonk blarg " * (1 + i // 4 % 40) if i % 4 == 0 else "plain words", int(i % 4 == 0)) for i in range(1200)]
