@@ -15,7 +15,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atril.llm.common import Sieve, arrow_map, components, corpus_text, materialise
@@ -113,7 +113,12 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 def _named_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text and `row`, a hash of both."""
-    return corpus_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    return corpus_text(docs).withColumn("row", row_hash())
+
+
+def row_hash() -> Column:
+    """What names a row in `stand_ins`: a hash of doc_id and text, null texts as empty ones."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,13 +270,8 @@ def _by_matrix(docs: DataFrame, sets: DataFrame, known: DataFrame, least: int) -
     return materialise(both.groupBy("g", "part", "block").applyInArrow(open_group, "a long, b long"), "links")
 
 
-def jaccard_classes(docs: DataFrame, least: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
-
-    Documents are linked if 100 * intersection >= `least` * union of their sets of word 5-grams (fewer words:
-    the whole sequence).  Null, empty and blank texts have no set and link with nothing; rows that repeat a text
-    are linked; an empty table gives no rows.  Sets are named by 64 bits of a digest.
-    """
+def _classes(docs: DataFrame, least: int) -> DataFrame:
+    """One row per document: doc_id, row, n, sid, class (a set of it; null without words), component_id."""
     signed = _signatures(docs)
     sets = materialise(signed.where("sid IS NOT NULL").groupBy("sid").agg(
         F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(KEYS))
@@ -290,8 +290,25 @@ def jaccard_classes(docs: DataFrame, least: int = 75) -> DataFrame:
     classes = classes.join(sets.select("sid", "doc_id"), "sid")
     smallest = classes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
     of_set = sets.select("sid", "doc_id").join(classes.select("sid", "component").join(smallest, "component"), "sid", "left").select(
-        "sid", F.coalesce("smallest", "doc_id").alias("component_id")
+        "sid", F.coalesce("component", "sid").alias("class"), F.coalesce("smallest", "doc_id").alias("component_id")
     )
-    return signed.select("doc_id", "n", "sid").join(of_set, "sid", "left").select(
+    return signed.select("doc_id", "row", "n", "sid").join(of_set, "sid", "left")
+
+
+def jaccard_classes(docs: DataFrame, least: int = 75) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+
+    Documents are linked if 100 * intersection >= `least` * union of their sets of word 5-grams (fewer words:
+    the whole sequence).  Null, empty and blank texts have no set and link with nothing; rows that repeat a text
+    are linked; an empty table gives no rows.  Sets are named by 64 bits of a digest.
+    """
+    return _classes(docs, least).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def stand_ins(docs: DataFrame, least: int = 75) -> DataFrame:
+    """`row`, the `row_hash` of one row for each class of linked documents with words: of those with its smallest
+    doc_id (null if it has none) the smallest hash."""
+    placed = _classes(docs, least).where("class IS NOT NULL AND doc_id <=> component_id")
+    return placed.groupBy("class").agg(F.min("row").alias("row")).select("row")

@@ -17,26 +17,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the row with the smallest doc_id (of equal ones, one).
+    """Of each class of near-duplicates one row: the smallest doc_id, of several texts under it the one of the
+    smallest hash, of equal rows any.
 
-    A null doc_id can't stand for a class and is kept only outside of any.
+    A null doc_id stands only for a class without others; texts without words are in no class and all stay.
     """
-    classes = setjoin.jaccard_classes(docs).select("doc_id", "component_id")
-    stand_in = materialise(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "stand-ins")
-    # Null ids apart, so that the join and the choice of one row share one exchange of the texts.
-    named = docs.where("doc_id IS NOT NULL").join(stand_in, "doc_id", "left_semi")
-    no_id = F.broadcast(stand_in.where("doc_id IS NULL"))  # one row at most
-    unnamed = docs.where("doc_id IS NULL").join(no_id, docs["doc_id"].eqNullSafe(no_id["doc_id"]), "left_semi")
-    return _one_each(named, docs.columns).unionByName(_one_each(unnamed, docs.columns))
-
-
-def _one_each(kept: DataFrame, columns: list[str]) -> DataFrame:
-    """One row of each doc_id, and all without words: rows with one doc_id and the same text are copies of each
-    other, while empty texts link with nothing."""
-    wordless = F.length(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     "))) == 0
-    own = "_" * (1 + max(map(len, columns)))  # no column has this name
-    marked = kept.select(*columns, F.when(wordless, F.monotonically_increasing_id()).alias(own))
-    return marked.dropDuplicates(["doc_id", own]).select(*columns)
+    own = "_" * (1 + max(map(len, docs.columns)))  # no column has this name
+    stand_in = materialise(setjoin.stand_ins(docs).withColumnRenamed("row", own), "stand-ins")
+    wordless = F.length(F.trim(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     "))) == 0
+    # The join and the choice among equal rows share one exchange of the texts.
+    kept = docs.where(~wordless).withColumn(own, setjoin.row_hash()).join(stand_in, own, "left_semi")
+    return kept.dropDuplicates([own, "doc_id"]).select(*docs.columns).unionByName(docs.where(wordless))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

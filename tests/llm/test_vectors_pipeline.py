@@ -90,3 +90,17 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in cut.collect()} == {i for i, r in repeats.items() if r.n_removed < r.n_bytes or not r.n_bytes}
     masked = stages.mask_secrets(spark, docs, SF)
     assert masked.columns == docs.columns and masked.where("text RLIKE 'AKIA[A-Z0-9]{12}'").count() == 0
+
+
+def test_one_row_of_each_class(spark):
+    """Null and repeated ids: a row of every class stays, copies go, and texts without words all stay."""
+    from atril.llm import stages
+
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
+    near = texts["a"].replace("a39", "other")
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (None, texts["c"]), (3, texts["d"]), (None, texts["d"]), (4, near), (5, texts["a"]),
+            (6, texts["e"]), (6, texts["f"]), (6, texts["f"]), (7, texts["e"]), (4, texts["g"]), (8, None), (8, " \n"), (None, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ____ string").repartition(4)
+    got = sorted(((r.doc_id, r.text) for r in stages.one_per_group(spark, docs, SF).select("doc_id", "text").collect()), key=repr)
+    want = [(None, texts["b"]), (None, texts["c"]), (3, texts["d"]), (4, near), (6, texts["e"]), (6, texts["f"]), (4, texts["g"])] + rows[13:]
+    assert got == sorted(want, key=repr)
