@@ -150,17 +150,41 @@ def stream_quota_audit(requests: DataFrame, quotas: dict[str, tuple[int, int]] =
     return out.withColumn("over", F.col("n") > F.element_at(limits, F.col("route")))
 
 
+_CREATED = T.StructField("created", T.LongType())
+
+
 def stream_session_expiry(conversations: DataFrame, ttl: str = "2 hours") -> DataFrame:
-    """ST6: guest conversations once the stream's clock is `ttl` past their creation.
+    """ST6: guest conversations once the stream's clock is `ttl` past the second of their creation.
 
-    The watermark delay is the TTL itself: a one-second window closes, and its guests are
-    reported, exactly when the newest creation time is more than the TTL later.
+    The watermark is the newest creation time less the TTL.  State is one creation time per waiting conversation
+    (and second), dropped when the watermark passes it.  One that has already passed on arrival, however late, is reported
+    with its micro-batch.  Every row goes out twice for that: one copy moves the clock and ends there, the other
+    carries no event time, as Spark drops rows whose event time is behind the watermark.
     """
-    guests = conversations.where(F.col("user_id").isNull()).withWatermark("created_at", ttl)
-    closed = guests.groupBy(F.window("created_at", "1 second"), "conversation_id").agg(
-        F.min("created_at").alias("created_at"))
-    return closed.select(
-        "conversation_id", (F.col("created_at") + F.expr(f"INTERVAL {ttl}")).cast("timestamp_ntz").alias("expired_at"))
+    guests = conversations.where("user_id IS NULL AND created_at IS NOT NULL")
+    twice = guests.select("conversation_id", F.unix_micros("created_at").alias("created"), F.unix_seconds("created_at").alias("second"),
+                          F.explode(F.array(F.col("created_at"), F.lit(None).cast("timestamp"))).alias("clock"))
+    waiting = twice.withWatermark("clock", ttl).where("clock IS NULL")
+
+    def expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        created = [state.get[0]] if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            created = [min(created + [int(f["created"].min()) for f in frames])]
+            end = (int(key[1]) + 1) * 1000
+            if end > state.getCurrentWatermarkMs():
+                state.update((created[0],))
+                state.setTimeoutTimestamp(end - 1)  # fires once the watermark is above it
+                return
+            if state.exists:
+                state.remove()
+        yield pd.DataFrame({"conversation_id": [key[0]], "created": created})
+
+    gone = waiting.groupBy("conversation_id", "second").applyInPandasWithState(
+        expire, T.StructType([waiting.schema["conversation_id"], _CREATED]), T.StructType([_CREATED]),
+        "append", GroupStateTimeout.EventTimeTimeout)
+    return gone.select("conversation_id", (F.timestamp_micros("created") + F.expr(f"INTERVAL {ttl}")).cast("timestamp_ntz").alias("expired_at"))
 
 
 SENTENCE = T.StructType([

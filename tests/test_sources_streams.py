@@ -68,6 +68,16 @@ def test_repeats_and_expiry(spark):
     assert {r.conversation_id: r.expired_at for r in gone}[0] == t + dt.timedelta(hours=2)
 
 
+def test_expiry_of_late_guests(spark):
+    """Guests more than the TTL behind an earlier batch are reported too, once each, with other users and null times left out."""
+    t = dt.datetime(2024, 1, 1, 12)
+    rows = [(i, u, None if m is None else t + dt.timedelta(minutes=m), b) for i, (u, m, b) in enumerate([
+        (None, 0, 0), (None, 300, 0), (None, -600, 1), (None, 10, 1), (None, 170, 1), (None, 290, 1), (5, -600, 1), (None, None, 1), (None, -900, 2), (None, 301, 2)])]
+    conv = spark.createDataFrame(rows, "conversation_id long, user_id int, created_at timestamp, b int")
+    gone = J.run_to_table(J.stream_session_expiry(_stream(spark, conv, [f"b = {b}" for b in range(3)])), "late").collect()
+    assert sorted((r.conversation_id, r.expired_at) for r in gone) == [(i, rows[i][2] + dt.timedelta(hours=2)) for i in (0, 2, 3, 4, 8)]
+
+
 def test_stream_ingest_skips_known_content(spark):
     df = spark.createDataFrame([("a.txt", b"uno", 0), ("b.txt", b"uno", 1), ("c.txt", b"dos", 1)], "file_name string, content binary, b int")
     path = tempfile.mkdtemp() + "/out"
