@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atril.llm import byte_bpe, hnsw, lattice, mtree, packing, secret_scan, setjoin, suffixes, toxicity, warc
+from atril.llm import byte_bpe, hnsw, lattice, mtree, packing, secret_scan, setjoin, suffixes, toxicity, warc, whitening
 from atril.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,12 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))  # null only where a long can't hold it
+
+
 ORACLES["op4_mtree"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
