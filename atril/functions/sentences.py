@@ -2,38 +2,25 @@
 
 from __future__ import annotations
 
-import re
+import regex
 
 from atril.functions.text import ABBREVIATIONS, MIN_SENTENCE_CHARS
 
-_BOUNDARY = re.compile(r"[.!?…]+|\n+")
-
-
-def _is_end(text: str, start: int, stop: int) -> bool:
-    """Whether the boundary text[start:stop] closes a sentence."""
-    if text[start:stop] != ".":
-        return True
-    if text[start - 1: start].isdigit() and text[stop: stop + 1].isdigit():
-        return False
-    stop = start
-    while stop and text[stop - 1].isspace():
-        stop -= 1
-    begin = stop
-    while begin and text[begin - 1].isalpha():
-        begin -= 1
-    return text[begin:stop].lower() not in ABBREVIATIONS
+#: What closes a sentence: line breaks, several marks together, or one mark; a single full stop neither
+#: between two digits nor behind an abbreviation.
+_CLOSING = regex.compile(
+    rf"\n+|[.!?…]{{2,}}|[!?…]|(?<!(?<!\p{{L}})(?:{'|'.join(ABBREVIATIONS)})\s*)\.(?!(?<=\p{{Nd}}\.)\p{{Nd}})", regex.IGNORECASE)
 
 
 def take_sentences(pending: str) -> tuple[list[str], str]:
-    """Completed sentences of `pending` and what remains."""
-    out, begin = [], 0
-    for m in _BOUNDARY.finditer(pending):
-        if _is_end(pending, m.start(), m.end()):
-            sentence = pending[begin: m.end()].strip()
-            if len(sentence) >= MIN_SENTENCE_CHARS:
-                out.append(sentence)
-                begin = m.end()
-    return out, pending[begin:]
+    """Completed sentences of `pending` and what remains: stretches between closings, joined until long enough."""
+    whole, begin = [], 0
+    for end in [m.end() for m in _CLOSING.finditer(pending)]:
+        stretch = pending[begin:end].strip()
+        if len(stretch) >= MIN_SENTENCE_CHARS:
+            whole.append(stretch)
+            begin = end
+    return whole, pending[begin:]
 
 
 def visible(delta: str, hidden: bool) -> tuple[str, bool]:

@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atril.functions import text as tx
-from atril.functions.unicode import let
+from atril.operators import sheets
 
 SHEET = ["file", "sheet"]
 ROMAN_LABEL = "^[IVXLCDM]+$"
-TYPE_MARKS = ["T", "TP", "P"]
 
 
 def _strip_bars(text: Column) -> Column:
@@ -156,39 +155,10 @@ def forward_fill_labels(annotated: DataFrame) -> DataFrame:
         *SHEET, "row", F.array_join(F.transform("l", lambda x: x["label"]), " - ").alias("category"))
 
 
-def _number(text: Column) -> Column:
-    return text.try_cast("double")
-
-
-def row_credit(values: Column) -> Column:
-    """Credit stated by one row's non-empty cells, or NULL."""
-    def read(v: Column) -> Column:
-        after = F.try_element_at(v, (F.array_position(v, "CR") + 1).cast("int"))
-        last, before = F.try_element_at(v, F.lit(-1)), F.try_element_at(v, F.lit(-2))
-        stated = (
-            F.when(F.array_contains(v, "CR") & after.isNotNull(), after)
-            .when(before.isin(*TYPE_MARKS), last)
-            .when((F.size(v) > 0) & F.forall(v, lambda x: _number(x).isNotNull()), last))
-        return _number(stated).try_cast("bigint")
-
-    return let(values, read)
-
-
-def grid_sections(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Course rows per semester block: (file, sheet, label, start_col, row, line, credit)."""
-    annotated = annotate_grid(cells, ranges)
-    number = F.when((F.col("kind") == "number") & (F.col("row") < F.col("footer_row")), _number(F.col("value")))
-    tainted = F.bool_or(F.coalesce(number != F.floor(number), F.lit(False))).over(Window.partitionBy(*SHEET, "col"))
-    clean = annotated.withColumn("_tainted", tainted).where(
-        ~F.col("_tainted") & (F.col("row") < F.col("footer_row")) & (F.col("value") != ""))
-    inside = clean.join(ranges.select(*SHEET, "label", "start_col", "end_col"), SHEET).where(
-        F.col("col").between(F.col("start_col"), F.col("end_col")))
-    rows = _row_lines(inside, [*SHEET, "label", "start_col", "end_col", "row"], F.first("start_col"), F.first("end_col"))
-    values = F.filter("cells", lambda c: c != "")
-    rows = rows.withColumn("v", values).where(~((F.size("v") == 1) & (F.col("v")[0] == F.col("label"))))
-    named = rows.join(forward_fill_labels(annotated), [*SHEET, "row"], "left")
-    line = F.when(F.coalesce("category", F.lit("")) != "", F.concat_ws(" | ", "category", "line")).otherwise(F.col("line"))
-    return named.select(*SHEET, "label", "start_col", "row", line.alias("line"), row_credit(F.col("v")).alias("credit"))
+def grid_sections(cells: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Course rows per semester block: (file, sheet, label, start_col, row, line, credit), in one walk per
+    sheet; without `ranges` L4's are found in the same walk."""
+    return sheets.sections(cells, ranges)
 
 
 def semester_credits(sections: DataFrame) -> DataFrame:

@@ -8,19 +8,14 @@ document_title, program, faculty, document_type.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from atril import settings as S
 from atril.functions import text as tx
-from atril.operators import scale
+from atril.operators import grid, scale
 from atril.session import materialise
 
 FILTERS = ["program", "faculty", "document_type"]
@@ -69,150 +64,21 @@ def retrieval_filters(queries: DataFrame, documents: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ vector search
 
 
-class _TopK:
-    """Running k best (score desc, id asc) of one query inside one task."""
-
-    __slots__ = ("ids", "scores", "floor", "k")
-
-    def __init__(self, k: int, floor: float):
-        self.k, self.floor = k, floor
-        self.ids: list = []
-        self.scores: np.ndarray = np.empty(0)
-
-    def offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        keep = np.nonzero(scores >= self.floor)[0]
-        if not len(keep):
-            return
-        all_scores = np.concatenate([self.scores, scores[keep]])
-        all_ids = np.concatenate([np.asarray(self.ids, dtype=ids.dtype), ids[keep]])
-        if len(all_scores) > self.k:
-            edge = np.partition(all_scores, -self.k)[-self.k]
-            near = all_scores >= edge
-            all_scores, all_ids = all_scores[near], all_ids[near]
-        order = np.lexsort((all_ids, -all_scores))[: self.k]
-        self.scores, self.ids = all_scores[order], all_ids[order]
-        if len(order) == self.k:
-            self.floor = max(self.floor, self.scores[-1])
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = np.asarray(arr.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    m = flat.reshape(len(arr), -1)
-    length = np.sqrt(np.einsum("ij,ij->i", m, m))
-    length[length == 0] = np.inf
-    return m / length[:, None]
-
-
-def _scan_block(block: DataFrame, chunks: DataFrame, k: int, threshold: float, mode: str) -> DataFrame:
-    spark = chunks.sparkSession
-    rows = block.select("query_id", "query_embedding", *FILTERS).toArrow()
-    if rows.num_rows == 0:
-        return None
-    ids_type = block.schema["query_id"].dataType
-    payload = spark.sparkContext.broadcast({
-        "ids": rows.column("query_id").to_pylist(),
-        "matrix": _matrix(rows.column("query_embedding")),
-        "filters": {f: rows.column(f).to_pylist() for f in FILTERS},
-    })
-    used = [f for f in FILTERS if any(v is not None for v in payload.value["filters"][f])]
-    dim = payload.value["matrix"].shape[1]
-
-    def allowed(data: pd.DataFrame, q: int, wanted: dict) -> np.ndarray | None:
-        mask = None
-        for f in used:
-            if wanted[f][q] is not None:
-                hit = (data[f] == wanted[f][q]).to_numpy(dtype=bool, na_value=False)
-                mask = hit if mask is None else mask & hit
-        return mask
-
-    def batches(it: Iterator[pa.RecordBatch]):
-        for b in it:
-            if b.num_rows:
-                vectors = _matrix(b.column("embedding"))
-                if vectors.shape[1] == dim:
-                    data = b.select(["chunk_id", *used]).to_pandas()
-                    ids = data["chunk_id"].to_numpy()
-                    yield ids.astype(str) if ids.dtype == object else ids, data, vectors
-
-    def topk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = payload.value
-        best = [_TopK(k, threshold) for _ in local["ids"]]
-        for ids, data, vectors in batches(it):
-            scores = np.round(local["matrix"] @ vectors.T, 8)
-            ceiling = scores.max(axis=1)
-            for q, state in enumerate(best):
-                if ceiling[q] < state.floor:
-                    continue
-                mask = allowed(data, q, local["filters"])
-                row = scores[q] if mask is None else np.where(mask, scores[q], -np.inf)
-                state.offer(ids, row)
-        found = [(qid, state) for qid, state in zip(local["ids"], best) if len(state.ids)]
-        if found:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({
-                "query_id": np.repeat([qid for qid, _ in found], [len(st.ids) for _, st in found]),
-                "chunk_id": np.concatenate([st.ids for _, st in found]),
-                "raw": np.concatenate([st.scores for _, st in found]),
-            }), schema=arrow_schema, preserve_index=False)
-
-    def summary(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = payload.value
-        n = np.zeros(len(local["ids"]), dtype=np.int64)
-        best = np.full(len(local["ids"]), -np.inf)
-        for _, data, vectors in batches(it):
-            scores = np.round(local["matrix"] @ vectors.T, 8)
-            for q in range(len(n)):
-                mask = allowed(data, q, local["filters"])
-                row = scores[q] if mask is None else scores[q][mask]
-                n[q] += row.size
-                if row.size:
-                    best[q] = max(best[q], row.max())
-        seen = n > 0
-        yield pa.RecordBatch.from_pandas(pd.DataFrame({
-            "query_id": [q for q, s in zip(local["ids"], seen) if s], "n": n[seen], "best": best[seen]
-        }), schema=arrow_schema, preserve_index=False)
-
-    source = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *used)
-    if mode == "summary":
-        schema = T.StructType([T.StructField("query_id", ids_type), T.StructField("n", T.LongType()),
-                               T.StructField("best", T.DoubleType())])
-        arrow_schema = to_arrow_schema(schema)
-        return source.mapInArrow(summary, schema)
-    schema = T.StructType([T.StructField("query_id", ids_type), chunks.schema["chunk_id"],
-                           T.StructField("raw", T.DoubleType())])
-    arrow_schema = to_arrow_schema(schema)
-    return source.mapInArrow(topk, schema)
-
-
-def _vector_pass(
-    queries: DataFrame, chunks: DataFrame, k: int, threshold: float, mode: str, bounded: bool = False
-) -> DataFrame | None:
-    q = _with_filters(queries).where(F.col("query_embedding").isNotNull())
-    blocks = [q] if bounded else scale.query_blocks(q, "query_id", width=F.size("query_embedding") * 8)
-    frames = [
-        f for b in blocks
-        if (f := _scan_block(b, chunks, k, threshold, mode)) is not None
-    ]
-    return scale.union_all(frames) if frames else None
+def _asked_fields(queries: DataFrame) -> list[str]:
+    """Filters that a question of this table can set: a column that is absent needs no look at the chunks."""
+    return [f for f in FILTERS if f in queries.columns]
 
 
 def vector_topk(
-    queries: DataFrame, chunks: DataFrame, k: int = S.TOP_K * S.CANDIDATE_MULTIPLIER,
-    threshold: float = S.SCORE_THRESHOLD, bounded: bool = False,
+    queries: DataFrame, chunks: DataFrame, k: int = S.TOP_K * S.CANDIDATE_MULTIPLIER, threshold: float = S.SCORE_THRESHOLD,
 ) -> DataFrame:
     """K1: the k nearest chunks of every query by exact cosine, those >= threshold.
 
-    Each task multiplies its Arrow batches with the query matrix and keeps k rows
-    per query, so nothing but k rows per query and task is shuffled.  Because the
-    threshold is monotone in the score it is applied during the scan.  Ties go to
-    the smaller chunk_id; the score is rounded to 4 digits after the comparison.
-    `bounded=True` says that `queries` already is one measured block.
+    Each task multiplies packs of chunks with blocks of questions and keeps k rows per query, so nothing
+    but k rows per query and task is shuffled.  Because the threshold is monotone in the score it is applied
+    during the scan.  Ties go to the smaller chunk_id; the score is rounded to 4 digits after the comparison.
     """
-    partial = _vector_pass(queries, chunks, k, threshold, "topk", bounded)
-    if partial is None:
-        return queries.select("query_id").limit(0).withColumns({
-            "chunk_id": F.lit(None).cast(chunks.schema["chunk_id"].dataType),
-            "score": F.lit(None).cast("double"), "rn": F.lit(None).cast("int")})
+    partial = grid.blocked_product(_with_filters(queries), chunks, _asked_fields(queries), k, threshold)
     ranked = scale.top_n(partial, ["query_id"], [F.desc("raw"), F.asc("chunk_id")], k, "rn")
     return ranked.select("query_id", "chunk_id", F.round("raw", 4).alias("score"), "rn")
 
@@ -220,7 +86,7 @@ def vector_topk(
 def query_chunk_scan(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every query against every eligible chunk, reduced in place to the number
     of compared chunks and the best cosine; the pairs themselves are never rows."""
-    partial = _vector_pass(queries, chunks, 0, -2.0, "summary")
+    partial = grid.blocked_product(_with_filters(queries), chunks, _asked_fields(queries), None)
     return partial.groupBy("query_id").agg(
         F.sum("n").alias("n_compared"), F.round(F.max("best"), 4).alias("best_score")
     )
@@ -228,22 +94,16 @@ def query_chunk_scan(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ keyword search
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(tokens: pd.Series) -> pd.Series:
+@F.pandas_udf(T.StringType())
+def _stem(words: pd.Series) -> pd.Series:
     from atril.functions.stemmer import stem
 
-    return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
+    return words.map(stem)
 
 
-def lexeme_sequence(text: Column, config: str = "simple", stop_words: list[str] | None = None) -> Column:
-    """Lexemes in text order.  'simple' = lower-cased words; 'spanish' stems them.
-    Stop words become '' so that the positions of the others stay put."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
-    if config == "simple":
-        return words
-    stop = F.array(*[F.lit(w) for w in (stop_words or spanish_stop_words())])
-    kept = F.transform(words, lambda w: F.when(F.array_contains(stop, w), F.lit("")).otherwise(w))
-    return _stemmed(kept)
+def words_of(text: Column) -> Column:
+    """Lower-cased words in text order."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
 
 
 def spanish_stop_words() -> list[str]:
@@ -252,66 +112,99 @@ def spanish_stop_words() -> list[str]:
     return list(StopWordsRemover.loadDefaultStopWords("spanish"))
 
 
+def stem_table(words: DataFrame, config: str) -> DataFrame:
+    """(`word`, `lexeme`) of the distinct `word`s: 'simple' = the word itself; 'spanish' = its stem, without stop words."""
+    words = words.select("word").distinct()
+    if config == "simple":
+        return words.select("word", F.col("word").alias("lexeme"))
+    return words.where(~F.col("word").isin(spanish_stop_words())).select("word", _stem("word").alias("lexeme"))
+
+
+def query_lexemes(queries: DataFrame, config: str) -> DataFrame:
+    """Queries with `_ql`, their distinct lexemes; those without any are left out."""
+    if config == "simple":
+        return queries.withColumn("_ql", F.array_distinct(words_of(F.col("query_text")))).where(F.size("_ql") > 0)
+    said = queries.select("query_id", F.explode_outer(words_of(F.col("query_text"))).alias("word")).distinct()
+    lists = said.join(stem_table(said.select("word"), config), "word").groupBy("query_id").agg(F.collect_set("lexeme").alias("_ql"))
+    return queries.join(lists, "query_id")
+
+
 @F.pandas_udf(T.DoubleType())
-def _cover_density(lexemes: pd.Series, tokens: pd.Series) -> pd.Series:
+def _cover_density(n: pd.Series, places: pd.Series, lexemes: pd.Series) -> pd.Series:
     """Clarke-Cormack-Tudhope cover density: 0.1 per cover, divided by 1 + noise words.
 
-    A cover is a shortest stretch holding every query lexeme; it is found by
-    keeping the last position of each lexeme while walking the text once.
+    `places`, `lexemes`: where the query's `n` lexemes stand, in text order.  A cover is a shortest stretch holding all
+    of them; the last place of each lexeme gives its start.
     """
-
-    def one(wanted, seq) -> float:
-        need, last, total, prev = set(wanted), {}, 0.0, -1
-        marks: list[int] = []
-        for i, t in enumerate(seq):
-            if t in need:
-                marks.append(i)
-                last[t] = i
-                if len(last) == len(need):
-                    start = min(last.values())
-                    if start > prev:
-                        inside = sum(1 for m in reversed(marks) if m >= start) if len(need) > 1 else 1
-                        total += 0.1 / (1 + max(i - start - (inside - 1), 0))
-                        prev = start
+    from bisect import bisect_left
+
+    def one(n, at, lexeme) -> float:
+        last, total, before = {}, 0.0, -1
+        for k, (i, t) in enumerate(zip(at, lexeme, strict=True)):
+            last[t] = i
+            if len(last) == n and (start := min(last.values())) > before:
+                inside = k + 1 - bisect_left(at, start)
+                total += 0.1 / (1 + max(i - start - (inside - 1), 0))
+                before = start
         return total
 
-    return pd.Series([one(w, s) for w, s in zip(lexemes, tokens)])
+    return pd.Series([one(*row) for row in zip(n, places.map(list), lexemes, strict=True)])
+
 
+def question_marks(asked: DataFrame, chunks: DataFrame, config: str) -> DataFrame:
+    """Per chunk with a vector: its filter columns and `marks`, (place, lexeme) of every word that some query asks for.
+
+    The only reading of the texts: they are cut into words once, whatever the number of queries, and
+    only marks are shuffled.
+    """
+    terms = asked.select(F.explode("_ql").alias("lexeme")).distinct()
+    carried = [f for f in FILTERS if f in chunks.columns]
+    # posexplode_outer: a plain explode makes the planner repeat the tokenizer in a scan filter.
+    words = chunks.where(F.col("embedding").isNotNull()).select(
+        "chunk_id", *carried, F.posexplode_outer(words_of(F.col("content"))).alias("place", "word"))
+    wanted = terms.select("lexeme", F.col("lexeme").alias("word")) if config == "simple" else stem_table(words, config).join(terms, "lexeme")
+    marked = words.join(wanted, "word").groupBy("chunk_id", *carried)
+    return marked.agg(F.sort_array(F.collect_list(F.struct("place", "lexeme"))).alias("marks"))
 
-def text_match(queries: DataFrame, chunks: DataFrame, config: str = "simple", bounded: bool = False) -> DataFrame:
+
+def anchored(asked: DataFrame, postings: DataFrame, span: int = S.ANCHOR_ROWS) -> DataFrame:
+    """Queries all of whose lexemes occur, with their rarest lexeme as `anchor` and the number of `salts` its
+    postings are cut into, so that a cut holds about `span` chunks."""
+    frequency = postings.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+    rarest = asked.select("query_id", F.explode("_ql").alias("lexeme")).join(frequency, "lexeme").groupBy("query_id").agg(
+        F.min(F.struct("df", "lexeme")).alias("rarest"), F.count(F.lit(1)).alias("met"))
+    return asked.join(rarest, "query_id").where(F.col("met") == F.size("_ql")).select(
+        "query_id", "_ql", *FILTERS, F.col("rarest.lexeme").alias("anchor"), F.ceil(F.col("rarest.df") / span).cast("int").alias("salts"))
+
+
+def text_match(queries: DataFrame, chunks: DataFrame, config: str = S.TEXT_CONFIG, span: int = S.ANCHOR_ROWS) -> DataFrame:
     """(query_id, chunk_id, rank_score) where the chunk holds ALL query lexemes.
 
-    Joined on one lexeme per query, its longest (the likeliest to be rare), and
-    verified against the rest in the join condition: no posting list is ever
-    paired with another and no text is shuffled.
+    A query meets the chunks that hold its rarest lexeme; postings of a frequent anchor are cut into salted parts and its
+    queries sent to each.  The other lexemes are checked on the chunk's marks.  No posting list is paired with
+    another, no text is shuffled, and any number of queries takes the same jobs.
     """
-    q = queries.withColumn("_ql", F.array_remove(F.array_distinct(lexeme_sequence(F.col("query_text"), config)), ""))
-    q = q.where(F.size("_ql") > 0)
-    longest = F.array_max(F.transform("_ql", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    q = _with_filters(q).select(
-        "query_id", "_ql", longest["w"].alias("_anchor"), *[F.col(f).alias(f"_q_{f}") for f in FILTERS]
-    )
-    c = chunks.where(F.col("embedding").isNotNull())
-    c = c.withColumn("_seq", lexeme_sequence(F.col("content"), config)).withColumn("_set", F.array_distinct("_seq"))
+    asked = materialise(query_lexemes(_with_filters(queries), config).select("query_id", "_ql", *FILTERS), "asked")
+    marks = materialise(question_marks(asked, chunks, config), "marks")
+    postings = marks.select("chunk_id", F.explode(F.array_distinct(F.transform("marks", lambda m: m["lexeme"]))).alias("lexeme"))
+    asks = anchored(asked, postings, span)
+    cuts = asks.select(F.col("anchor").alias("lexeme"), "salts").distinct()
+    held = postings.join(cuts, "lexeme").select(
+        "chunk_id", F.col("lexeme").alias("anchor"), F.pmod(F.xxhash64("chunk_id"), F.col("salts")).cast("int").alias("salt"))
+    salted = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     carried = [f for f in FILTERS if f in chunks.columns]
-    # explode_outer: a plain explode makes the planner repeat the tokenizer in a scan filter.
-    c = c.select("chunk_id", "_seq", "_set", *carried, F.explode_outer("_set").alias("_anchor"))
-    cond = F.size(F.array_except("_ql", "_set")) == 0
+    met = held.join(salted.withColumnsRenamed({f: f"_q_{f}" for f in FILTERS}), ["anchor", "salt"]).join(marks, "chunk_id")
     for f in carried:
-        cond &= F.col(f"_q_{f}").isNull() | (F.col(f"_q_{f}") == F.col(f))
-    frames = [
-        c.join(F.broadcast(b), "_anchor").where(cond)
-        for b in ([q] if bounded else scale.query_blocks(q, "query_id", width=F.length(F.array_join("_ql", " ")) * 2))
-    ]
-    hits = scale.union_all(frames)
-    return hits.select("query_id", "chunk_id", F.round(_cover_density("_ql", "_seq"), 8).alias("rank_score"))
+        met = met.where(F.col(f"_q_{f}").isNull() | (F.col(f"_q_{f}") == F.col(f)))
+    own = F.filter("marks", lambda m: F.array_contains("_ql", m["lexeme"]))
+    hits = met.withColumn("own", own).where(F.size(F.array_distinct(F.transform("own", lambda m: m["lexeme"]))) == F.size("_ql"))
+    density = _cover_density(F.size("_ql"), F.transform("own", lambda m: m["place"]), F.transform("own", lambda m: m["lexeme"]))
+    return hits.select("query_id", "chunk_id", F.round(density, 8).alias("rank_score"))
 
 
-def keyword_topk(
-    queries: DataFrame, chunks: DataFrame, k: int = S.TOP_K, config: str = "simple", bounded: bool = False
-) -> DataFrame:
+def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = S.TOP_K, config: str = S.TEXT_CONFIG) -> DataFrame:
     """K2: best k full-text matches per query by cover density, ties by chunk_id."""
-    hits = text_match(queries, chunks, config, bounded)
+    hits = text_match(queries, chunks, config)
     return scale.top_n(hits, ["query_id"], [F.desc("rank_score"), F.asc("chunk_id")], k, "rn")
 
 
@@ -397,39 +290,30 @@ def retrieval_quality(results: DataFrame, queries: DataFrame, threshold: float =
     )
 
 
-def _query_width() -> Column:
-    """Bytes of a query row when broadcast: its vector, and its text twice (whole and as lexemes)."""
-    return F.size("query_embedding") * 8 + F.octet_length("query_text") * 3
-
-
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, k: int = S.TOP_K, threshold: float = S.SCORE_THRESHOLD,
-    diversity: bool = True, keyword: bool = True, config: str = "simple", baseline: float = S.SCORE_THRESHOLD,
+    diversity: bool = True, keyword: bool = True, config: str = S.TEXT_CONFIG, baseline: float = S.SCORE_THRESHOLD,
 ) -> DataFrame:
     """Vector + keyword candidates, rerank, near-duplicate removal, title cap, top k.
 
-    `chunks` carries the document columns (J1).  Candidates (at most 3k + k per query) are
+    `chunks` carries the document columns (J1).  Candidates (at most 3k + k narrow rows per query) are
     written to the shared folder first; only their texts are joined with documents and shuffled.
     """
     body = chunks.select("chunk_id", "content", "document_title", "program", "faculty")
-    parts = []
-    for block in scale.query_blocks(queries, "query_id", width=_query_width()):
-        vec = vector_topk(block, chunks, k * S.CANDIDATE_MULTIPLIER, threshold, bounded=True)
-        if keyword:
-            cand = hybrid_union(vec, keyword_topk(block, chunks, k, config, bounded=True), baseline)
-        else:
-            cand = vec.select("query_id", "chunk_id", "score", F.lit("vector").alias("origin"),
-                              F.col("rn").cast("long").alias("ord"))
-        # Bounded: a block has at most QUERY_BLOCK_ROWS queries, each with at most 4k candidates of five narrow columns.
-        cand = materialise(cand, "candidates")
-        # The semi-join reaches the scan of the chunks, below the join with their documents.
-        picked = body.join(F.broadcast(cand.select("chunk_id").distinct()), "chunk_id", "left_semi")
-        met = picked.join(F.broadcast(cand), "chunk_id")
-        ranked = near_dup_filter(rerank(met.join(F.broadcast(block.select("query_id", "query_text")), "query_id")))
-        parts.append(
-            diversity_cap(ranked, S.MAX_CHUNKS_PER_TITLE, k) if diversity else plain_cut(ranked, k)
-        )
-    return scale.union_all(parts).select(
+    vec = vector_topk(queries, chunks, k * S.CANDIDATE_MULTIPLIER, threshold)
+    if keyword:
+        vec = materialise(vec, "vector-hits")
+        cand = hybrid_union(vec, keyword_topk(queries, chunks, k, config), baseline)
+    else:
+        cand = vec.select("query_id", "chunk_id", "score", F.lit("vector").alias("origin"),
+                          F.col("rn").cast("long").alias("ord"))
+    cand = materialise(cand, "candidates")
+    # The semi-join reaches the scan of the chunks, below the join with their documents.
+    picked = body.join(cand.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    met = picked.join(cand, "chunk_id").join(queries.select("query_id", "query_text"), "query_id")
+    ranked = near_dup_filter(rerank(met))
+    final = diversity_cap(ranked, S.MAX_CHUNKS_PER_TITLE, k) if diversity else plain_cut(ranked, k)
+    return final.select(
         "query_id", "rank", "chunk_id", "score", "hybrid", "origin",
         "document_title", "program", "faculty", "content")
 
@@ -453,16 +337,37 @@ def retrieval_log(results: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def expand_queries(queries: DataFrame, expand_fn, column: str = "embed_text") -> DataFrame:
-    """Text to embed per query from a pluggable batch function; on failure or an
-    empty answer the query itself."""
+def halving(fn, batch: list) -> list:
+    """Results of a batch function; a failing batch is halved until the failing items stand alone, as None."""
+    try:
+        made = list(fn(batch))
+        if len(made) != len(batch):
+            raise ValueError("one result per item is needed")
+        return made
+    except Exception:
+        if len(batch) == 1:
+            return [None]
+    middle = len(batch) // 2
+    return halving(fn, batch[:middle]) + halving(fn, batch[middle:])
+
+
+def expand_queries(queries: DataFrame, expand_fn, column: str = "embed_text", batch: int = S.EMBED_BATCH) -> DataFrame:
+    """Text to embed per query from a pluggable batch function; where that fails for a query, or its answer is empty, the
+    query itself.  One failing query costs the others of its batch nothing but a few more calls."""
 
     @F.pandas_udf(T.StringType())
     def expanded(texts: pd.Series) -> pd.Series:
-        try:
-            made = list(expand_fn(list(texts)))
-        except Exception:
-            return texts
-        return pd.Series([(m or "").strip() or t for m, t in zip(made, texts)])
+        asked, out = texts.tolist(), []
+        for start in range(0, len(asked), batch):
+            part = asked[start : start + batch]
+            out += [(made or "").strip() or text for made, text in zip(halving(expand_fn, part), part, strict=True)]
+        return pd.Series(out, dtype=object)
 
     return queries.withColumn(column, expanded("query_text"))
+
+
+def embed_queries(queries: DataFrame, expand_fn, embed_fn, column: str = "query_embedding") -> DataFrame:
+    """Question vectors as the search uses them: the expanded text is embedded, the question itself is kept for keywords."""
+    from atril.operators.ingest import embed_texts
+
+    return embed_texts(expand_queries(queries, expand_fn), "embed_text", embed_fn, out=column)

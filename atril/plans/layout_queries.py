@@ -157,19 +157,19 @@ def _(v):
 
 @query("grid_sections", SECTIONS + " SELECT * FROM sec")
 def _(v):
-    return L.grid_sections(*grid(v))
+    return L.grid_sections(grid_cells(v))
 
 
 @query("semester_credits", SECTIONS + " SELECT file, sheet, label, start_col, CAST(coalesce(sum(credit), 0) AS BIGINT) AS credits FROM sec GROUP BY 1, 2, 3, 4")
 def _(v):
-    return L.semester_credits(L.grid_sections(*grid(v)))
+    return L.semester_credits(L.grid_sections(grid_cells(v)))
 
 
 @query("section_texts", SECTIONS + """ SELECT file, sheet, start_col, '=== HOJA: ' || sheet || ' — SEMESTRE ' || label || CASE label WHEN 'I' THEN ' (primer semestre)' ELSE ' (segundo semestre)' END || ' ===' AS header,
     string_agg(line, chr(10) ORDER BY row) || CASE WHEN coalesce(sum(credit), 0) <> 0 THEN chr(10) || 'Total créditos de este semestre: ' || CAST(sum(credit) AS BIGINT) ELSE '' END AS body
     FROM sec GROUP BY file, sheet, start_col, label""")
 def _(v):
-    return L.section_texts(L.grid_sections(*grid(v)))
+    return L.section_texts(L.grid_sections(grid_cells(v)))
 
 
 @query("column_islands", """SELECT file, sheet, col, col - dense_rank() OVER (PARTITION BY file, sheet ORDER BY col) AS island

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from atril.functions.vector import hashed_embedder
+from atril.operators import near_dup
 from atril.operators import retrieval as R
-from atril.plans.registry import query
+from atril.operators.ingest import embed_texts
+from atril.plans.registry import ORACLES, query
 from atril.plans.views import Inputs
 
 THRESHOLD = 0.15
@@ -101,7 +104,7 @@ def result_columns(df):
 def ranked_candidates(v: Inputs, keyword: bool = True):
     chunks, queries = described(v), v["kb_queries"]
     vec = R.vector_topk(queries, chunks, threshold=THRESHOLD)
-    cand = R.hybrid_union(vec, R.keyword_topk(queries, chunks))
+    cand = R.hybrid_union(vec, R.keyword_topk(queries, chunks, config="simple"))
     rich = cand.join(chunks.drop("embedding"), "chunk_id").join(queries.select("query_id", "query_text"), "query_id")
     return R.rerank(rich)
 
@@ -134,7 +137,7 @@ def _(v):
 
 @query("text_match", DESCRIBED + KEYWORD + " SELECT query_id, chunk_id, rank_score FROM fts")
 def _(v):
-    return R.text_match(v["kb_queries"], described(v))
+    return R.text_match(v["kb_queries"], described(v), config="simple")
 
 
 TERMS = f"""words AS (SELECT doc_id, list_distinct({TOKENS.format("text")}) AS w FROM documents),
@@ -144,7 +147,7 @@ TERMS = f"""words AS (SELECT doc_id, list_distinct({TOKENS.format("text")}) AS w
 
 def term_queries(v):
     """Per document a question of its two longest words."""
-    words = F.array_distinct(R.lexeme_sequence(F.col("text")))
+    words = F.array_distinct(R.words_of(F.col("text")))
     longest = F.slice(F.sort_array(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), False), 1, 2)
     return v["documents"].select(
         F.col("doc_id").alias("query_id"), F.array_join(F.transform(longest, lambda s: s["w"]), " ").alias("query_text"))
@@ -152,12 +155,12 @@ def term_queries(v):
 
 @query("text_match_terms", TERMS + (DESCRIBED + KEYWORD).replace("kb_queries", "kb_terms") + " SELECT query_id, chunk_id, rank_score FROM fts")
 def _(v):
-    return R.text_match(term_queries(v), described(v))
+    return R.text_match(term_queries(v), described(v), config="simple")
 
 
 @query("keyword_topk_terms", TERMS + (DESCRIBED + KEYWORD).replace("kb_queries", "kb_terms") + " SELECT query_id, chunk_id, CAST(rn AS BIGINT) AS rn FROM kw")
 def _(v):
-    out = R.keyword_topk(term_queries(v), described(v))
+    out = R.keyword_topk(term_queries(v), described(v), config="simple")
     return out.select("query_id", "chunk_id", F.col("rn").cast("long").alias("rn"))
 
 
@@ -168,7 +171,7 @@ def _(v):
 
 @query("keyword_topk", DESCRIBED + KEYWORD + " SELECT query_id, chunk_id, CAST(rn AS BIGINT) AS rn FROM kw")
 def _(v):
-    return R.keyword_topk(v["kb_queries"], described(v)).select("query_id", "chunk_id", F.col("rn").cast("long").alias("rn"))
+    return R.keyword_topk(v["kb_queries"], described(v), config="simple").select("query_id", "chunk_id", F.col("rn").cast("long").alias("rn"))
 
 
 @query("exclude_seen", VECTOR + KEYWORD + """
@@ -176,7 +179,7 @@ def _(v):
   WHERE NOT EXISTS (SELECT 1 FROM vec v WHERE v.query_id = k.query_id AND v.chunk_id = k.chunk_id)""")
 def _(v):
     c = described(v)
-    hits = R.keyword_topk(v["kb_queries"], c)
+    hits = R.keyword_topk(v["kb_queries"], c, config="simple")
     return R.exclude_seen(hits, R.vector_topk(v["kb_queries"], c, threshold=THRESHOLD)).select("query_id", "chunk_id")
 
 
@@ -184,7 +187,7 @@ def _(v):
   SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, origin, CAST(ord AS BIGINT) AS ord FROM fused""")
 def _(v):
     c = described(v)
-    return R.hybrid_union(R.vector_topk(v["kb_queries"], c, threshold=THRESHOLD), R.keyword_topk(v["kb_queries"], c))
+    return R.hybrid_union(R.vector_topk(v["kb_queries"], c, threshold=THRESHOLD), R.keyword_topk(v["kb_queries"], c, config="simple"))
 
 
 @query("rerank", VECTOR + KEYWORD + FUSED + RERANKED + """
@@ -213,12 +216,12 @@ def _(v):
 
 @query("hybrid_search", FULL + RESULT)
 def hybrid_results(v):
-    return result_columns(R.hybrid_search(v["kb_queries"], described(v), threshold=THRESHOLD))
+    return result_columns(R.hybrid_search(v["kb_queries"], described(v), threshold=THRESHOLD, config="simple"))
 
 
 @query("hybrid_search_default_threshold", FULL.replace(f"raw >= {THRESHOLD}", "raw >= 0.35") + RESULT)
 def _(v):
-    return result_columns(R.hybrid_search(v["kb_queries"], described(v)))
+    return result_columns(R.hybrid_search(v["kb_queries"], described(v), config="simple"))
 
 
 @query("retrieval_quality", FULL + """
@@ -227,7 +230,7 @@ def _(v):
   FROM kb_queries q LEFT JOIN (SELECT * FROM final WHERE rank = 1) f ON f.query_id = q.query_id
   LEFT JOIN (SELECT query_id, count(*) AS n FROM final GROUP BY 1) n ON n.query_id = q.query_id""")
 def _(v):
-    res = R.hybrid_search(v["kb_queries"], described(v), threshold=THRESHOLD)
+    res = R.hybrid_search(v["kb_queries"], described(v), threshold=THRESHOLD, config="simple")
     return R.retrieval_quality(res, v["kb_queries"])
 
 
@@ -238,8 +241,48 @@ def _(v):
     SELECT query_id, string_agg(chunk_id || ':' || CAST(round(score * 10000) AS BIGINT) || ':' || document_title, ';' ORDER BY rank) AS chunks,
            min_by(score, rank) AS top_score FROM final GROUP BY 1) f ON f.query_id = q.query_id""")
 def _(v):
-    res = R.hybrid_search(v["kb_queries"], described(v), threshold=THRESHOLD)
+    res = R.hybrid_search(v["kb_queries"], described(v), threshold=THRESHOLD, config="simple")
     log = R.retrieval_log(res, v["kb_queries"])
     shown = F.transform("chunks_retrieved", lambda c: F.concat_ws(
         ":", c["chunk_id"].cast("string"), F.round(c["score"] * 10000).cast("long").cast("string"), c["title"]))
     return log.select("query_id", "query_text", F.array_join(shown, ";").alias("chunks"), "top_score")
+
+
+def stand_in_expansion(texts: list[str]) -> list[str]:
+    """A model that answers with the question twice, fails on questions with a length divisible by 7 and has
+    nothing to say to those divisible by 5."""
+    if any(len(t) % 7 == 0 for t in texts):
+        raise RuntimeError("no answer")
+    return ["" if len(t) % 5 == 0 else f"Respuesta: {t} {t}" for t in texts]
+
+
+@query("expand_queries", """SELECT question_id AS query_id,
+    CASE WHEN length(question) % 7 = 0 OR length(question) % 5 = 0 THEN question ELSE 'Respuesta: ' || question || ' ' || question END AS embed_text,
+    length(question) % 7 = 0 OR length(question) % 5 = 0 AS fell_back, true AS embedded_as_text FROM questions""")
+def _(v):
+    asked = v["questions"].select(F.col("question_id").alias("query_id"), F.col("question").alias("query_text"))
+    made = R.embed_queries(asked, stand_in_expansion, hashed_embedder)
+    # The vector is that of the expanded text: the same as embedding the texts directly.
+    again = embed_texts(made.select("query_id", "embed_text"), "embed_text", hashed_embedder, out="direct")
+    return made.join(again.select("query_id", "direct"), "query_id").select(
+        "query_id", "embed_text", (F.col("embed_text") == F.col("query_text")).alias("fell_back"),
+        (F.col("query_embedding") == F.col("direct")).alias("embedded_as_text"))
+
+
+@query("near_dup_pairs", r"""SELECT h.doc_id, CAST(coalesce(r.least, h.doc_id) AS BIGINT) AS class_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links
+  FROM heads h LEFT JOIN (SELECT a, least(a, min(b)) AS least FROM reach GROUP BY a) r ON r.a = h.doc_id
+  LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = h.doc_id""")
+def _(v):
+    return near_dup.near_dup_classes(v["documents"].select("doc_id", "text"), "doc_id", "text")
+
+
+# A recursive list of tables has to come first, so this one is put together by hand.
+ORACLES["near_dup_pairs"] = r"""WITH RECURSIVE heads AS (
+  SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 300)), '\s+'), lambda w: w <> '')) AS words FROM documents),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM heads a JOIN heads b ON a.doc_id <> b.doc_id AND len(b.words) > 0
+    AND 10 * len(b.words) >= 7 * len(a.words) AND 10 * len(a.words) >= 7 * len(b.words)
+  WHERE len(list_intersect(a.words, b.words))::DOUBLE
+        / greatest(len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)), 1) > 0.70),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+""" + ORACLES["near_dup_pairs"].removeprefix("WITH ")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from atril.functions.text import ABBREVIATIONS, MIN_SENTENCE_CHARS
 from atril.operators import scale
 from atril.operators.rows import micros
 from atril.plans.ingest_queries import uploads
@@ -88,18 +89,47 @@ def _(v):
     return prev.select("event_id", F.coalesce(C("us") - C("prev") <= 1800 * 1_000_000, F.lit(False)).alias("is_repeat"))
 
 
-@query("stream_sentences")
+def sentence_sql(table: str, key: str) -> str:
+    """Sentences of whole texts: cut behind every closing, joined until long enough."""
+    abbreviations = ", ".join(f"'{a}'" for a in ABBREVIATIONS)
+    strip = r"regexp_replace({0}, '^[\s\v\p{{Z}}]+|[\s\v\p{{Z}}]+$', '', 'g')"
+    return rf"""parts AS (SELECT {key}, regexp_extract_all(text, '[^.!?…\n]*(?:[.!?…]+|\n+)|[^.!?…\n]+$') AS s FROM {table} WHERE text IS NOT NULL),
+    marked AS (SELECT key, list_transform(range(1, len(s) + 1), lambda i: {{'t': s[i], 'c': CASE regexp_extract(s[i], '([.!?…]+|\n+)$')
+        WHEN '' THEN false WHEN '.' THEN NOT (regexp_matches(s[i], '[0-9]\.$') AND i < len(s) AND regexp_matches(s[i + 1], '^[0-9]'))
+          AND NOT list_contains([{abbreviations}], lower(regexp_extract(s[i], '(\p{{L}}*)\s*\.$', 1))) ELSE true END, 'o': CAST([] AS VARCHAR[])}}) AS x FROM parts),
+    joined AS (SELECT key, list_reduce(list_prepend({{'t': '', 'c': false, 'o': CAST([] AS VARCHAR[])}}, x), lambda acc, y:
+        CASE WHEN y.c AND length({strip.format("acc.t || y.t")}) >= {MIN_SENTENCE_CHARS}
+          THEN {{'t': '', 'c': false, 'o': list_append(acc.o, {strip.format("acc.t || y.t")})}} ELSE {{'t': acc.t || y.t, 'c': false, 'o': acc.o}} END) AS r FROM marked),
+    said AS (SELECT key, CASE WHEN {strip.format("r.t")} = '' THEN r.o ELSE list_append(r.o, {strip.format("r.t")}) END AS o FROM joined)"""
+
+
+@query("stream_sentences", sentence_sql("conversations", "conv_id * 1000 + turn AS key") + """
+    SELECT key AS message_id, CAST(unnest(range(len(o))) AS BIGINT) AS n, unnest(o) AS sentence FROM said""")
 def _(v):
-    c = J.table_stream(v.spark, v.dir, "conversations")
+    """Tokens dealt over five files by a hash, so most arrive in another micro-batch than their neighbours."""
     words = F.split(C("text"), "(?<= )")
-    tokens = c.select((C("conv_id") * 1000 + C("turn")).alias("message_id"), F.size(words).alias("k"), F.posexplode(words).alias("seq", "delta"))
-    tokens = tokens.select("message_id", "seq", "delta", (C("seq") == C("k") - 1).alias("done"))
-    return J.run_to_table(J.stream_sentences(tokens), "sentences")
+    tokens = v["conversations"].select((C("conv_id") * 1000 + C("turn")).alias("message_id"), F.size(words).alias("k"), F.posexplode(words).alias("seq", "delta"))
+    tokens = tokens.select("message_id", C("seq").cast("long").alias("seq"), "delta", (C("seq") == C("k") - 1).alias("done"))
+    path = scratch_path(v.spark, "tokens")
+    for part in range(5):
+        tokens.where(F.pmod(F.xxhash64("message_id", "seq"), F.lit(5)) == part).coalesce(1).write.mode("append").parquet(path)
+    stream = v.spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return J.run_to_table(J.stream_sentences(stream), "sentences").withColumn("n", C("n").cast("long"))
+
+
+@query("split_sentences", sentence_sql("documents", "doc_id AS key") + """
+    SELECT key AS doc_id, CAST(unnest(range(len(o))) AS BIGINT) AS n, unnest(o) AS sentence FROM said""")
+def _(v):
+    said = v["documents"].select("doc_id", F.posexplode(J.sentences_of("text")).alias("n", "sentence"))
+    return said.withColumn("n", C("n").cast("long"))
 
 
-@query("split_sentences")
+@query("stream_token_usage", """r AS (SELECT event_id AS request_id, event_type AS provider, ts, CAST(floor(value * 200) AS BIGINT) // 4 + user_id % 5 * 100 AS tokens FROM events),
+    u AS (SELECT request_id, provider, ts, CAST(sum(tokens) OVER (PARTITION BY provider ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM r)
+    SELECT request_id, provider, ts, used, used > 27000 AS over FROM u, clock WHERE time_bucket(INTERVAL 60 SECOND, ts) + INTERVAL 60 SECOND <= now - INTERVAL 60 SECOND""")
 def _(v):
-    return v["documents"].select("doc_id", F.posexplode(J.sentences_of("text")).alias("n", "sentence"))
+    tokens = (F.floor(F.floor(C("value") * 200) / 4) + C("user_id") % 5 * 100).cast("long").alias("tokens")
+    return J.run_to_table(J.stream_token_usage(events(v).select(C("event_id").alias("request_id"), C("event_type").alias("provider"), ts(), tokens)), "usage")
 
 
 @query("stream_ingest", """SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') || CASE doc_id % 5 WHEN 0 THEN '.csv' WHEN 1 THEN '.docx' ELSE '.txt' END AS file_name,

@@ -12,6 +12,7 @@ WEIGHT_KEYWORD = 0.20
 NEAR_DUP_JACCARD = 0.70
 NEAR_DUP_HEAD_CHARS = 300
 MAX_CHUNKS_PER_TITLE = 10
+TEXT_CONFIG = "spanish"
 AMBIGUITY_MARGIN = 0.15
 ENTITY_OVERLAP = 0.5
 CACHE_THRESHOLD = 0.90
@@ -39,3 +40,6 @@ SUMMARY_CLOSE = "=== FIN DEL RESUMEN ==="
 # Size bounds behind every explicit broadcast (see operators/scale.py).
 QUERY_BLOCK_ROWS = 4096
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+
+# Chunks per salted part of a frequent anchor word (full-text search).
+ANCHOR_ROWS = 20_000

@@ -7,8 +7,10 @@ checkpoint continues without loss or repetition.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +133,39 @@ def stream_token_budget(
     return _plain_window(used).withColumn("over", F.col("used") > budget)
 
 
+def stream_token_usage(
+    requests: DataFrame, budget: int = S.TOKEN_BUDGET, width_s: int = S.TOKEN_WINDOW_SECONDS, delay_s: int = 60
+) -> DataFrame:
+    """ST4, exact: per request(request_id, provider, ts, tokens) the tokens its provider used in the trailing `width_s`
+    seconds, the request itself and both ends included.
+
+    Time is cut into ranges of the window's length; a request is kept in its own range and, as context, in the next, so
+    every (provider, range) is complete by itself and a busy provider is spread over as many tasks as it has
+    ranges.  The watermark of `delay_s` seconds closes a range and drops its state.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def trailing(times: pd.Series, tokens: pd.Series) -> pd.Series:
+        def one(at: np.ndarray, used: np.ndarray) -> np.ndarray:
+            order = np.argsort(at, kind="stable")
+            total = np.concatenate([[0], np.cumsum(used[order])])
+            ranks = np.searchsorted(at[order], at - width_s * 1_000_000, "left"), np.searchsorted(at[order], at, "right")
+            return total[ranks[1]] - total[ranks[0]]
+
+        return pd.Series([one(np.asarray(a), np.asarray(u)) for a, u in zip(times, tokens)])
+
+    width = F.make_dt_interval(secs=F.lit(width_s))
+    twice = requests.select("request_id", "provider", "ts", "tokens", F.explode(F.array(F.lit(False), F.lit(True))).alias("context"))
+    ranged = twice.withColumn("clock", F.when(F.col("context"), F.col("ts") + width).otherwise(F.col("ts")))
+    # The context copies move the clock ahead by one width, so the delay takes it back.
+    held = ranged.withWatermark("clock", f"{delay_s + width_s} seconds").groupBy(F.window("clock", f"{width_s} seconds"), "provider").agg(
+        F.collect_list(F.struct("request_id", "ts", "tokens", "context")).alias("items"))
+    used = trailing(F.transform("items", lambda i: F.unix_micros(i["ts"])), F.transform("items", lambda i: i["tokens"]))
+    each = held.select("provider", F.explode(F.arrays_zip("items", used.alias("used"))).alias("x")).where("NOT x.items.context")
+    return each.select(
+        "x.items.request_id", "provider", F.col("x.items.ts").cast("timestamp_ntz").alias("ts"), "x.used", (F.col("x.used") > budget).alias("over"))
+
+
 def stream_quota_audit(requests: DataFrame, quotas: dict[str, tuple[int, int]] = QUOTAS, delay: str = "1 minute") -> DataFrame:
     """ST5: requests(client, route, ts) counted per declared window; reports, never blocks.
 
@@ -190,28 +225,38 @@ def stream_session_expiry(conversations: DataFrame, ttl: str = "2 hours") -> Dat
 SENTENCE = T.StructType([
     T.StructField("message_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sentence", T.StringType())])
 _STATE = T.StructType([
-    T.StructField("pending", T.StringType()), T.StructField("hidden", T.BooleanType()), T.StructField("n", T.IntegerType())])
+    T.StructField("pending", T.StringType()), T.StructField("hidden", T.BooleanType()), T.StructField("n", T.IntegerType()),
+    T.StructField("expected", T.LongType()), T.StructField("early", T.StringType())])
 
 
 def _assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pending, hidden, n = state.get if state.exists else ("", False, 0)
+    pending, hidden, n, expected, early = state.get if state.exists else ("", False, 0, 0, "[]")
+    waiting = {seq: (delta, last) for seq, delta, last in json.loads(early)}
+    for rows in frames:
+        for seq, delta, last in zip(rows["seq"].tolist(), rows["delta"].tolist(), rows["done"].tolist()):
+            if seq >= expected:
+                waiting.setdefault(seq, (delta, bool(last)))
     a, sentences, done = Assembler(pending, hidden), [], False
-    rows = pd.concat(list(frames)).sort_values("seq")
-    for delta, last in zip(rows["delta"], rows["done"]):
-        sentences += a.feed(delta)
-        if last:
-            sentences, done = sentences + a.flush(), True
+    while expected in waiting and not done:
+        delta, done = waiting.pop(expected)
+        expected += 1
+        sentences += a.feed(delta) + (a.flush() if done else [])
     if done:
         state.remove()
     else:
-        state.update((a.pending, a.hidden, n + len(sentences)))
+        early = json.dumps([(seq, *rest) for seq, rest in sorted(waiting.items())])
+        state.update((a.pending, a.hidden, n + len(sentences), expected, early))
     yield pd.DataFrame({
         "message_id": [key[0]] * len(sentences), "n": range(n, n + len(sentences)), "sentence": sentences
     }).astype({"message_id": "int64", "n": "int32"})
 
 
 def stream_sentences(tokens: DataFrame) -> DataFrame:
-    """ST7: tokens(message_id, seq, delta, done) to completed sentences."""
+    """ST7: tokens(message_id, seq, delta, done) to completed sentences.
+
+    `seq` counts the tokens of a message from 0.  A token that arrives before its turn, in the same micro-batch or an
+    earlier one, waits in the message's state until those before it have come; one that comes twice counts once.
+    """
     return tokens.groupBy("message_id").applyInPandasWithState(
         _assemble, SENTENCE, _STATE, "append", GroupStateTimeout.NoTimeout)
 

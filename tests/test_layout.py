@@ -26,6 +26,7 @@ def test_grid(spark):
     ranges = L.detect_semester_grid(c)
     assert sorted((r.label, r.start_col, r.end_col) for r in ranges.collect()) == [("I", 3, 6), ("II", 7, 9)]
     sections = L.grid_sections(c, ranges)
+    assert sorted(L.grid_sections(c).collect()) == sorted(sections.collect())  # the same ranges found in the same walk
     lines = {(r.label, r.row): (r.line, r.credit) for r in sections.collect()}
     assert lines == {
         ("I", 2): ("COMPONENTE BÁSICO | MAT1 | Cálculo", None), ("I", 3): ("COMPONENTE BÁSICO | 4 | 8 | T | 4", 4),
@@ -43,6 +44,23 @@ def test_label_value_credit(spark):
     assert L.grid_sections(c, L.detect_semester_grid(c)).first().credit == 3
 
 
+def test_sheets_of_any_shape(spark):
+    """No grid, one label only, drawn labels, empty values, a footer before the header, an empty table."""
+    assert L.grid_sections(cells(spark, [])).count() == 0
+    assert L.grid_sections(cells(spark, [(1, 1, "I"), (2, 1, "x")])).count() == 0
+    c = cells(spark, [(1, 1, "a"), (1, 2, ""), (2, 2, "MAT"), (2, 3, 1.5), (3, 3, 4), (2, 5, "FIS"), (3, 1, "Total"), (3, 5, "QUI")])
+    ranges = spark.createDataFrame([("f", "s", "I", 2, 3, 1), ("f", "s", "II", 4, 6, 1), ("g", "s", "I", 1, 2, 1)], "file string, sheet string, label string, start_col int, end_col int, header_row int")
+    got = sorted((r.label, r.start_col, r.row, r.line, r.credit) for r in L.grid_sections(c, ranges).collect())
+    assert got == [("I", 2, 2, "a | MAT", None), ("II", 4, 2, "a | FIS", None)]
+    early = cells(spark, [(1, 1, "TOTAL"), (2, 2, "I"), (2, 3, "II"), (3, 2, "x")])
+    assert L.grid_sections(early).count() == 0
+
+
+def test_one_exchange_of_the_cells(spark):
+    plan = L.grid_sections(grid(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+
+
 def test_shapes(spark):
     s = spark.createDataFrame([("f", "s", 2, 5, " I "), ("f", "s", 6, 9, "II"), ("f", "s", 1, 1, "flecha"), ("g", "s", 2, 5, "I")],
                               "file string, sheet string, from_col int, to_col int, label string")

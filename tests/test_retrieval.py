@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from atril.operators import retrieval as R
 
@@ -74,6 +75,46 @@ def test_vector_topk_equals_brute_force(vectors, k, threshold):
     assert got == {k_: v for k_, v in brute(queries, chunks, k, threshold).items() if v}
 
 
+@pytest.mark.parametrize("bound", [None, 100])
+def test_grid_of_many_blocks(spark, vectors, monkeypatch, bound):
+    """Several blocks of questions, below and beyond the bound for sending all of them to every task."""
+    from atril.operators import grid
+
+    q, c, queries, chunks = vectors
+    monkeypatch.setattr(grid.S, "QUERY_BLOCK_ROWS", 7)
+    monkeypatch.setattr(grid, "PACK_ROWS", 16)
+    monkeypatch.setattr(grid, "CELLS", 20)
+    monkeypatch.setattr(grid, "HELD_BLOCKS", 2)
+    if bound:
+        monkeypatch.setattr(grid.S, "QUERY_BLOCK_BYTES", bound)
+    got = {}
+    for r in R.vector_topk(q, c, 5, 0.2).orderBy("query_id", "rn").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {k: v for k, v in brute(queries, chunks, 5, 0.2).items() if v}
+    n = {r.query_id: r.n_compared for r in R.query_chunk_scan(q, c).collect()}
+    assert n == {i: len(v) for i, v in brute(queries, chunks, 1000, -2).items()}
+
+
+def test_many_questions_take_one_scan(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(500)], "chunk_id long, embedding array<float>").write.parquet(str(tmp_path / "c"))
+    chunks = spark.read.parquet(str(tmp_path / "c"))
+    q = spark.range(20_000).selectExpr("id AS query_id", "array(sin(id), cos(id), sin(2 * id), 0.1D) AS query_embedding")
+    found = R.vector_topk(q, chunks, 3, -2.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [chunk_id") == 1 and "Union" not in plan
+    assert found.count() == 60_000
+
+
+def test_odd_vectors(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.0, 0.0], None), (3, None, None), (4, [0.0, 0.0], None)], "query_id long, query_embedding array<double>, program string")
+    c = spark.createDataFrame([("x", [2.0, 0.0], "a"), ("y", [2.0, 0.0], None), ("z", [0.0, 5.0, 0.0], "a"), ("v", None, "a"), ("w", [], "a")], "chunk_id string, embedding array<float>, program string")
+    got = {(r.query_id, r.chunk_id): r.score for r in R.vector_topk(q, c, 5, -2.0).collect()}
+    assert got == {(1, "x"): 1.0, (2, "z"): 0.0, (4, "x"): 0.0, (4, "y"): 0.0}
+    assert R.vector_topk(q.limit(0), c).count() == 0 and R.vector_topk(q, c.limit(0)).count() == 0
+    assert R.text_match(q.selectExpr("query_id", "'a' AS query_text").limit(0), c.withColumn("content", F.lit("a"))).count() == 0
+
+
 def test_query_blocks_cover_everything(vectors):
     from atril.operators import scale
 
@@ -88,7 +129,7 @@ def test_text_match_is_conjunction(spark):
     c = spark.createDataFrame([
         (1, "rojo verde azul", [1.0], "x"), (2, "rojo", [1.0], "y"), (3, "azul rojo azul", [1.0], "y"), (4, "rojo azul", None, "x")],
         "chunk_id int, content string, embedding array<float>, program string")
-    got = {(r.query_id, r.chunk_id): r.rank_score for r in R.text_match(q, c).collect()}
+    got = {(r.query_id, r.chunk_id): r.rank_score for r in R.text_match(q, c, "simple").collect()}
     assert set(got) == {(1, 1), (1, 3), (2, 1)}
     assert got[(1, 1)] == pytest.approx(0.1 / 2) and got[(1, 3)] == pytest.approx(0.2)
 
@@ -99,6 +140,32 @@ def test_spanish_config_stems_and_drops_stop_words(spark):
     assert [r.chunk_id for r in R.text_match(q, c, "spanish").collect()] == [1]
 
 
+@pytest.mark.parametrize("config", ["simple", "spanish"])
+def test_text_match_with_hot_anchors(spark, config):
+    """Equal to reading every pair, with words that stand in most chunks and anchors cut into many parts."""
+    import random
+    import re
+
+    from atril.functions.stemmer import stem
+
+    rng = random.Random(4)
+    words = ["el", "la", "curso", "cursos", "costo", "matrícula", "pensum", "nota", "notas", "de", "sede"]
+    texts = [" ".join(rng.choices(words, weights=[30, 20, 9, 9, 3, 2, 2, 1, 1, 20, 1], k=rng.randint(0, 25))) for _ in range(120)] + [None, ""]
+    asked = [" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(30)] + ["curso", "el", "", None, "nadie", "curso nadie"]
+    stop = set(R.spanish_stop_words())
+
+    def lexemes(text):
+        found = re.findall(r"[^\W]+", (text or "").lower())
+        return found if config == "simple" else ["" if w in stop else stem(w) for w in found]
+
+    want = {(q, c) for q, a in enumerate(asked) for c, t in enumerate(texts)
+            if (need := set(lexemes(a)) - {""}) and need <= set(lexemes(t))}
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query_text string")
+    c = spark.createDataFrame([(i, t, [1.0]) for i, t in enumerate(texts)], "chunk_id int, content string, embedding array<float>")
+    got = [(r.query_id, r.chunk_id) for r in R.text_match(q, c, config, span=10).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_keyword_hits_are_cut_before_exclusion(spark):
     kw = spark.createDataFrame([(1, i, i) for i in range(1, 4)], "query_id int, chunk_id int, rn int")
     vec = spark.createDataFrame([(1, 2, 0.9, 1)], "query_id int, chunk_id int, score double, rn int")
@@ -113,6 +180,21 @@ def test_expand_queries_falls_back(spark):
         raise RuntimeError
 
     assert R.expand_queries(q, broken).first().embed_text == "hola"
+    many = spark.createDataFrame([(i, f"pregunta {i}") for i in range(50)], "query_id int, query_text string").coalesce(1)
+    calls = []
+
+    def picky(texts):
+        calls.append(len(texts))
+        if "pregunta 33" in texts:
+            raise RuntimeError
+        return [f"sobre {t}" if t != "pregunta 7" else " " for t in texts]
+
+    got = {r.query_id: r.embed_text for r in R.expand_queries(many, picky).collect()}
+    assert got == {i: f"pregunta {i}" if i in (33, 7) else f"sobre pregunta {i}" for i in range(50)}
+    assert R.halving(picky, ["a", "pregunta 33", "b"]) == ["sobre a", None, "sobre b"] and calls == [3, 1, 2, 1, 1]
+    assert R.halving(lambda ts: ts[1:], ["a", "b"]) == [None, None]
+    vectors = R.embed_queries(many, picky, lambda ts: [[float(len(t))] for t in ts]).where("query_id IN (8, 33)")
+    assert {r.query_id: r.query_embedding for r in vectors.collect()} == {8: [16.0], 33: [11.0]}
     assert R.expand_queries(q, lambda ts: ["respuesta" for _ in ts]).first().embed_text == "respuesta"
 
 
@@ -121,3 +203,32 @@ def test_log_has_a_row_without_results(spark):
     res = spark.createDataFrame([(1, 1, 7, .5, "t")], "query_id int, rank int, chunk_id int, score double, document_title string")
     log = {r.query_id: r for r in R.retrieval_log(res, q).collect()}
     assert len(log[1].query_text) == 2000 and log[1].top_score == .5 and log[2].chunks_retrieved == [] and log[2].top_score is None
+
+
+def test_near_dup_classes(spark):
+    from atril.operators import near_dup
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    base = [list(rng.choice(words, 14, replace=False)) for _ in range(12)]
+    texts = [" ".join(rng.permutation(b)) for b in base for _ in range(3)]
+    texts += [" ".join([*b[: 14 - k], *rng.choice(words, k)]) for b in base for k in (1, 2, 3)]
+    texts += [None, "", "   ", "uno", "uno", "UNO  uno", base[0][0]] + [" ".join(base[1])] * 40
+    rows = list(enumerate(texts))
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b) if a | b else 0.0
+
+    sets = [set((t or "")[:300].lower().split()) for t in texts]
+    near = {i: {j for j in range(len(sets)) if i != j and jaccard(sets[i], sets[j]) > 0.7} for i in range(len(sets))}
+    want = set()
+    for i in near:
+        seen, todo = {i}, [i]
+        while todo:
+            todo += (new := near[todo.pop()] - seen)
+            seen |= new
+        want.add((i, min(seen), len(near[i])))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, word string, node int")
+    got = [tuple(r) for r in near_dup.near_dup_classes(df, "doc_id", "text").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert near_dup.near_dup_classes(df.limit(0), "doc_id", "text").count() == 0

@@ -20,14 +20,28 @@ def test_files(spark):
     assert files.scan_csv_rows(spark, str(d)).first().text == "SEMESTRE I\nx, y | 2"
 
 
-def test_chunk_table_rewrite(spark):
-    path = tempfile.mkdtemp() + "/chunks"
+def test_chunk_table(spark):
+    """Deletions hide what was written before them, cost one small file, and compaction changes no reader's rows."""
+    path = tempfile.mkdtemp() + "/table"
     docs = spark.createDataFrame([(f"d{i}", "texto " * 20) for i in range(40)], "document_id string, text string")
     tables.write_chunks(I.chunk_prose(docs, 10, 2), path, 4)
-    gone = docs.where(F.col("document_id").isin("d1", "d2", "d3"))
-    tables.replace_documents(spark, path, gone, I.chunk_prose(docs.where("document_id = 'd3'"), 1000, 2), 4)
-    n = {r.document_id: r["count"] for r in spark.read.parquet(path).groupBy("document_id").count().collect()}
-    assert len(n) == 38 and n["d3"] == 1 and n["d4"] > 1
+    rows = lambda: sorted((r.document_id, r.content) for r in tables.read_chunks(spark, path).collect())
+    first, files = rows(), sorted(Path(path, "chunks").rglob("*.parquet"))
+    assert tables.compact(spark, path) == 0
+    tables.delete_documents(docs.where(F.col("document_id").isin("d1", "d2")), path)
+    assert rows() == [r for r in first if r[0] not in ("d1", "d2")]
+    assert sorted(Path(path, "chunks").rglob("*.parquet")) == files and len(list(Path(path, "deleted").rglob("part-*.parquet"))) == 1
+    tables.replace_documents(path, I.chunk_prose(docs.where("document_id = 'd3'"), 1000, 2), 4)
+    tables.delete_documents(docs.where("document_id IN ('d1', 'none')"), path)
+    tables.write_chunks(I.chunk_prose(docs.where("document_id = 'd2'"), 1000, 2), path, 4)
+    now = rows()
+    n = {d: sum(r[0] == d for r in now) for d in ("d1", "d2", "d3", "d4")}
+    assert n == {"d1": 0, "d2": 1, "d3": 1, "d4": n["d4"]} and n["d4"] > 1 and len({d for d, _ in now}) == 39
+    assert tables.compact(spark, path, 0.99) == 0
+    assert tables.compact(spark, path, 0.01) > 0 and rows() == now
+    assert tables.compact(spark, path, 0.01) == 0 and rows() == now
+    tables.delete_documents(docs, path)
+    assert rows() == [] and tables.compact(spark, path) > 0 and rows() == []
 
 
 def test_sentences():
@@ -56,6 +70,33 @@ def test_sentence_state_across_batches(spark):
     assert got == [(m, n, s) for m in (1, 2) for n, s in enumerate(["Hola a todos los presentes.", "Bien hecho"])]
 
 
+def test_sentence_tokens_out_of_order(spark):
+    """Tokens that come batches before their turn, twice, or after the one that ends the message."""
+    words = ["Hola a todos", " los presentes.", " Bien", " hecho, ", "digo 3", ".5 veces. ", "Y el Dr. Gil", " también vino!", " Fin"]
+    rows = [(m, i, d, i == len(words) - 1, (i * 5 + m) % 4) for m in range(6) for i, d in enumerate(words)]
+    rows += [(m, 0, words[0], False, 3) for m in range(6)]
+    df = spark.createDataFrame(rows, "message_id long, seq long, delta string, done boolean, batch int")
+    out = J.run_to_table(J.stream_sentences(_stream(spark, df, [f"batch = {b}" for b in range(4)])), "s")
+    want = Assembler()
+    whole = [s for w in words for s in want.feed(w)] + want.flush()
+    assert sorted((r.message_id, r.n, r.sentence) for r in out.collect()) == [(m, n, s) for m in range(6) for n, s in enumerate(whole)]
+
+
+def test_token_usage_of_each_request(spark):
+    """Equal to the batch rule over several micro-batches, with a provider that holds most rows."""
+    from atril.operators import rows as R
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(i, "hot" if i % 5 else f"p{i % 3}", t + dt.timedelta(milliseconds=997 * (i // 2) + (60_000 if i % 97 == 0 else 0)), 400 * (i % 11), 100, i // 150) for i in range(600)]
+    df = spark.createDataFrame(rows, "request_id long, provider string, ts timestamp, prompt_chars long, max_tokens long, b int")
+    stream = _stream(spark, df.withColumn("tokens", (F.col("prompt_chars") / 4 + F.col("max_tokens")).cast("long")), [f"b = {b}" for b in range(4)])
+    got = {r.request_id: (r.used, r.over) for r in J.run_to_table(J.stream_token_usage(stream, delay_s=120), "u").collect()}
+    want = {r.request_id: (r.used, r.over) for r in R.rolling_token_usage(df).collect()}
+    assert len(got) > 300 and got == {i: want[i] for i in got}
+    newest = max(r[2] for r in rows)
+    assert set(got) == {r[0] for r in rows if r[2].replace(second=0, microsecond=0) + dt.timedelta(seconds=60) <= newest - dt.timedelta(seconds=120)}
+
+
 def test_repeats_and_expiry(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(i, k, t + dt.timedelta(minutes=m), b) for i, (k, m, b) in enumerate([("a", 0, 0), ("a", 10, 1), ("b", 20, 1), ("a", 90, 2), ("c", 300, 3)])]
