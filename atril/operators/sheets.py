@@ -24,10 +24,10 @@ TOTAL, DEGREE, CREDIT, TYPE_MARKS = "TOTAL", "REQUISITOS DE GRADO", "CR", ("T",
 
 
 class Sheet:
-    """One sheet: parallel lists of its cells, sorted by row and column."""
+    """One sheet: its cells (row, col, value, is number, number), sorted by row and column, and its label ranges if known."""
 
-    def __init__(self, row: list, col: list, value: list, kind: list, number: list, ranges: list[tuple] | None):
-        self.cells = list(zip(row, col, (v or "" for v in value), (k == "number" for k in kind), number, strict=True))
+    def __init__(self, cells: list[tuple], ranges: list[tuple] | None):
+        self.cells = cells
         self.ranges, self.header_row = self._detected() if ranges is None else (ranges, min((r[3] for r in ranges), default=None))
         self.first_col = min((r[1] for r in self.ranges), default=None)
 
@@ -87,30 +87,50 @@ def sections(cells: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """Course rows per semester block: (file, sheet, label, start_col, row, line, credit).
 
     Without `ranges` (file, sheet, label, start_col, end_col, header_row) those of L4 are found in the same walk.
+    The cells go through one exchange, by sheet; a sheet's ranges travel as rows before its cells.
     """
-    cell = F.struct("row", "col", "value", "kind", F.col("value").try_cast("double").alias("number"))
-    sheets = cells.groupBy(*SHEET).agg(F.sort_array(F.collect_list(cell)).alias("c"))
-    flat = [F.col(f"c.{f}").alias(f) for f in ("row", "col", "value", "kind", "number")]
+    spark, kinds = cells.sparkSession, {f.name: f.dataType for f in cells.schema}
+    number = F.col("value").try_cast("double")
+    rows = cells.select(*SHEET, F.lit(1).alias("part"), "row", "col", F.coalesce("value", F.lit("")).alias("value"),
+                        F.coalesce(F.col("kind") == "number", F.lit(False)).alias("is_number"), number.alias("number"))
     if ranges is not None:
-        given = ranges.groupBy(*SHEET).agg(F.sort_array(F.collect_list(F.struct("start_col", "label", "end_col", "header_row"))).alias("g"))
-        sheets = sheets.join(given, SHEET)
-        flat += [F.col(f"g.{f}").alias(f) for f in ("label", "start_col", "end_col", "header_row")]
-    kinds = {f.name: f for f in cells.schema}
-    schema = T.StructType([kinds["file"], kinds["sheet"], T.StructField("label", T.StringType()), T.StructField("start_col", kinds["col"].dataType),
-                           T.StructField("row", kinds["row"].dataType), T.StructField("line", T.StringType()), T.StructField("credit", T.LongType())])
-    arrow = to_arrow_schema(schema)
-    names = ["row", "col", "value", "kind", "number"] + ["label", "start_col", "end_col", "header_row"] * (ranges is not None)
+        rows = rows.unionByName(ranges.select(
+            *SHEET, F.lit(0).alias("part"), F.col("header_row").cast(kinds["row"]).alias("row"), F.col("start_col").cast(kinds["col"]).alias("col"),
+            F.col("label").alias("value"), F.lit(False).alias("is_number"), F.col("end_col").cast("double").alias("number")))
+    schema = T.StructType([*(T.StructField(k, kinds[k]) for k in SHEET), T.StructField("label", T.StringType()), T.StructField("start_col", kinds["col"]),
+                           T.StructField("row", kinds["row"]), T.StructField("line", T.StringType()), T.StructField("credit", T.LongType())])
+    arrow, given = to_arrow_schema(schema), ranges is not None
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in arrow]
-            columns = [batch.column(name).to_pylist() for name in names]
-            for file, sheet, *lists in zip(batch.column("file").to_pylist(), batch.column("sheet").to_pylist(), *columns, strict=True):
-                given = list(zip(*lists[5:], strict=True)) if lists[5:] else None
-                for found in Sheet(*lists[:5], given).sections():
-                    for column, x in zip(out, (file, sheet, *found), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+        out: list[list] = [[] for _ in arrow]
+        at, held, labels = None, [], []
+
+        def close() -> None:
+            for found in Sheet(held, labels if given else None).sections():
+                for column, x in zip(out, (*at, *found), strict=True):
+                    column.append(x)
 
-    return sheets.select(*SHEET, *flat).mapInArrow(walk, schema)
+        def taken() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+            for column in out:
+                column.clear()
+            return made
 
+        for batch in batches:
+            for file, sheet, part, *cell in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, sheet) != at:
+                    if held:
+                        close()
+                    at, held, labels = (file, sheet), [], []
+                if part:
+                    held.append(cell)
+                else:
+                    labels.append((cell[2], cell[1], int(cell[4]), cell[0]))
+            yield taken()
+        if held:
+            close()
+            yield taken()
+
+    # As many tasks as the session shuffles to: the walk is work for processors, so small inputs are not gathered in few tasks.
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *SHEET)
+    return dealt.sortWithinPartitions(*SHEET, "part", "row", "col").mapInArrow(walk, schema)

@@ -279,10 +279,8 @@ def _(v):
 # A recursive list of tables has to come first, so this one is put together by hand.
 ORACLES["near_dup_pairs"] = r"""WITH RECURSIVE heads AS (
   SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 300)), '\s+'), lambda w: w <> '')) AS words FROM documents),
-links AS (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM heads a JOIN heads b ON a.doc_id <> b.doc_id AND len(b.words) > 0
-    AND 10 * len(b.words) >= 7 * len(a.words) AND 10 * len(a.words) >= 7 * len(b.words)
-  WHERE len(list_intersect(a.words, b.words))::DOUBLE
-        / greatest(len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)), 1) > 0.70),
+said AS (SELECT doc_id, len(words) AS n, unnest(words) AS word FROM heads),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM said a JOIN said b ON a.word = b.word AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) > 0.70),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 """ + ORACLES["near_dup_pairs"].removeprefix("WITH ")
