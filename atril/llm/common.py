@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from atril.session import materialise, ship_package
 
-__all__ = ["Sieve", "arrow_map", "arrow_tally", "components", "corpus_text", "held_out", "materialise", "table", "words"]
+__all__ = ["Sieve", "arrow_map", "arrow_tally", "components", "corpus_text", "extended", "held_out", "materialise", "put_back", "set_aside", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +34,30 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str, step: int = 1024) -> DataFrame:
+def extended(df: DataFrame, more: str = "") -> StructType:
+    """Schema of `df` with the fields of a schema string behind it; names of any spelling stay as they are."""
+    return StructType([*df.schema.fields, *(StructType.fromDDL(more).fields if more else ())])
+
+
+def set_aside(df: DataFrame, names: set[str]) -> tuple[DataFrame, DataFrame]:
+    """`df` with its columns of these names under names that no column has, and a rowless frame of its own columns
+    for `put_back`."""
+    own = "_" * (1 + max(map(len, df.columns), default=0))
+    return df.withColumnsRenamed({c: f"{own}{c}" for c in df.columns if c in names}), df.limit(0)
+
+
+def put_back(df: DataFrame, before: DataFrame, names: set[str]) -> DataFrame:
+    """The columns `before` had, in its order; those set aside under their own names again."""
+    own = "_" * (1 + max(map(len, before.columns), default=0))
+    return df.select(*(F.col(f"`{own}{c}`").alias(c) if c in names else F.col(f"`{c}`") for c in before.columns))
+
+
+def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType, step: int = 1024) -> DataFrame:
     """Apply `rows` (columns in, columns out, as lists or Arrow arrays) to the Arrow batches of `df`, at most `step` rows at once."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,8 +27,8 @@ def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxic_lexicon(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Lexicon:
     """The lexicon of a documents table, learnt from the labelled rows that may be used."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return toxicity.fit(docs.where(~held_out(3, 1)).select("doc_id", "text").join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(~held_out(3, 1))
+    return toxicity.fit(toxicity.labelled_texts(docs, labels))
 
 
 @query

@@ -250,5 +250,4 @@ def mask(docs: DataFrame, automata: dict[str, Automaton]) -> DataFrame:
             changed["n_chars"] = [n if t is o else len(o) for n, t, o in zip(batch["n_chars"], batch["text"], out, strict=True)]
         return changed
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, rows, schema)
+    return arrow_map(docs, rows, docs.schema)

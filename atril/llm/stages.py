@@ -7,13 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atril.llm import packing, secret_scan, setjoin, suffixes, toxicity
-from atril.llm.common import materialise
+from atril.llm.common import materialise, put_back, set_aside
 from atril.llm.queries import toxic_lexicon
 
+#: Columns the toxicity score adds.
+RESULT = {"score", "n_hits", "predicted"}
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the toxicity score doesn't reject; the lexicon is learnt from the rows operator 2 may use."""
-    return toxicity.score(docs, toxic_lexicon(spark, sf_dir, docs)).where("predicted = 0").select(docs.columns)
+    """Documents the toxicity score doesn't reject; the lexicon is learnt from the rows operator 2 may use.
+
+    Null and empty texts, which have no hits, stay; each of several equal rows is judged alike; an empty table stays
+    empty; all columns are returned as they are, also those named like the score's own.
+    """
+    aside, before = set_aside(docs, RESULT)
+    return put_back(toxicity.score(aside, toxic_lexicon(spark, sf_dir, docs)).where("predicted = 0"), before, RESULT)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,20 +39,32 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated passages; characters cut in two are left out, documents left empty go."""
-    cut = suffixes.cut_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).otherwise(F.col("text"))
-    shorter = cut.withColumn("text", text)
+    """Texts without the bytes of repeated passages; characters cut in two are left out, documents left empty go.
+
+    Null, empty and short texts stay as they are; equal rows of at least 200 bytes repeat each other and all go; an
+    empty table stays empty; `n_chars`, where there is one, follows a changed text; other columns are returned as
+    they are, also those named like the operator's own.
+    """
+    aside, before = set_aside(docs, suffixes.ADDED)
+    cut = suffixes.cut_repeats(aside, characters=True)
+    changed = F.col("n_removed") > 0
+    shorter = cut.withColumn("text", F.when(changed, F.decode("kept", "UTF-8")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        shorter = shorter.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return shorter.where("n_removed < n_bytes OR n_bytes = 0").select(docs.columns)
+        shorter = shorter.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return put_back(shorter.where("n_bytes = 0 OR octet_length(kept) > 0"), before, suffixes.ADDED)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret span replaced by `<kind>`."""
-    return secret_scan.mask(docs, secret_scan.train(docs)).select(docs.columns)
+    """Texts with every secret span replaced by `<kind>`.
+
+    Null and empty texts stay as they are; equal rows are masked alike; an empty table stays empty; `n_chars`
+    follows the text, and other columns are returned as they are.
+    """
+    return secret_scan.mask(docs, secret_scan.train(docs)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 ids, as operator 3 packs them (see there for nulls, empty texts
+    and repeated rows); other columns are ignored."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

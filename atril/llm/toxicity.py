@@ -17,7 +17,7 @@ import ahocorasick
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from atril.llm.common import arrow_map, corpus_text
+from atril.llm.common import arrow_map, corpus_text, extended, materialise
 
 #: Bound of the labelled rows the lexicon is fitted on (those with the smallest hashes).
 FIT_ROWS = 30_000
@@ -137,13 +137,27 @@ def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     return a, b
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
+    """`doc_id`, `text` and `toxic` of at most about `bound` labelled rows: those whose hash of doc_id falls below the share the bound leaves.
+
+    The choice is made on the narrow labels; only the chosen ids are sent to all tasks, so no text is shuffled, and the
+    chosen texts are read once and stored.  Labels other than 0 and 1 and rows without one are left out.
+    """
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
+    n = known.count()
+    if n > bound:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    # Bounded: about `bound` rows of two numbers.
+    return materialise(corpus_text(docs).join(F.broadcast(known), "doc_id"), "labelled-texts")
+
+
 def fit(labelled: DataFrame, exceptions: tuple[str, ...] = (), bound: int = FIT_ROWS) -> Lexicon:
-    """Learn a lexicon from `text` and `toxic`.
+    """Learn a lexicon from `doc_id`, `text` and `toxic` (0 or 1; other rows are left out).
 
-    At most `bound` labelled rows are used: those whose hash of text and doc_id falls below the share the bound
-    leaves.  Only entries and phrases that pass the thresholds reach the driver.  Phrases of two words that hold an
+    At most about `bound` rows are used, chosen as by `labelled_texts`, which is the way to come from whole tables.  Only entries and phrases that pass the thresholds reach the driver.  Phrases of two words that hold an
     entry and occur under label 0 only become exceptions, besides those given, if so many documents with the entry
-    would all be clean once in 1 / CHANCE.  Without rows of both labels the lexicon is empty.
+    would all be clean once in 1 / CHANCE.  Without rows of both labels (also on an empty table) the lexicon is
+    empty.  Null texts are empty, and repeated rows count each.
     """
     rows = labelled.where("toxic IN (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -162,7 +176,7 @@ def fit(labelled: DataFrame, exceptions: tuple[str, ...] = (), bound: int = FIT_
     counted = arrow_map(rows.select("text", "toxic"), count, "entry string, bad long, good long")
     kept = counted.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(
         (F.col("bad") >= math.log(CHANCE) / math.log(bad / n)) & (F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good")))
-    ).orderBy(F.desc("bad"), "entry").limit(20_000).collect()
+    ).collect()
     weights = _weigh(kept)
     exceptions = (*exceptions, *_harmless(rows, Lexicon(weights, exceptions)))
     raw = Lexicon(weights, exceptions)
@@ -225,15 +239,16 @@ def _weigh(kept: list[Row]) -> dict[str, float]:
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """Adds score, n_hits and predicted (score >= threshold) to every row.
 
-    Only the text decides; null and empty texts get the score of a text without hits; columns of those names
-    in `docs` are replaced by the new ones.
+    Only the text decides; null and empty texts get the score of a text without hits; repeated rows are scored
+    each; an empty table gives no rows; columns of those names in `docs` are replaced by the new ones, any
+    other columns are kept.
     """
+    plain = docs.drop("score", "n_hits", "predicted")
+    own = "_" * (1 + max(map(len, plain.columns)))  # no column has this name
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
-        found = [lexicon.score(t) for t in batch["_text"]]
-        rest = {k: v for k, v in batch.items() if k != "_text"}
-        return rest | {"score": [s for s, _ in found], "n_hits": [h for _, h in found], "predicted": [int(s >= threshold) for s, _ in found]}
+        found = [lexicon.score(t) for t in batch.pop(own)]
+        return batch | {"score": [s for s, _ in found], "n_hits": [h for _, h in found], "predicted": [int(s >= threshold) for s, _ in found]}
 
-    plain = docs.drop("score", "n_hits", "predicted")
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in plain.schema) + ", score double, n_hits long, predicted int"
-    return arrow_map(plain.withColumn("_text", F.coalesce("text", F.lit(""))), rows, schema)
+    return arrow_map(
+        plain.withColumn(own, F.coalesce(F.col("text").cast("string"), F.lit(""))), rows, extended(plain, "score double, n_hits long, predicted int"))

@@ -104,3 +104,84 @@ def test_one_row_of_each_class(spark):
     got = sorted(((r.doc_id, r.text) for r in stages.one_per_group(spark, docs, SF).select("doc_id", "text").collect()), key=repr)
     want = [(None, texts["b"]), (None, texts["c"]), (3, texts["d"]), (4, near), (6, texts["e"]), (6, texts["f"]), (4, texts["g"])] + rows[13:]
     assert got == sorted(want, key=repr)
+
+
+CLASHING = ["_text", "_key", "_maybe", "_found", "score", "predicted", "n_hits", "kept", "n_bytes", "n_removed", "n_spans", "sid", "row", "a b"]
+
+
+def clashing(spark, rows):
+    """A documents table with nulls and columns named like those the operators use, one a struct with a space in a field's name."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    docs = docs.withColumns({c: F.concat(F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in CLASHING})
+    return docs.withColumn("with space", F.struct(F.col("doc_id").alias("a field"), F.lit(None).cast("string").alias("b")))
+
+
+@pytest.mark.parametrize("name", ["drop_toxic", "one_per_group", "cut_repeats", "mask_secrets"])
+def test_stages_keep_any_columns(spark, name):
+    """Columns of any name come back as they were; nulls, empty texts, repeated rows and empty tables have their stated result."""
+    from atril.llm import stages
+
+    stage = getattr(stages, name)
+    passage = " ".join(f"shared{i}" for i in range(60))
+    texts = [None, "", " \n", "short", f"one two {passage} three", f"four {passage} five six", "token = abcdefgh12345678 rest", "plain � sign"]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)] + [(3, "short", "en", "s", 5), (None, None, None, None, None), (None, "alone", None, None, 5)]
+    docs = clashing(spark, rows)
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    before = {(r.doc_id, *(r[c] for c in CLASHING), r["with space"]) for r in docs.collect()}
+    after = got.collect()
+    assert {(r.doc_id, *(r[c] for c in CLASHING), r["with space"]) for r in after} <= before
+    kept = sorted(((r.doc_id, r.text) for r in after), key=repr)
+    changed = {"mask_secrets": {6: "<assign> rest"}}.get(name, {})
+    if name in ("drop_toxic", "mask_secrets"):
+        assert [d for d, _ in kept] == [d for d, *_ in sorted(((r[0], r[1]) for r in rows), key=repr)] and len(kept) == len(rows)
+        assert all(t == texts[d] or d in (4, 5, *changed) for d, t in kept if d is not None)
+    if name == "one_per_group":
+        assert [d for d, _ in kept].count(3) == 1 and [d for d, _ in kept].count(None) == 2
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_replacement_characters_stay(spark):
+    """A genuine U+FFFD outside the passages stays, and characters cut in two go as a whole."""
+    from atril.llm import stages
+
+    shared = "é" * 150
+    rows = [(1, "a� " + "x" + shared + "y � end", "en", "s", 0), (2, "b" + shared + "ü", "en", "s", 0), (3, "c � alone", "en", "s", 9)]
+    cut = {r.doc_id: (r.text, r.n_chars) for r in stages.cut_repeats(spark, clashing(spark, rows), SF).collect()}
+    # The first byte of the letter behind the second passage is the same as in the passage, so that letter is cut in two.
+    assert cut == {1: ("a� xy � end", 11), 2: ("b", 1), 3: ("c � alone", 9)}
+
+
+def test_whole_characters():
+    from atril.llm.suffixes import whole_characters
+
+    data = np.frombuffer("aéb日c".encode(), np.uint8)
+    assert whole_characters(data, [(2, 4)]) == [(1, 4)] and whole_characters(data, [(0, 2)]) == [(0, 3)]
+    assert whole_characters(data, [(5, 6)]) == [(4, 7)] and whole_characters(data, [(3, 4)]) == [(3, 4)]
+
+
+def test_toxicity_of_odd_tables(spark):
+    from atril.llm import toxicity
+
+    lexicon = toxicity.Lexicon({" zonk ": 5.0}, (), 20.0, -1.0)
+    docs = clashing(spark, [(1, "zonk", "en", "s", 4), (1, "zonk", "en", "s", 4), (2, None, None, None, None), (None, "fine words", None, None, None)])
+    got = toxicity.score(docs, lexicon)
+    assert set(docs.columns) - {"score", "predicted", "n_hits"} <= set(got.columns)
+    assert sorted(((r.doc_id, r.n_hits, r.score == lexicon.score(r.text or "")[0], r._text is None) for r in got.collect()), key=repr) == sorted(
+        [(1, 1, True, False), (1, 1, True, False), (2, 0, True, False), (None, 0, True, False)], key=repr)
+    assert toxicity.score(docs.limit(0), lexicon).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
+    assert toxicity.fit(empty).weights == {} and toxicity.fit(empty).score("zonk")[0] < 0.5
+
+
+def test_labelled_sample(spark):
+    """Labels decide the sample: nulls and other values are out, the bound holds about, and no text is shuffled for it."""
+    from atril.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(3000)] + [(None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(2001, None), (2002, 7), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    whole = toxicity.labelled_texts(docs, labels)
+    assert {(r.doc_id, r.text, r.toxic) for r in whole.collect()} == {(i, f"t{i}", i % 2) for i in range(2000)}
+    assert 300 < toxicity.labelled_texts(docs, labels, 500).count() < 700
