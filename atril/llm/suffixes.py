@@ -7,6 +7,10 @@ equal core are brought together.  There, the suffix array of all their surroundi
 difference-cover algorithm with the core as one symbol: triples at places not divisible by three are sorted
 and named, the names are sorted recursively, the remaining suffixes are merged in, and neighbours whose
 prefixes agree are repeats.  Surroundings that are equal as a whole are repeats at once and enter as one.
+
+What is distributed is the choice of samples and their meeting by core; a difference-cover sort runs inside a task, over
+many cores at once.  A core with more than `TOGETHER` different surroundings would be one task's load, so the hashes of
+its strings are counted over all tasks instead; both ways find the same strings.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atril.llm.common import Sieve, corpus_text, materialise
+from atril.llm.common import Sieve, corpus_text, extended, materialise
 from atril.llm.setjoin import _power, mix
 
 LENGTH = 200
@@ -232,26 +236,38 @@ def _counted(rows: DataFrame) -> DataFrame:
     """The same for cores with very many surroundings: every string's hash is counted, with no group in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for around, core, copies, a, b in zip(*(batch[c].to_pylist() for c in ("around", "core", "copies", "left", "right")), strict=True):
-                data = np.frombuffer(a + b, np.uint8)
-                sums, back = prefix_sums(data), np.arange(max(0, SIDE - len(b)), len(a) + 1)
-                strings = span_hashes(sums, len(a) - back, len(a) + SIDE - back) ^ mix(np.array([core], np.int64).view(np.uint64) + back.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"around": np.full(len(back), around), "back": back, "string": strings, "copies": np.full(len(back), copies)})
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                out: list[tuple[np.ndarray, ...]] = []
+                for around, core, copies, a, b in zip(*(batch[c].to_pylist() for c in ("around", "core", "copies", "left", "right")), strict=True):
+                    data = np.frombuffer(a + b, np.uint8)
+                    sums, back = prefix_sums(data), np.arange(max(0, SIDE - len(b)), len(a) + 1)
+                    strings = span_hashes(sums, len(a) - back, len(a) + SIDE - back) ^ mix(np.array([core], np.int64).view(np.uint64) + back.astype(np.uint64)).view(np.int64)
+                    out.append((np.full(len(back), around), back, strings, np.full(len(back), copies)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["around", "back", "string", "copies"])
 
     each = rows.mapInArrow(run, "around long, back long, string long, copies long")
-    twice = each.groupBy("string").agg(F.sum("copies").alias("m")).where("m > 1").select("string")
-    bits = each.join(twice, "string", "left_semi").groupBy("around").agg(*(
+    # A string that occurs once names its one place by the least of what its group holds, so strings are joined with nothing.
+    once = each.groupBy("string").agg(F.sum("copies").alias("m"), F.min("around").alias("around"), F.min("back").alias("back")).where("m = 1")
+    halves = range(WINDOW // 64)
+    bits = once.groupBy("around").agg(*(
         F.bit_or(F.when((F.col("back") >= 64 * k) & (F.col("back") < 64 * (k + 1)), F.expr(f"shiftleft(1L, cast(back - {64 * k} as int))")).otherwise(F.lit(0).cast("long"))).alias(f"m{k}")
-        for k in range(WINDOW // 64)
+        for k in halves
     ))
+    # All strings of a place but those that occur once are repeats.
+    span = rows.select("around", F.greatest(F.lit(SIDE) - F.octet_length("right"), F.lit(0)).alias("low"), F.octet_length("left").alias("high"))
+    marked = span.join(bits, "around", "left").na.fill(0, [f"m{k}" for k in halves])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = np.stack([batch[f"m{k}"].to_numpy() for k in range(WINDOW // 64)], axis=1)
-            yield pa.RecordBatch.from_pydict({"around": batch["around"], "mask": pa.array([w.astype("<i8").tobytes() for w in words], pa.binary())})
+            alone = np.stack([batch[f"m{k}"].to_numpy() for k in halves], axis=1).astype("<i8").view(np.uint8)
+            back = np.arange(WINDOW)
+            held = (back >= batch["low"].to_numpy()[:, None]) & (back <= batch["high"].to_numpy()[:, None])
+            masks = np.packbits(held, axis=1, bitorder="little") & ~alone
+            yield pa.RecordBatch.from_pydict({"around": batch["around"], "mask": pa.array([m.tobytes() for m in masks], pa.binary())})
 
-    return bits.mapInArrow(pack, "around long, mask binary")
+    return marked.mapInArrow(pack, "around long, mask binary")
 
 
 def _masks(docs: DataFrame) -> DataFrame:
@@ -285,44 +301,63 @@ def removed_spans(text: str, found: list[dict]) -> tuple[np.ndarray, list[tuple[
     return data, list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def whole_characters(data: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of a UTF-8 text widened to the characters they cut in two."""
+    inside = lambda at: at < len(data) and data[at] & 0xC0 == 0x80
+    out = []
+    for a, b in spans:
+        while inside(a):
+            a -= 1
+        while inside(b):
+            b += 1
+        out.append((a, b))
+    return out
+
+
+#: Columns `cut_repeats` adds.
+ADDED = {"n_bytes", "n_removed", "n_spans", "kept"}
+
+
+def cut_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     """The rows of `docs` with every byte in a repeated string of `LENGTH` bytes removed.
 
     A string is repeated if it also starts anywhere else, in the same row or another; strings are judged on the
-    input.  Adds n_bytes, n_removed, n_spans, kept (binary) and replaces columns of those names.  Null texts are
-    empty; texts below `LENGTH` bytes keep all; a repeated row of at least that length loses all of it; other columns are kept as
-    they are.  Texts and places are named by 64 bits of hashes.
+    input.  Adds n_bytes, n_removed, n_spans, kept (binary) and replaces columns of those names.  With
+    `characters`, characters cut in two go as a whole from `kept`, which then is valid UTF-8; the counts stay those of
+    bytes.  Null texts are empty; texts below `LENGTH` bytes keep all; a repeated row of at least that length loses
+    all of it; an empty table gives no rows; other columns are kept as they are, whatever their names.  Texts
+    and places are named by 64 bits of hashes.
     """
     masks = _masks(docs)
     sieve = Sieve(masks, "key")
-    plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_key", "_text", "_found")
-    texts = plain.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    plain = docs.drop(*ADDED)
+    own = "_" * (1 + max(map(len, plain.columns)))  # no column has a name that begins with this
+    text, key, maybe, found = (own + c for c in ("text", "key", "maybe", "found"))
+    texts = plain.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.array([text_key(t) for t in batch["_text"].to_pylist()], np.int64)
-            maybe = sieve(keys)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys), pa.array(maybe)], names=[*batch.schema.names, "_key", "_maybe"])
-
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in texts.schema)
-    marked = texts.mapInArrow(keyed, f"{fields}, _key long, _maybe boolean")
+            keys = np.array([text_key(t) for t in batch[text].to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys), pa.array(sieve(keys))], names=[*batch.schema.names, key, maybe])
 
+    marked = texts.mapInArrow(keyed, extended(texts, f"{key} long, {maybe} boolean"))
     names = plain.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept")}
-            for text, found in zip(batch["_text"].to_pylist(), batch["_found"].to_pylist(), strict=True):
-                if found:
-                    data, spans = removed_spans(text, found)
-                    keep = np.ones(len(data), bool)
-                    for a, b in spans:
+            for whole, places_of in zip(batch[text].to_pylist(), batch[found].to_pylist(), strict=True):
+                if places_of:
+                    data, spans = removed_spans(whole, places_of)
+                    removed, size = sum(b - a for a, b in spans), len(data)
+                    keep = np.ones(size, bool)
+                    for a, b in whole_characters(data, spans) if characters else spans:
                         keep[a:b] = False
-                    kept, size = data[keep].tobytes(), len(data)
+                    kept = data[keep].tobytes()
                 else:
-                    kept, spans = text.encode("utf-8", "surrogatepass"), []
+                    kept, spans, removed = whole.encode("utf-8", "surrogatepass"), [], 0
                     size = len(kept)
-                for k, v in zip(out, (size, size - len(kept), len(spans), kept), strict=True):
+                for k, v in zip(out, (size, removed, len(spans), kept), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch[c] for c in names] + [pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")] + [pa.array(out["kept"], pa.binary())],
@@ -330,9 +365,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             )
 
     kind = masks.schema["found"].dataType
-    direct = marked.where("NOT _maybe").withColumn("_found", F.lit(None).cast(kind))
-    joined = marked.where("_maybe").join(masks.select(F.col("key").alias("_key"), F.col("found").alias("_found")), "_key", "left")
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in plain.schema)
-    schema = ("" if not fields else fields + ", ") + "n_bytes long, n_removed long, n_spans long, kept binary"
-    columns = [*plain.columns, "_text", "_found"]
+    direct = marked.where(f"NOT {maybe}").withColumn(found, F.lit(None).cast(kind))
+    joined = marked.where(maybe).join(masks.select(F.col("key").alias(key), F.col("found").alias(found)), key, "left")
+    schema = extended(plain, "n_bytes long, n_removed long, n_spans long, kept binary")
+    columns = [*(F.col(f"`{c}`") for c in names), text, found]
     return direct.select(columns).mapInArrow(cut, schema).unionByName(joined.select(columns).mapInArrow(cut, schema))
