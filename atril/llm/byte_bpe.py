@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from atril.llm.common import arrow_map, corpus_text
 
 MAX_STATES = 200_000
-MAX_CHUNKS = 1_000_000
+MAX_CHUNKS = 600_000
 DECODE_BLOCK = 16_384
 #: A single space between two other characters always opens a new match of the pattern.
 _GAP = regex.compile(r"(?<=[^\s\x1c-\x1f\x85\xa0]) (?=[^\s\x1c-\x1f\x85\xa0])")
@@ -168,24 +168,39 @@ class Codec:
         space = r"\p{White_Space}"
         fixed = pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", space)
         self.pattern = regex.compile(fixed)
-        self.met: dict[str, tuple[int, ...]] = {}
+        self.met: dict[str, str] = {}  # chunk behind a space: its ids in decimal
+        self.changed: dict[str, bytes] = {}  # chunks of `met` whose ids stand for other bytes
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         encode = self.machine.encode
         return tuple(chain.from_iterable(encode(m.encode()) for m in self.pattern.findall(chunk)))
 
     def encode(self, text: str) -> list[int]:
+        return list(map(int, filter(None, self.decimal(text)[0].split(","))))
+
+    def decimal(self, text: str) -> tuple[str, bytes]:
+        """(ids in decimal with commas between them, bytes the ids stand for), chunk by chunk."""
         if not text:
-            return []
+            return "", b""
         first, *others = _GAP.split(text)
-        out = list(self._chunk(first))
         if len(self.met) > MAX_CHUNKS:
             self.met.clear()
-        met = self.met
-        for chunk in set(others).difference(met):
-            met[chunk] = self._chunk(" " + chunk)
-        out += chain.from_iterable(map(met.__getitem__, others))
-        return out
+            self.changed.clear()
+        met, new = self.met, set(others)
+        for chunk in new.difference(met):
+            ids, plain = self._chunk(" " + chunk), b" " + chunk.encode()
+            met[chunk] = ",".join(map(self.digits_of.__getitem__, ids))
+            back = b"".join(map(self.bytes_of.__getitem__, ids))
+            if back != plain:
+                self.changed[chunk] = back
+        ids = self._chunk(first)
+        parts = [",".join(map(self.digits_of.__getitem__, ids)), *map(met.__getitem__, others)]
+        head = b"".join(map(self.bytes_of.__getitem__, ids))
+        if self.changed and not new.isdisjoint(self.changed):
+            behind = b"".join(self.changed.get(c) or b" " + c.encode() for c in others)
+        else:
+            behind = " ".join(["", *others]).encode()
+        return ",".join(filter(None, parts)), head + behind
 
     def decode(self, ids: list[int]):
         """Bytes and characters, block by block."""
@@ -212,17 +227,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, texts: bool = False)
         tool = codec(path, pattern)
         out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
         for text in batch["text"]:
-            ids = tool.encode(text)
-            digest, shown = hashlib.sha256(), []
-            for data, characters in tool.decode(ids):
-                digest.update(data)
-                if texts:
-                    shown.append(characters)
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(",".join(map(tool.digits_of.__getitem__, ids)).encode()).hexdigest())
-            out["decoded_sha256"].append(digest.hexdigest())
-            out["ids"].append(ids if texts else None)
-            out["decoded"].append("".join(shown) if texts else None)
+            ids, data = tool.decimal(text)
+            out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
+            out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
+            ids = list(map(int, filter(None, ids.split(",")))) if texts else None
+            out["ids"].append(ids)
+            out["decoded"].append("".join(c for _, c in tool.decode(ids)) if texts else None)
         return {"doc_id": batch["doc_id"], **out}
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
