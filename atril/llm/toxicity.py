@@ -14,10 +14,11 @@ from collections import Counter
 from functools import lru_cache
 
 import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from atril.llm.common import arrow_map, corpus_text, extended, materialise
+from atril.llm.common import arrow_map, corpus_text, materialise
 
 #: Bound of the labelled rows the lexicon is fitted on (those with the smallest hashes).
 FIT_ROWS = 30_000
@@ -246,9 +247,11 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFram
     plain = docs.drop("score", "n_hits", "predicted")
     own = "_" * (1 + max(map(len, plain.columns)))  # no column has this name
 
-    def rows(batch: dict[str, list]) -> dict[str, list]:
-        found = [lexicon.score(t) for t in batch.pop(own)]
-        return batch | {"score": [s for s, _ in found], "n_hits": [h for _, h in found], "predicted": [int(s >= threshold) for s, _ in found]}
+    @F.pandas_udf("score double, n_hits long, predicted int")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        found = [lexicon.score(t) for t in texts]
+        return pd.DataFrame({"score": [s for s, _ in found], "n_hits": [h for _, h in found], "predicted": [int(s >= threshold) for s, _ in found]})
 
-    return arrow_map(
-        plain.withColumn(own, F.coalesce(F.col("text").cast("string"), F.lit(""))), rows, extended(plain, "score double, n_hits long, predicted int"))
+    # Only the text goes to Python; not deterministic for the planner, so that a filter on a result doesn't compute it twice.
+    scored = plain.withColumn(own, judged.asNondeterministic()(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return scored.select(*(F.col(f"`{c}`") for c in plain.columns), f"{own}.score", f"{own}.n_hits", f"{own}.predicted")
