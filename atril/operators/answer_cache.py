@@ -11,6 +11,7 @@ from atril import settings as S
 from atril.functions import text as tx
 from atril.operators import retrieval as R
 from atril.operators.rows import micros, newest_n_cap
+from atril.session import materialise
 
 
 def semester_guard(query: Column, cached_question: Column) -> Column:
@@ -53,7 +54,8 @@ def answer_cache_lookup(
         F.lpad((F.lit(9_000_000_000_000_000_000) - micros(F.col("ts"))).cast("string"), 19, "0"),
         F.lit(":"), F.col("entry_id").cast("string"))
     live = live.withColumn("chunk_id", newest_first)
-    best = R.vector_topk(queries, live.select("chunk_id", "embedding"), 1, 1e-8)
+    # At most one narrow row per question, written down so that the planner knows its size when it meets the entries' texts.
+    best = materialise(R.vector_topk(queries, live.select("chunk_id", "embedding"), 1, 1e-8), "best-entries")
     found = live.select(
         "chunk_id", "entry_id", F.col("question").alias("cached_question"), "answer", "sources"
     ).join(best, "chunk_id").drop("chunk_id", "rn")

@@ -95,11 +95,12 @@ def expire_guest_rows(conv: DataFrame, msgs: DataFrame, now: dt.datetime, hours:
     return left, msgs.join(gone.select("conversation_id"), "conversation_id", "left_anti")
 
 
-def close_guest(conv: DataFrame, msgs: DataFrame, conversation_id):
-    """P6, explicit form: a guest closes their own conversation."""
-    is_it = (F.col("conversation_id") == F.lit(conversation_id)) & F.col("user_id").isNull()
-    gone = conv.where(is_it).select("conversation_id")
-    return conv.where(~is_it), msgs.join(gone, "conversation_id", "left_anti")
+def close_guests(conv: DataFrame, msgs: DataFrame, asked: DataFrame):
+    """P6, explicit form: (conversations, messages) without the guest conversations named in `asked`(conversation_id);
+    a conversation with an owner stays, whoever asks."""
+    named = asked.select("conversation_id").distinct()
+    gone = conv.where(F.col("user_id").isNull()).join(named, "conversation_id", "left_semi").select("conversation_id")
+    return conv.join(gone, "conversation_id", "left_anti"), msgs.join(gone, "conversation_id", "left_anti")
 
 
 def fail_orphan_runs(runs: DataFrame, now: dt.datetime, message: str = "interrumpida por reinicio") -> DataFrame:

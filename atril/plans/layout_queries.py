@@ -80,14 +80,35 @@ def grid(v):
     return cells, materialise(L.detect_semester_grid(cells), "ranges")
 
 
-@query("spans_to_lines", r"""k AS (SELECT * FROM page_spans WHERE trim(text) <> '' AND (length(trim(text)) > 1 OR regexp_full_match(trim(text), '\p{L}'))),
+LINES = r"""k AS (SELECT * FROM page_spans WHERE trim(text) <> '' AND (length(trim(text)) > 1 OR regexp_full_match(trim(text), '\p{L}'))),
     r AS (SELECT file, page, CAST(round_even(y / 6.0, 0) * 6 AS BIGINT) AS rk, string_agg(trim(text), ' ' ORDER BY x, seq) AS line FROM k GROUP BY 1, 2, 3),
-    f AS (SELECT * FROM r WHERE length(line) > 3 AND len(regexp_extract_all(line, '\p{L}')) >= 2)
+    f AS (SELECT * FROM r WHERE length(line) > 3 AND len(regexp_extract_all(line, '\p{L}')) >= 2)"""
+
+
+@query("spans_to_lines", LINES + """
     SELECT file, page, CAST(row_number() OVER (PARTITION BY file, page ORDER BY rk) AS BIGINT) AS line_no, line FROM f""")
 def _(v):
     return L.spans_to_lines(v["page_spans"]).withColumn("line_no", C("line_no").cast("long"))
 
 
+@query("lines_to_text", LINES + """, p AS (SELECT file, page, string_agg(line, chr(10) ORDER BY rk) AS t FROM f GROUP BY 1, 2)
+    SELECT file, string_agg(t, chr(10) || chr(10) ORDER BY page) AS text FROM p GROUP BY 1""")
+def _(v):
+    return L.lines_to_text(L.spans_to_lines(v["page_spans"]))
+
+
+@query("shape_semester_grid", """shapes AS (SELECT l_orderkey AS file, 's' AS sheet, CAST(l_linenumber AS BIGINT) * 3 AS from_col, CAST(l_linenumber AS BIGINT) * 3 + 2 AS to_col,
+      CASE l_linenumber % 4 WHEN 1 THEN ' I ' WHEN 2 THEN 'II' WHEN 3 THEN 'flecha' ELSE 'x' END AS label FROM lineitem),
+    roman AS (SELECT *, trim(label) AS l FROM shapes WHERE regexp_full_match(trim(label), '[IVXLCDM]+'))
+    SELECT file, sheet, l AS label, from_col + 1 AS start_col, to_col + 1 AS end_col, CAST(1 AS BIGINT) AS header_row FROM roman
+    QUALIFY count(*) OVER (PARTITION BY file, sheet) >= 2""")
+def _(v):
+    at, which = C("l_linenumber").cast("long") * 3, C("l_linenumber") % 4
+    label = F.when(which == 1, " I ").when(which == 2, "II").when(which == 3, "flecha").otherwise("x")
+    shapes = v["lineitem"].select(C("l_orderkey").alias("file"), F.lit("s").alias("sheet"), at.alias("from_col"), (at + 2).alias("to_col"), label.alias("label"))
+    return L.shape_semester_grid(shapes).withColumn("header_row", C("header_row").cast("long"))
+
+
 def comma_cells(v):
     """Documents as sheets: a line is a row, its comma-separated parts are cells."""
     d = v["documents"].select(C("doc_id").alias("file"), C("lang").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("row", "l"))

@@ -54,11 +54,29 @@ def _(v):
                            patches, "document_id", ["program", "faculty"])
 
 
-@query("expire_guest_rows", """SELECT m.message_id, m.conversation_id FROM messages m JOIN chats c USING (conversation_id), clock
-    WHERE NOT (c.user_id IS NULL AND c.created_at < clock.now - INTERVAL 2 HOUR)""")
+def both_kinds(left):
+    """Remaining conversations and messages as one table."""
+    conv, msgs = left
+    return conv.select(F.lit("conversation").alias("kind"), C("conversation_id").alias("id"), "conversation_id").unionByName(
+        msgs.select(F.lit("message").alias("kind"), C("message_id").alias("id"), "conversation_id"))
+
+
+BOTH_KINDS = """SELECT 'conversation' AS kind, conversation_id AS id, conversation_id FROM remaining
+    UNION ALL SELECT 'message', m.message_id, m.conversation_id FROM messages m JOIN remaining USING (conversation_id)"""
+
+
+@query("expire_guest_rows", """remaining AS (SELECT c.conversation_id FROM chats c, clock WHERE NOT (c.user_id IS NULL AND c.created_at < clock.now - INTERVAL 2 HOUR))
+    """ + BOTH_KINDS)
 def _(v):
-    _, msgs = R.expire_guest_rows(v["chats"], v["messages"], v.now)
-    return msgs.select("message_id", "conversation_id")
+    return both_kinds(R.expire_guest_rows(v["chats"], v["messages"], v.now))
+
+
+@query("close_guest", """remaining AS (SELECT conversation_id FROM chats WHERE user_id IS NOT NULL OR title IS NULL OR title <> 'Nueva conversación')
+    """ + BOTH_KINDS)
+def _(v):
+    """Everyone asks to close the conversations without a title of their own; only guests' go."""
+    asked = v["chats"].where("title = 'Nueva conversación'").select("conversation_id")
+    return both_kinds(R.close_guests(v["chats"], v["messages"], asked))
 
 
 @query("fail_orphan_runs", """SELECT run_id, started_at, CASE status WHEN 'running' THEN 'failed' ELSE status END AS status,
@@ -128,12 +146,27 @@ def _(v):
     return R.admin_demotion_guard(v["members"].select("user_id", "role"), changes)
 
 
-@query("delete_document_cascade", """SELECT c.chunk_id, c.document_id FROM kb_chunks c
-    WHERE c.document_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+@query("delete_document_cascade", """poor AS (SELECT doc_id FROM labels WHERE quality = 0)
+    SELECT 'document' AS kind, document_id AS id, document_id FROM kb_documents WHERE document_id NOT IN (SELECT doc_id FROM poor)
+    UNION ALL SELECT 'chunk', chunk_id, document_id FROM kb_chunks WHERE document_id NOT IN (SELECT doc_id FROM poor)""")
+def _(v):
+    ids = v["labels"].where(C("quality") == 0).select(C("doc_id").alias("document_id"))
+    docs, chunks = R.delete_document_cascade(v["kb_documents"], v["kb_chunks"], ids)
+    return docs.select(F.lit("document").alias("kind"), C("document_id").alias("id"), "document_id").unionByName(
+        chunks.select(F.lit("chunk").alias("kind"), C("chunk_id").alias("id"), "document_id"))
+
+
+@query("reset_for_reindex", """poor AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0)
+    SELECT document_id, CASE WHEN p.doc_id IS NULL THEN ingestion_status ELSE 'processing' END AS ingestion_status,
+      CAST(p.doc_id IS NULL AS BIGINT) AS total_chunks, CAST(p.doc_id IS NULL AS BIGINT) AS stored
+    FROM kb_documents LEFT JOIN poor p ON p.doc_id = document_id""")
 def _(v):
     ids = v["labels"].where(C("quality") == 0).select(C("doc_id").alias("document_id"))
-    _, chunks = R.delete_document_cascade(v["kb_documents"], v["kb_chunks"], ids)
-    return chunks.select("chunk_id", "document_id")
+    docs = v["kb_documents"].select("document_id", "ingestion_status", F.lit(1).alias("total_chunks"))
+    docs, chunks = R.reset_for_reindex(docs, v["kb_chunks"], ids)
+    stored = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("stored"))
+    return docs.join(stored, "document_id", "left").select(
+        "document_id", "ingestion_status", C("total_chunks").cast("long").alias("total_chunks"), F.coalesce("stored", F.lit(0)).alias("stored"))
 
 
 @query("previous_user_turn", """SELECT m.message_id, m.role, (SELECT max_by(u.content, u.created_at) FROM messages u
