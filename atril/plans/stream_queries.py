@@ -133,9 +133,17 @@ def _(v):
 
 
 @query("stream_ingest", """SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') || CASE doc_id % 5 WHEN 0 THEN '.csv' WHEN 1 THEN '.docx' ELSE '.txt' END AS file_name,
-    CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY text) THEN 'completed' ELSE 'duplicate' END AS ingestion_status FROM documents""")
+    CASE WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id % 7 % 5, doc_id) = 1 THEN 'completed' ELSE 'duplicate' END AS ingestion_status,
+    true AS chunks_stored FROM documents""")
 def _(v):
+    """Documents uploaded in five batches; copies of a text meet within a batch and across batches."""
     path = scratch_path(v.spark, "ingest")
-    files = uploads({"documents": J.table_stream(v.spark, v.dir, "documents")})
-    J.stream_ingest(files, path).awaitTermination()
-    return v.spark.read.parquet(f"{path}/documents").select("file_name", "ingestion_status")
+    for part in range(5):
+        v["documents"].where(C("doc_id") % 7 % 5 == part).coalesce(1).write.mode("append").parquet(f"{path}/uploads")
+    stream = v.spark.readStream.schema(v["documents"].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/uploads")
+    J.stream_ingest(uploads({"documents": stream}), path).awaitTermination()
+    documents = v.spark.read.parquet(f"{path}/documents")
+    n = v.spark.read.parquet(f"{path}/chunks").groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    # A completed document has exactly the chunks it says; a repeated one adds none.
+    stored = F.when(C("ingestion_status") == "completed", C("total_chunks") == F.coalesce("n", F.lit(0))).otherwise(C("total_chunks") == 0)
+    return documents.join(n, "document_id", "left").select("file_name", "ingestion_status", stored.alias("chunks_stored"))

@@ -20,8 +20,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from atril import settings as S
 from atril.functions.sentences import Assembler, split_sentences
+from atril.functions.text import content_hash
 from atril.operators.ingest import ingest_documents
-from atril.session import scratch_path
+from atril.session import materialise, scratch_path
 
 # Declared quotas as route -> (requests, seconds).
 QUOTAS = {
@@ -64,21 +65,27 @@ def stream_ingest(
 ) -> StreamingQuery:
     """ST1: every micro-batch of files goes through the ingestion pipeline.
 
-    A batch writes to its own partition in overwrite mode and skips content completed
-    by earlier batches, so a replayed batch leaves the same tables.
+    The content hashes met so far are keyed state of the stream, so a batch reads its own files only, however long
+    the history is.  A hash new to the state comes with the batch it is new in; other files of that batch repeat earlier
+    content (whether that could be read or not: the same bytes fail the same way).  A batch writes to its own partition
+    in overwrite mode, so a replayed batch leaves the same tables.
     """
     kwargs = {} if embed_fn is None else {"embed_fn": embed_fn}
+    columns = [F.col("content")] + ([F.col("decoded").cast("binary")] if "decoded" in files.columns else [])
+    hashed = files.select(F.struct(*files.columns).alias("file"), content_hash(F.coalesce(*columns)).alias("hash"))
+    fresh = hashed.select("hash").where("hash IS NOT NULL").dropDuplicates(["hash"])
+    both = hashed.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)), allowMissingColumns=True)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = None
-        if batch_id > 0:
-            known = spark.read.parquet(f"{path}/documents").where(F.col("batch") < batch_id)
-        documents, chunks = ingest_documents(batch, known, **kwargs)
+        rows = materialise(batch, "batch")
+        mine = rows.where("NOT fresh")
+        seen = mine.select("hash").where("hash IS NOT NULL").distinct().join(rows.where("fresh").select("hash"), "hash", "left_anti")
+        known = seen.select(F.col("hash").alias("content_hash"), F.lit("completed").alias("ingestion_status"))
+        documents, chunks = ingest_documents(mine.select("file.*"), known, **kwargs)
         documents.write.mode("overwrite").parquet(f"{path}/documents/batch={batch_id}")
         chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
 
-    writer = files.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint")
+    writer = both.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint")
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
