@@ -16,7 +16,7 @@ from atril.sources import files, tables
 C = F.col
 
 
-@query("scan_text_files", "SELECT doc_id, text AS decoded FROM documents")
+@query("decode_text", "SELECT doc_id, text AS decoded FROM documents")
 def _(v):
     """The decoding step over every document: UTF-8 with a BOM, plain UTF-8 and, where
     Latin-1 can hold the text and its bytes are not valid UTF-8, Latin-1."""
@@ -27,13 +27,33 @@ def _(v):
     return v["documents"].select("doc_id", files.decode_text(data).alias("decoded"))
 
 
+def as_files(v, text):
+    """Folder with one text file for every document, each ending in a line break."""
+    path = scratch_path(v.spark, "files")
+    v["documents"].select("doc_id", text.alias("text")).write.partitionBy("doc_id").text(path)
+    return path
+
+
+def doc_of(df, column):
+    return df.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), column)
+
+
+@query("scan_text_files", "SELECT doc_id, text || chr(10) AS decoded FROM documents")
+def _(v):
+    """Every document written to a file of its own, a third of them with a BOM, and read back."""
+    path = as_files(v, F.when(C("doc_id") % 3 == 0, F.concat(F.lit("\ufeff"), C("text"))).otherwise(C("text")))
+    return doc_of(files.scan_text_files(v.spark, path, "*.txt"), C("text").alias("decoded"))
+
+
 CSV_SQL = r"""list_filter(list_transform(string_split(replace(text, ' | ', ' , '), chr(10)),
       lambda l: trim(array_to_string(list_transform(string_split(l, ','), lambda c: trim(c)), ' | '), ' |')), lambda l: l <> '')"""
 
 
 @query("scan_csv_rows", f"SELECT doc_id, array_to_string({CSV_SQL}, chr(10)) AS rows_text FROM documents")
 def _(v):
-    return v["documents"].select("doc_id", files.csv_rows_text(F.replace(C("text"), F.lit(" | "), F.lit(" , "))).alias("rows_text"))
+    """Every document as a comma-separated file."""
+    path = as_files(v, F.replace(C("text"), F.lit(" | "), F.lit(" , ")))
+    return doc_of(files.scan_csv_rows(v.spark, path, "*.txt"), C("text").alias("rows_text"))
 
 
 def prose(v):
