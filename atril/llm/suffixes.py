@@ -33,6 +33,8 @@ SIDE = WINDOW - 1
 CORE = LENGTH - SIDE
 #: Places with one core that are sorted in one task; a core with more is counted by prefix, spread over all tasks.
 TOGETHER = 4000
+#: Places sorted at once where cores are small; a suffix array needs about 50 KB of memory a place.
+SORTED = 1000
 SEGMENT = 1 << 22
 
 
@@ -214,8 +216,8 @@ def _sorted_groups(docs_rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for whole in batches:
-            for start in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(start, TOGETHER)
+            for start in range(0, whole.num_rows, SORTED):
+                batch = whole.slice(start, SORTED)
                 cores = batch["core"].to_numpy()
                 cut = int(np.flatnonzero(cores != cores[-1])[-1]) + 1 if cores[0] != cores[-1] else 0  # the last core may go on
                 if held and held[-1]["core"][-1].as_py() != cores[0] and not cut:
