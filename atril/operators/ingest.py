@@ -91,9 +91,9 @@ def embed_texts(
 ) -> DataFrame:
     """Vectors for `column`, each distinct (model, text) embedded once.
 
-    Distinct texts come from a map-side combined aggregate.  Texts that make up more
-    than 1/200 of all rows (hence fewer than 200 texts) are joined back by broadcast;
-    the others by a shuffle in which no key is hot.
+    Distinct texts come from a map-side combined aggregate, so a text that many rows share leaves each task once.  Vectors
+    come back by a left join on the texts' hashes, unique on the vectors' side, whose hot hashes AQE splits
+    on the rows' side.  Rows without a text have no vector.
     """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -104,16 +104,9 @@ def embed_texts(
         return pd.Series(made)
 
     keyed = df.withColumn("_key", tx.content_hash(F.concat_ws("\u0001", F.lit(model), F.col(column))))
-    unique = keyed.where(F.col(column).isNotNull()).groupBy("_key").agg(
-        F.any_value(column).alias("_text"), F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    is_hot = F.col("_n") > total / 200
-    hot_keys = unique.where(is_hot).select("_key")
-    hot_vectors = unique.where(is_hot).select("_key", embedded("_text").alias(out))
-    cold_vectors = unique.where(~is_hot).select("_key", embedded("_text").alias(out))
-    hot = keyed.join(F.broadcast(hot_vectors), "_key")
-    cold = keyed.join(F.broadcast(hot_keys), "_key", "left_anti").join(cold_vectors, "_key", "left")
-    return hot.unionByName(cold).drop("_key")
+    unique = keyed.where(F.col(column).isNotNull()).groupBy("_key").agg(F.any_value(column).alias("_text"))
+    vectors = unique.select("_key", embedded("_text").alias(out))
+    return keyed.join(vectors, "_key", "left").withColumn(out, F.when(F.col(column).isNotNull(), F.col(out))).drop("_key")
 
 
 def ingest_documents(
