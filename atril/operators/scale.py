@@ -11,7 +11,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,17 +120,29 @@ def preceding_rows(
 def trailing_sum(
     df: DataFrame, keys: list[str], position: Column, value: Column, width: int, out: str
 ) -> DataFrame:
-    """Adds `out`: sum of `value` over positions [p - width, p] of the same key.
+    """Adds `out`: sum of the integer `value` over positions [p - width, p] of the same key.
 
     A row matters to its own range of length `width` and to the next one only, so
-    every (key, range) group is complete with one copy of each row as context.
+    every (key, range) group is complete with one copy of each row as context.  The copy
+    stands `width` later, where it leaves the sum; three running sums then give the result. A
+    frame with two moving ends would be added up anew for every row.
     """
-    w = Window.partitionBy(*keys, "_piece").orderBy("_pos").rangeBetween(-width, 0)
-    pos = df.withColumn("_pos", position.cast("long")).withColumn("_v", value)
+    order = Window.partitionBy(*keys, "_piece").orderBy("_at")
+    until, before = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own, context = F.when(F.col("_own"), F.col("_v")), F.when(~F.col("_own"), F.col("_v"))
+
+    def held(of: Callable[[Column], Column]) -> Column:
+        ends = [F.coalesce(of(c).over(w), F.lit(0)) for c, w in ((own, until), (context, whole), (context, before))]
+        return ends[0] + ends[1] - ends[2]
+
+    pos = df.withColumn("_pos", position.cast("long")).withColumn("_v", value).where(F.col("_pos").isNotNull())
+    home = F.floor(F.col("_pos") / F.lit(width))
     return (
-        pos.withColumn("_home", F.floor(F.col("_pos") / F.lit(width)))
-        .withColumn("_piece", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-        .withColumn(out, F.sum("_v").over(w))
-        .where(F.col("_piece") == F.col("_home"))
-        .drop("_pos", "_v", "_home", "_piece")
+        pos.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+        .withColumn("_piece", F.when(F.col("_own"), home).otherwise(home + 1))
+        .withColumn("_at", F.when(F.col("_own"), F.col("_pos")).otherwise(F.col("_pos") + width))
+        .withColumns({"_n": held(F.count), out: held(F.sum)})
+        .where("_own").withColumn(out, F.when(F.col("_n") > 0, F.col(out)))
+        .drop("_pos", "_v", "_own", "_piece", "_at", "_n")
     )

@@ -41,3 +41,15 @@ def test_trailing_sum(rows, width):
     want = rows.withColumn("o", F.sum("n").over(w)).select("k", "p", "o")
     got = scale.trailing_sum(rows, ["k"], F.col("p"), F.col("n"), width, "o").select("k", "p", "o")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_trailing_sum_is_linear(spark):
+    """No frame with two moving ends, nulls as a plain window has them, and a hot key whose rows share positions."""
+    rows = spark.createDataFrame([("a", None, 5), ("a", 3, None), ("b", 1, None), ("b", 2, 4), ("b", 2, 6), ("b", 9, None), (None, 2, 1)], "k string, p long, n long")
+    hot = spark.range(4000).select(F.lit("hot").alias("k"), (F.col("id") % 700).alias("p"), F.col("id").alias("n"))
+    rows = rows.unionByName(hot)
+    got = scale.trailing_sum(rows, ["k"], F.col("p"), F.col("n"), 3, "o").select("k", "p", "n", "o")
+    assert "RangeFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString().replace("RangeFrame, unboundedpreceding$(), -1", "")
+    w = Window.partitionBy("k").orderBy("p").rangeBetween(-3, 0)
+    want = rows.where("p IS NOT NULL").withColumn("o", F.sum("n").over(w)).select("k", "p", "n", "o")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
