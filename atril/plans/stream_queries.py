@@ -106,15 +106,16 @@ def sentence_sql(table: str, key: str) -> str:
 @query("stream_sentences", sentence_sql("conversations", "conv_id * 1000 + turn AS key") + """
     SELECT key AS message_id, CAST(unnest(range(len(o))) AS BIGINT) AS n, unnest(o) AS sentence FROM said""")
 def _(v):
-    """Tokens dealt over five files by a hash, so most arrive in another micro-batch than their neighbours."""
+    """Tokens dealt over five micro-batches by a hash, so most arrive in another micro-batch than their neighbours."""
     words = F.split(C("text"), "(?<= )")
-    tokens = v["conversations"].select((C("conv_id") * 1000 + C("turn")).alias("message_id"), F.size(words).alias("k"), F.posexplode(words).alias("seq", "delta"))
+    # Split before the rows are multiplied: beside a generator, an expression is computed again for every row it makes.
+    said = v["conversations"].select((C("conv_id") * 1000 + C("turn")).alias("message_id"), words.alias("words"), F.size(words).alias("k"))
+    tokens = said.select("message_id", "k", F.posexplode("words").alias("seq", "delta"))
     tokens = tokens.select("message_id", C("seq").cast("long").alias("seq"), "delta", (C("seq") == C("k") - 1).alias("done"))
-    path = scratch_path(v.spark, "tokens")
-    for part in range(5):
-        tokens.where(F.pmod(F.xxhash64("message_id", "seq"), F.lit(5)) == part).coalesce(1).write.mode("append").parquet(path)
-    stream = v.spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return J.run_to_table(J.stream_sentences(stream), "sentences").withColumn("n", C("n").cast("long"))
+    path = scratch_path(v.spark, "sentences")
+    J.run_in_parts(tokens, F.pmod(F.xxhash64("message_id", "seq"), F.lit(5)), 5, f"{path}/tokens",
+                   lambda stream: J.start_append(J.stream_sentences(stream), f"{path}/data", f"{path}/checkpoint"))
+    return v.spark.read.schema(J.SENTENCE).parquet(f"{path}/data").withColumn("n", C("n").cast("long"))
 
 
 @query("split_sentences", sentence_sql("documents", "doc_id AS key") + """
@@ -138,10 +139,7 @@ def _(v):
 def _(v):
     """Documents uploaded in five batches; copies of a text meet within a batch and across batches."""
     path = scratch_path(v.spark, "ingest")
-    for part in range(5):
-        v["documents"].where(C("doc_id") % 7 % 5 == part).coalesce(1).write.mode("append").parquet(f"{path}/uploads")
-    stream = v.spark.readStream.schema(v["documents"].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/uploads")
-    J.stream_ingest(uploads({"documents": stream}), path).awaitTermination()
+    J.run_in_parts(v["documents"], C("doc_id") % 7 % 5, 5, f"{path}/uploads", lambda stream: J.stream_ingest(uploads({"documents": stream}), path))
     documents = v.spark.read.parquet(f"{path}/documents")
     n = v.spark.read.parquet(f"{path}/chunks").groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     # A completed document has exactly the chunks it says; a repeated one adds none.

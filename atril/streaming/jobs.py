@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -53,6 +53,14 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
+def run_in_parts(df: DataFrame, part: Column, parts: int, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """`df` as a stream of `parts` micro-batches, the rows where `part` is 0, 1 and so on: each is written by as many tasks as
+    hold its rows and then taken by a run of its own, which goes on from the checkpoint of the run before."""
+    for k in range(parts):
+        df.where(part == k).write.mode("append").parquet(folder)
+        start(df.sparkSession.readStream.schema(df.schema).parquet(folder)).awaitTermination()
+
+
 def _plain_window(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c != "window"]
     return df.select(
@@ -95,33 +103,51 @@ _ADMITTED = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("ts", T.TimestampType())])
 
 
+#: Keys of a stream are dealt to so many groups, each with one state and one Python call a micro-batch; a call for every
+#: key costs about a millisecond.
+STATE_GROUPS = 1024
+_HELD = T.StructType([T.StructField("held", T.StringType())])
+_NO_TIME = int(np.datetime64("NaT").astype("int64"))
+
+
+def _group(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(STATE_GROUPS))
+
+
 def stream_repeat_suppress(requests: DataFrame, ttl_seconds: int = S.RETRIEVAL_TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
     """ST2: requests(request_id, key, ts) that are not repeats.
 
     A request repeats when the last admitted one with its key is at most the TTL older; a
     repeat does not renew the TTL.  State is one time per key, dropped once the watermark
-    passes its end.
+    passes its end; the keys of a hash share a group.
     """
-    ttl = pd.Timedelta(seconds=ttl_seconds)
+    ttl = ttl_seconds * 1_000_000
 
     def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last = {k: t for k, t in json.loads(state.get[0])} if state.exists else {}
+        kept = []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
+            admitted = []
+            for k, t in zip(rows["key"].tolist(), rows["ts"].to_numpy("datetime64[us]").astype("int64").tolist()):
+                k = k if isinstance(k, str) else None
+                fresh = k not in last or t != _NO_TIME and t - last[k] > ttl
+                if fresh:
+                    last[k] = t
+                admitted.append(fresh)
+            kept = [rows.loc[np.array(admitted, bool), ["request_id", "key", "ts"]]]
+        now = state.getCurrentWatermarkMs()
+        last = {k: t for k, t in last.items() if (t + ttl) // 1000 >= now}
+        if last:
+            state.update((json.dumps(list(last.items())),))
+            state.setTimeoutTimestamp(max((min(last.values()) + ttl) // 1000, now + 1))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        keep = []
-        for t in rows["ts"]:
-            fresh = last is None or t - last > ttl
-            last = t if fresh else last
-            keep.append(fresh)
-        micros = last.value // 1000
-        state.update((micros,))
-        state.setTimeoutTimestamp(max((micros // 1000) + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[keep, ["request_id", "key", "ts"]]
-
-    return requests.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
-        admit, _ADMITTED, T.StructType([T.StructField("last", T.LongType())]), "append", GroupStateTimeout.EventTimeTimeout)
+        yield from kept
+
+    grouped = requests.select("request_id", "key", "ts", _group("key").alias("group")).withWatermark("ts", delay).groupBy("group")
+    return grouped.applyInPandasWithState(
+        admit, _ADMITTED, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_daily_activity(conversations: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -192,80 +218,102 @@ def stream_quota_audit(requests: DataFrame, quotas: dict[str, tuple[int, int]] =
     return out.withColumn("over", F.col("n") > F.element_at(limits, F.col("route")))
 
 
-_CREATED = T.StructField("created", T.LongType())
-
-
 def stream_session_expiry(conversations: DataFrame, ttl: str = "2 hours") -> DataFrame:
     """ST6: guest conversations once the stream's clock is `ttl` past the second of their creation.
 
     The watermark is the newest creation time less the TTL.  State is one creation time per waiting conversation
-    (and second), dropped when the watermark passes it.  One that has already passed on arrival, however late, is reported
-    with its micro-batch.  Every row goes out twice for that: one copy moves the clock and ends there, the other
-    carries no event time, as Spark drops rows whose event time is behind the watermark.
+    (and second), dropped when the watermark passes it; the conversations of a hash share a group.  One that has already
+    passed on arrival, however late, is reported with its micro-batch.  Every row goes out twice for that: one copy moves
+    the clock and ends there, the other carries no event time, as Spark drops rows whose event time is behind the watermark.
     """
     guests = conversations.where("user_id IS NULL AND created_at IS NOT NULL")
-    twice = guests.select("conversation_id", F.unix_micros("created_at").alias("created"), F.unix_seconds("created_at").alias("second"),
+    twice = guests.select(F.col("conversation_id").cast("string").alias("id"), F.unix_micros("created_at").alias("created"),
                           F.explode(F.array(F.col("created_at"), F.lit(None).cast("timestamp"))).alias("clock"))
-    waiting = twice.withWatermark("clock", ttl).where("clock IS NULL")
+    waiting = twice.withColumn("group", _group("id")).withWatermark("clock", ttl).where("clock IS NULL")
 
     def expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        created = [state.get[0]] if state.exists else []
-        if state.hasTimedOut:
+        first: dict[tuple, int] = {}
+        held = [json.loads(state.get[0])] if state.exists else []
+        if not state.hasTimedOut:
+            held += [zip(f["id"].tolist(), f["created"].tolist()) for f in frames]
+        for rows in held:
+            for name, created in rows:
+                at = (name if isinstance(name, str) else None, created // 1_000_000)
+                first[at] = min(created, first.get(at, created))
+        now = state.getCurrentWatermarkMs()
+        gone, wait, end = [], [], 0
+        for (name, second), created in first.items():
+            if (second + 1) * 1000 <= now:
+                gone.append((name, created))
+            else:
+                wait.append((name, created))
+                end = min(end, second) if len(wait) > 1 else second
+        if wait:
+            state.update((json.dumps(wait),))
+            state.setTimeoutTimestamp((end + 1) * 1000 - 1)  # fires once the watermark is above it
+        elif state.exists:
             state.remove()
-        else:
-            created = [min(created + [int(f["created"].min()) for f in frames])]
-            end = (int(key[1]) + 1) * 1000
-            if end > state.getCurrentWatermarkMs():
-                state.update((created[0],))
-                state.setTimeoutTimestamp(end - 1)  # fires once the watermark is above it
-                return
-            if state.exists:
-                state.remove()
-        yield pd.DataFrame({"conversation_id": [key[0]], "created": created})
-
-    gone = waiting.groupBy("conversation_id", "second").applyInPandasWithState(
-        expire, T.StructType([waiting.schema["conversation_id"], _CREATED]), T.StructType([_CREATED]),
+        if gone:
+            yield pd.DataFrame({"id": pd.Series([name for name, _ in gone], dtype=object), "created": [created for _, created in gone]})
+
+    gone = waiting.groupBy("group").applyInPandasWithState(
+        expire, T.StructType([T.StructField("id", T.StringType()), T.StructField("created", T.LongType())]), _HELD,
         "append", GroupStateTimeout.EventTimeTimeout)
-    return gone.select("conversation_id", (F.timestamp_micros("created") + F.expr(f"INTERVAL {ttl}")).cast("timestamp_ntz").alias("expired_at"))
+    return gone.select(F.col("id").cast(conversations.schema["conversation_id"].dataType).alias("conversation_id"),
+                       (F.timestamp_micros("created") + F.expr(f"INTERVAL {ttl}")).cast("timestamp_ntz").alias("expired_at"))
 
 
 SENTENCE = T.StructType([
     T.StructField("message_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sentence", T.StringType())])
-_STATE = T.StructType([
-    T.StructField("pending", T.StringType()), T.StructField("hidden", T.BooleanType()), T.StructField("n", T.IntegerType()),
-    T.StructField("expected", T.LongType()), T.StructField("early", T.StringType())])
 
 
 def _assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pending, hidden, n, expected, early = state.get if state.exists else ("", False, 0, 0, "[]")
-    waiting = {seq: (delta, last) for seq, delta, last in json.loads(early)}
+    # Of every open message: pending text, open span, sentences given out, next token, tokens that came early.
+    open_ = {m: (pending, hidden, n, expected, {seq: (delta, last) for seq, delta, last in early})
+             for m, pending, hidden, n, expected, early in (json.loads(state.get[0]) if state.exists else [])}
+    touched = {}
     for rows in frames:
-        for seq, delta, last in zip(rows["seq"].tolist(), rows["delta"].tolist(), rows["done"].tolist()):
-            if seq >= expected:
-                waiting.setdefault(seq, (delta, bool(last)))
-    a, sentences, done = Assembler(pending, hidden), [], False
-    while expected in waiting and not done:
-        delta, done = waiting.pop(expected)
-        expected += 1
-        sentences += a.feed(delta) + (a.flush() if done else [])
-    if done:
+        for m, seq, delta, last in zip(*(rows[c].tolist() for c in ("message_id", "seq", "delta", "done"))):
+            m = m if isinstance(m, str) else None
+            if m not in open_:
+                open_[m] = ("", False, 0, 0, {})
+            touched[m] = True
+            if seq >= open_[m][3]:
+                open_[m][4].setdefault(seq, (delta, bool(last)))
+    ids, places, out = [], [], []
+    for m in touched:
+        pending, hidden, n, expected, waiting = open_[m]
+        a, sentences, done = Assembler(pending, hidden), [], False
+        while expected in waiting and not done:
+            delta, done = waiting.pop(expected)
+            expected += 1
+            sentences += a.feed(delta) + (a.flush() if done else [])
+        ids += [m] * len(sentences)
+        places += range(n, n + len(sentences))
+        out += sentences
+        if done:
+            del open_[m]
+        else:
+            open_[m] = (a.pending, a.hidden, n + len(sentences), expected, waiting)
+    if open_:
+        state.update((json.dumps([(m, *rest, [(seq, *token) for seq, token in sorted(waiting.items())]) for m, (*rest, waiting) in open_.items()]),))
+    elif state.exists:
         state.remove()
-    else:
-        early = json.dumps([(seq, *rest) for seq, rest in sorted(waiting.items())])
-        state.update((a.pending, a.hidden, n + len(sentences), expected, early))
-    yield pd.DataFrame({
-        "message_id": [key[0]] * len(sentences), "n": range(n, n + len(sentences)), "sentence": sentences
-    }).astype({"message_id": "int64", "n": "int32"})
+    if ids:
+        yield pd.DataFrame({"message_id": ids, "n": np.array(places, "int32"), "sentence": out})
 
 
 def stream_sentences(tokens: DataFrame) -> DataFrame:
     """ST7: tokens(message_id, seq, delta, done) to completed sentences.
 
     `seq` counts the tokens of a message from 0.  A token that arrives before its turn, in the same micro-batch or an
-    earlier one, waits in the message's state until those before it have come; one that comes twice counts once.
+    earlier one, waits in the state until those before it have come; one that comes twice counts once.  The open messages
+    of a hash share a group.
     """
-    return tokens.groupBy("message_id").applyInPandasWithState(
-        _assemble, SENTENCE, _STATE, "append", GroupStateTimeout.NoTimeout)
+    named = tokens.select(F.col("message_id").cast("string").alias("message_id"), "seq", "delta", "done", _group("message_id").alias("group"))
+    said = named.groupBy("group").applyInPandasWithState(
+        _assemble, "message_id string, n int, sentence string", _HELD, "append", GroupStateTimeout.NoTimeout)
+    return said.withColumn("message_id", F.col("message_id").cast("long"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

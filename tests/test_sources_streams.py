@@ -119,6 +119,54 @@ def test_expiry_of_late_guests(spark):
     assert sorted((r.conversation_id, r.expired_at) for r in gone) == [(i, rows[i][2] + dt.timedelta(hours=2)) for i in (0, 2, 3, 4, 8)]
 
 
+def test_keys_of_a_stream_share_groups(spark, monkeypatch):
+    """The number of states and Python calls is that of the groups, not of the keys; results are those of every key alone."""
+    monkeypatch.setattr(J, "STATE_GROUPS", 3)
+    t = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 11 == 0 else f"k{i % 40}", t + dt.timedelta(minutes=(i * 7) % 200 + 60 * (i // 100)), i // 100) for i in range(300)]
+    df = spark.createDataFrame(rows, "request_id long, key string, ts timestamp, b int")
+    parts = [f"b = {b}" for b in range(3)]
+    states = []
+
+    def run(stream, name):
+        path = tempfile.mkdtemp()
+        started = J.start_append(stream, f"{path}/data", f"{path}/checkpoint")
+        started.awaitTermination()
+        states.extend(s["numRowsTotal"] for p in started.recentProgress for s in p["stateOperators"])
+        return spark.read.schema(stream.schema).parquet(f"{path}/data").collect()
+
+    last, want = {}, []
+    for b in range(3):
+        for i, k, at, _ in sorted((r for r in rows if r[3] == b), key=lambda r: (r[2], r[0])):
+            if k not in last or at - last[k] > dt.timedelta(minutes=30):
+                last[k] = at
+                want.append(i)
+    assert sorted(r.request_id for r in run(J.stream_repeat_suppress(_stream(spark, df, parts), delay="5 hours"), "r")) == sorted(want)
+    conv = df.select(F.col("request_id").alias("conversation_id"), F.lit(None).cast("int").alias("user_id"), F.col("ts").alias("created_at"), "b")
+    newest = max(r[2] for r in rows)
+    gone = run(J.stream_session_expiry(_stream(spark, conv, parts)), "e")
+    assert sorted(r.conversation_id for r in gone) == sorted(r[0] for r in rows if r[2] + dt.timedelta(hours=2, seconds=1) <= newest)
+    tokens = spark.createDataFrame([(m, n, f"Frase {n} de prueba. ", n == 3, (m + n) % 2) for m in range(50) for n in range(4)],
+                                   "message_id long, seq long, delta string, done boolean, batch int")
+    said = run(J.stream_sentences(_stream(spark, tokens, ["batch = 0", "batch = 1"])), "s")
+    assert sorted(tuple(r) for r in said) == [(m, n, f"Frase {n} de prueba.") for m in range(50) for n in range(4)]
+    assert states and max(states) <= 3
+
+
+def test_parts_of_a_stream_are_written_by_many_tasks(spark):
+    """One micro-batch for every part, whatever the number of its files."""
+    df = spark.range(400).repartition(4)
+    path, seen = tempfile.mkdtemp(), []
+
+    def start(stream):
+        return stream.writeStream.foreachBatch(lambda batch, n: seen.append((n, sorted(r.id for r in batch.collect())))).option(
+            "checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+    J.run_in_parts(df, F.col("id") % 3, 3, f"{path}/rows", start)
+    assert seen == [(k, list(range(k, 400, 3))) for k in range(3)]
+    assert len(spark.read.parquet(f"{path}/rows").inputFiles()) > 3
+
+
 def test_stream_ingest_skips_known_content(spark):
     df = spark.createDataFrame([("a.txt", b"uno", 0), ("b.txt", b"uno", 1), ("c.txt", b"dos", 1)], "file_name string, content binary, b int")
     path = tempfile.mkdtemp() + "/out"
