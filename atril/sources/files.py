@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atril import settings as S
+from atril.functions.splitter import slices
 
 
 def decode_text(content: Column) -> Column:
@@ -36,7 +38,7 @@ def scan_text_files(spark: SparkSession, path: str, pattern: str = "*.{txt,md}")
 
 
 @F.pandas_udf(T.StringType())
-def csv_rows_text(texts: pd.Series) -> pd.Series:
+def csv_rows_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """CSV text to pipe-joined rows; rows without a non-empty cell are dropped.  Text that is no
     readable CSV (an unclosed quote, a NUL) is returned as it is."""
 
@@ -49,7 +51,8 @@ def csv_rows_text(texts: pd.Series) -> pd.Series:
             return text
         return "\n".join(" | ".join(row).strip(" |") for row in rows if any(row))
 
-    return texts.map(one)
+    for texts in slices(batches):
+        yield texts.map(one)
 
 
 def scan_csv_rows(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:

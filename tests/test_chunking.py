@@ -109,3 +109,17 @@ def test_ingest(spark):
     status = {r.file_name: r.ingestion_status for r in docs.collect()}
     assert status == {"a.txt": "completed", "b.txt": "duplicate", "c.csv": "completed", "d.pdf": "failed", "e.docx": "completed", "f.txt": "completed"}
     assert sorted(r.content for r in chunks.collect()) == ["Hola mundo", "año", "texto leído", "x | y\n1 | 2"]
+
+
+def test_results_of_long_texts_are_held_in_slices():
+    """A worker's memory is that of a stretch of the batch, not of all its rows; every row comes back, in order."""
+    import pandas as pd
+
+    from atril.functions import splitter as sp
+
+    texts = pd.Series(["fila | a\n" * (60_000 if i % 3 else 1) if i % 7 else None for i in range(30)])
+    made = list(sp.splitter("rows", 100, 10).func(iter([texts, texts.iloc[:0]])))
+    assert len(made) > 4 and all(len(m) == 1 or sum(len(t) for t in texts[m.index] if t is not None) <= sp.SLICE_CHARS for m in made if len(m))
+    whole = pd.concat(made)
+    assert whole.index.tolist() == list(range(30))
+    assert [None if p is None else [x["content"] for x in p] for p in whole] == [None if t is None else [c for _, c in sp.split_rows(t, 100, 10)] for t in texts]
