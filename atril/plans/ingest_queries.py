@@ -30,7 +30,7 @@ def _(v):
 def as_files(v, text):
     """Folder with one text file for every document, each ending in a line break."""
     path = scratch_path(v.spark, "files")
-    v["documents"].select("doc_id", text.alias("text")).write.partitionBy("doc_id").text(path)
+    files.write_files(v["documents"].select("doc_id", text.alias("text")), path)
     return path
 
 

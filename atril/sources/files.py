@@ -7,6 +7,8 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,40 @@ from atril import settings as S
 from atril.functions.splitter import slices
 
 
+#: Folders that written files are dealt to: enough to be listed by tasks, few enough to be made quickly.
+FOLDERS = 256
+
+
+def write_files(texts: DataFrame, path: str) -> None:
+    """One file `doc_id=<id>.txt` for every doc_id of texts(doc_id, text), each text ending in a line break; rows of one id
+    are lines of one file.
+
+    Tasks write through pyarrow's file systems to the shared folder. A partitioned write would make a folder for each id and
+    have the driver rename all of them one after the other.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"/{path}")
+        at, out, made = None, None, set()
+        for batch in batches:
+            for doc_id, folder, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None or doc_id != at:
+                    if out is not None:
+                        out.close()
+                    if folder not in made:
+                        store.create_dir(f"{root}/{folder}", recursive=True)
+                        made.add(folder)
+                    at, out = doc_id, store.open_output_stream(f"{root}/{folder}/doc_id={doc_id}.txt")
+                out.write((text or "").encode("utf-8", "surrogatepass") + b"\n")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([], pa.int64())})
+
+    folder = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDERS)).alias("folder")
+    dealt = texts.select(F.col("doc_id").cast("long").alias("doc_id"), folder, "text").repartition("folder")
+    dealt.sortWithinPartitions("folder", "doc_id").mapInArrow(write, "doc_id long").write.format("noop").mode("overwrite").save()
+
+
 def decode_text(content: Column) -> Column:
     """UTF-8 when the bytes are valid UTF-8 (a leading BOM is dropped), else Latin-1."""
     utf8 = content.cast("string")

@@ -119,6 +119,17 @@ def test_expiry_of_late_guests(spark):
     assert sorted((r.conversation_id, r.expired_at) for r in gone) == [(i, rows[i][2] + dt.timedelta(hours=2)) for i in (0, 2, 3, 4, 8)]
 
 
+def test_files_are_written_into_few_folders(spark):
+    """A file for every id, not a folder; rows of one id are lines of its file, a null text is an empty line."""
+    rows = [(i, f"línea {i}\nfin") for i in range(600)] + [(7, "otra"), (7, "otra"), (601, None)]
+    path = tempfile.mkdtemp() + "/files"
+    files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path)
+    assert len(list(Path(path).iterdir())) <= files.FOLDERS
+    got = {int(Path(r.path).stem.removeprefix("doc_id=")): r.text for r in files.scan_text_files(spark, path).collect()}
+    assert sorted(got.pop(7).splitlines()) == ["fin", "línea 7", "otra", "otra"]
+    assert got == {i: f"línea {i}\nfin\n" for i in range(600) if i != 7} | {601: "\n"}
+
+
 def test_keys_of_a_stream_share_groups(spark, monkeypatch):
     """The number of states and Python calls is that of the groups, not of the keys; results are those of every key alone."""
     monkeypatch.setattr(J, "STATE_GROUPS", 3)
