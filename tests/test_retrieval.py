@@ -166,6 +166,22 @@ def test_text_match_with_hot_anchors(spark, config):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_copies_are_matched_once(spark):
+    """Copies of a question and of a text are one pair until the end; equal ids, null ids and filters keep their meaning."""
+    asked = [(i, "rojo azul", "x" if i % 2 else None) for i in range(40)] + [(90, "rojo", None), (90, "rojo", None), (91, "verde", None), (91, "nada", None), (None, "rojo", None)]
+    texts = [(i, "rojo y azul" if i % 3 else "azul, rojo; verde", [1.0], "xy"[i % 4 // 2]) for i in range(60)] + [(None, "rojo azul", [1.0], "x")]
+    q = spark.createDataFrame(asked, "query_id int, query_text string, program string")
+    c = spark.createDataFrame(texts, "chunk_id int, content string, embedding array<float>, program string")
+    hits, _, _ = R.distinct_matches(q, c, "simple", 20_000)
+    assert hits.count() <= 20  # 4 questions, 5 texts
+    got = sorted((r.query_id, r.chunk_id, r.rank_score) for r in R.text_match(q, c, "simple").collect())
+    score = {i: 0.05 if i % 3 else 0.1 for i in range(60)}
+    want = [(i, j, score[j]) for i, _, p in asked[:40] for j in range(60) if p is None or j % 4 < 2] + [(91, j, 0.1) for j in range(0, 60, 3)]
+    assert got == sorted(want)
+    top = sorted((r.query_id, r.rn, r.chunk_id) for r in R.keyword_topk(q, c, 3, "simple").collect() if r.query_id in (0, 1, 90))
+    assert top == [(0, 1, 0), (0, 2, 3), (0, 3, 6), (1, 1, 0), (1, 2, 9), (1, 3, 12)]
+
+
 def test_keyword_hits_are_cut_before_exclusion(spark):
     kw = spark.createDataFrame([(1, i, i) for i in range(1, 4)], "query_id int, chunk_id int, rn int")
     vec = spark.createDataFrame([(1, 2, 0.9, 1)], "query_id int, chunk_id int, score double, rn int")
