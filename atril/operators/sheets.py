@@ -1,98 +1,225 @@
-"""Semester grids in one ordered pass per sheet.
+"""Semester grids in one ordered pass over the sheets.
 
-A sheet's cells are brought together once, in row and column order, and a single walk over them gives the
-label ranges, the footer, the columns that hold fractions, the categories and the credits.  A sheet is
-bounded by the upload limit.
+A sheet's cells are brought together once, in row and column order.  Whole sheets are then read some ten thousand
+cells at a time, as arrays: label ranges, footer, columns that hold fractions, categories, lines and credits of all
+sheets of a block come from a few array operations.  A sheet is bounded by the upload limit.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SHEET = ["file", "sheet"]
-_ROMAN = re.compile("[IVXLCDM]+")
+ROMAN = "^[IVXLCDM]+$"
 # Marks that decide what a row says.
 TOTAL, DEGREE, CREDIT, TYPE_MARKS = "TOTAL", "REQUISITOS DE GRADO", "CR", ("T", "TP", "P")
-
-
-class Sheet:
-    """One sheet: its cells (row, col, value, is number, number), sorted by row and column, and its label ranges if known."""
-
-    def __init__(self, cells: list[tuple], ranges: list[tuple] | None):
-        self.cells = cells
-        self.ranges, self.header_row = self._detected() if ranges is None else (ranges, min((r[3] for r in ranges), default=None))
-        self.first_col = min((r[1] for r in self.ranges), default=None)
-
-    def _detected(self) -> tuple[list[tuple], int | None]:
-        """(label, first, last column, header row) of the first row with two Roman numerals; the last range reaches the last column."""
-        for row, cells in groupby(self.cells, key=lambda c: c[0]):
-            found = [(c[1], c[2]) for c in cells if _ROMAN.fullmatch(c[2])]
-            if len(found) >= 2:
-                ends = [col - 1 for col, _ in found[1:]] + [max(c[1] for c in self.cells)]
-                return [(label, col, end, row) for (col, label), end in zip(found, ends, strict=True)], row
-        return [], None
-
-    def footer_row(self) -> float:
-        """First row whose left margin has a total or the graduation requirements."""
-        for row, col, value, _, _ in self.cells:
-            if col < self.first_col:
-                shown = value.upper()
-                if shown.startswith(TOTAL) or DEGREE in shown:
-                    return row
-        return float("inf")
+#: Cells read together; a larger sheet is read alone.
+BLOCK = 50_000
+FAR = np.iinfo(np.int64).max
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def codes_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    coded = column.dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def least(places: np.ndarray, values: np.ndarray, n: int, otherwise: int) -> np.ndarray:
+    out = np.full(n, FAR)
+    np.minimum.at(out, places, values)
+    return np.where(out == FAR, otherwise, out)
+
+
+class Block:
+    """Cells of whole sheets, sorted by sheet, row and column; `codes` are their values in `words`."""
+
+    def __init__(self, block: pa.RecordBatch, given: bool):
+        names = [codes_of(block[k])[0] for k in SHEET]
+        sheet = np.cumsum(changes(*names)) - 1
+        self.codes, self.words = codes_of(block["value"])
+        self.sheet, self.n_sheets = sheet, int(sheet[-1]) + 1
+        self.row, self.col = (block[k].to_numpy(zero_copy_only=True).astype(np.int64) for k in ("row", "col"))
+        self.is_number = block["is_number"].to_numpy(zero_copy_only=False)
+        self.valid = block["number"].is_valid().to_numpy(zero_copy_only=False)
+        self.number = block["number"].fill_null(0.0).to_numpy(zero_copy_only=False)
+        self.is_cell = block["part"].to_numpy(zero_copy_only=False) != 0
+        # Label ranges, sheet by sheet: places of the labels and last columns.
+        self.label, self.end = self._given() if given else self._detected()
+        of = self.sheet[self.label]
+        self.first_col = least(of, self.col[self.label], self.n_sheets, -FAR)
+        self.header_row = least(of, self.row[self.label], self.n_sheets, FAR)
+        self.margin = self.is_cell & (self.col < self.first_col[sheet])
+
+    def _given(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(~self.is_cell)
+        return at, self.number[at].astype(np.int64)
+
+    def _detected(self) -> tuple[np.ndarray, np.ndarray]:
+        """Labels of the first row with two Roman numerals; the last range reaches the sheet's last column."""
+        at = np.flatnonzero(self.flag(pc.match_substring_regex(self.words, ROMAN))[self.codes])
+        if not len(at):
+            return at, at
+        group = np.cumsum(changes(self.sheet[at], self.row[at])) - 1
+        enough = np.flatnonzero(np.bincount(group) >= 2)
+        of_group = self.sheet[at][np.flatnonzero(changes(group))]
+        first = enough[np.unique(of_group[enough], return_index=True)[1]]
+        at = at[np.isin(group, first)]
+        if not len(at):
+            return at, at
+        last_col = np.full(self.n_sheets, -FAR)
+        np.maximum.at(last_col, self.sheet, self.col)
+        end = last_col[self.sheet[at]]
+        same = self.sheet[at][1:] == self.sheet[at][:-1]
+        end[:-1] = np.where(same, self.col[at][1:] - 1, end[:-1])
+        return at, end
+
+    @staticmethod
+    def flag(found: pa.Array) -> np.ndarray:
+        return found.fill_null(False).to_numpy(zero_copy_only=False)
+
+    def is_one_of(self, *values: str) -> np.ndarray:
+        return self.flag(pc.is_in(self.words, value_set=pa.array(values, self.words.type)))[self.codes]
+
+    def footer_row(self) -> np.ndarray:
+        """Per sheet: first row whose left margin has a total or the graduation requirements."""
+        at = np.flatnonzero(self.margin)
+        said, place = np.unique(self.codes[at], return_inverse=True)
+        shown = [w.upper() for w in self.words.take(pa.array(said)).to_pylist()]
+        ends = np.array([w.startswith(TOTAL) or DEGREE in w for w in shown], bool)
+        at = at[ends[place]] if len(at) else at
+        return least(self.sheet[at], self.row[at], self.n_sheets, FAR)
+
+    def categories(self, shown: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Places of the cells behind which a category holds, until the next or the end of the sheet, and the categories."""
+        at = np.flatnonzero(shown & self.margin & ~self.is_number & (self.row >= self.header_row[self.sheet]))
+        last = np.append(changes(self.sheet[at], self.row[at])[1:], True)[: len(at)]
+        made, sheet, margin = [], None, {}
+        for of, col, value, done in zip(
+                self.sheet[at].tolist(), self.col[at].tolist(), self.words.take(pa.array(self.codes[at])).to_pylist(), last.tolist(), strict=True):
+            if of != sheet:
+                sheet, margin = of, {}
+            margin[col] = value
+            if done:
+                made.append(" - ".join(margin[c] for c in sorted(margin)))
+        return at[last], pa.array([*made, ""], pa.string())
 
     def sections(self) -> Iterator[tuple]:
-        """(label, first column, row, line, credit) of the course rows, row by row."""
-        if not self.ranges:
-            return
-        footer = self.footer_row()
-        body = [c for c in self.cells if c[0] < footer]
-        fractions = {col for _, col, _, is_number, number in body if is_number and number is not None and number % 1 != 0}
-        margin: dict[int, str] = {}
-        for row, cells in groupby(body, key=lambda c: c[0]):
-            shown = [c for c in cells if c[2] != ""]
-            if row >= self.header_row:
-                margin.update((col, value) for _, col, value, is_number, _ in shown if col < self.first_col and not is_number)
-            category = " - ".join(margin[col] for col in sorted(margin)) if row >= self.header_row else ""
-            for label, first, last, _ in self.ranges:
-                inside = [(col, value, number) for _, col, value, _, number in shown if first <= col <= last and col not in fractions]
-                if not inside or (len(inside) == 1 and inside[0][1] == label):
-                    continue
-                at = {col: value for col, value, _ in inside}
-                line = " | ".join(at.get(col, "") for col in range(first, last + 1)).strip(" |")
-                yield label, first, row, f"{category} | {line}" if category else line, credit([v for _, v, _ in inside], [n for _, _, n in inside])
-
-
-def credit(values: list[str], numbers: list[float | None]) -> int | None:
-    """The credit a row states: behind its mark, behind a type mark, or last of nothing but numbers."""
-    mark = values.index(CREDIT) if CREDIT in values else len(values)
-    if mark + 1 < len(values):
-        stated = numbers[mark + 1]
-    elif (len(values) > 1 and values[-2] in TYPE_MARKS) or None not in numbers:
-        stated = numbers[-1]
-    else:
-        return None
-    return int(stated) if stated is not None and abs(stated) < 2.0**63 else None
+        """(places of a cell of the row, places of the label, lines, credits) of the course rows, one range of every sheet at a time."""
+        body = self.is_cell & (self.row < self.footer_row()[self.sheet])
+        column = self.sheet * (int(self.col.max()) - int(self.col.min()) + 1) + self.col - self.col.min()
+        with np.errstate(invalid="ignore"):
+            fractions = np.unique(column[body & self.is_number & self.valid & (self.number % 1 != 0)])
+        shown = body & ~self.is_one_of("")
+        height = int(self.row.max()) - int(self.row.min()) + 1
+        place = self.sheet * height + self.row - self.row.min()
+        since, category = self.categories(shown)
+        is_mark, is_type = self.is_one_of(CREDIT), self.is_one_of(*TYPE_MARKS)
+        of = self.sheet[self.label]
+        begins = np.flatnonzero(changes(of))
+        rank = np.arange(len(of)) - np.repeat(begins, np.diff(np.append(begins, len(of))))
+        left = np.flatnonzero(shown & ~np.isin(column, fractions))
+        for k in range(int(rank.max(initial=-1)) + 1):
+            mine = np.flatnonzero(rank == k)
+            label, hi = np.full(self.n_sheets, -1), np.full(self.n_sheets, -FAR)
+            label[of[mine]], hi[of[mine]] = self.label[mine], self.end[mine]
+            left = left[label[self.sheet[left]] >= 0]
+            named = label[self.sheet[left]]
+            at = left[(self.col[left] >= self.col[named]) & (self.col[left] <= hi[self.sheet[left]])]
+            begin = changes(self.sheet[at], self.row[at])
+            group = np.cumsum(begin) - 1
+            size = np.bincount(group)
+            first = at[begin]
+            alone = (size == 1) & (self.codes[first] == self.codes[label[self.sheet[first]]])
+            at, first, size = at[~alone[group]], first[~alone], size[~alone]
+            if not len(at):
+                continue
+            begin = np.cumsum(size) - size
+            lines = self.lines(at, begin)
+            behind = np.searchsorted(place[since], place[first], side="right") - 1
+            known = (behind >= 0) & (self.sheet[since[np.maximum(behind, 0)]] == self.sheet[first]) if len(since) else np.zeros(len(first), bool)
+            above = category.take(pa.array(np.where(known, behind, len(since))))
+            lines = pc.if_else(pa.array(known), pc.binary_join_element_wise(above, lines, " | "), lines)
+            yield first, label[self.sheet[first]], lines, self.credits(at, begin, size, is_mark, is_type)
+
+    def lines(self, at: np.ndarray, begin: np.ndarray) -> pa.Array:
+        """Cells of a row from its first to its last column; of several in one place the last counts."""
+        starts = np.zeros(len(at), bool)
+        starts[begin] = True
+        covered = np.append(~starts[1:] & (self.col[at][1:] == self.col[at][:-1]), False)
+        if covered.any():
+            group = (np.cumsum(starts) - 1)[~covered]
+            at = at[~covered]
+            starts = changes(group)
+        gap = np.where(starts, 0, np.diff(self.col[at], prepend=0))
+        wide, which = np.unique(gap, return_inverse=True)
+        between = pa.array([" | " * int(g) for g in wide], pa.string()).take(pa.array(which))
+        pieces = pc.binary_join_element_wise(between, self.words.take(pa.array(self.codes[at])).cast(pa.string()), "")
+        ends = np.append(np.flatnonzero(starts), len(at)).astype(np.int32)
+        return pc.utf8_trim(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pieces), ""), characters=" |")
+
+    def credits(self, at: np.ndarray, begin: np.ndarray, size: np.ndarray, is_mark: np.ndarray, is_type: np.ndarray) -> pa.Array:
+        """The credit a row states: behind its mark, behind a type mark, or last of nothing but numbers."""
+        end = begin + size
+        mark = np.minimum.reduceat(np.where(is_mark[at], np.arange(len(at)), len(at)), begin)
+        marked = mark + 1 < end
+        typed = (size > 1) & is_type[at[np.maximum(end - 2, 0)]]
+        stated = at[np.where(marked, np.minimum(mark + 1, len(at) - 1), end - 1)]
+        says = marked | typed | np.logical_and.reduceat(self.valid[at], begin)
+        with np.errstate(invalid="ignore"):
+            fits = says & self.valid[stated] & (np.abs(self.number[stated]) < 2.0**63)
+        return pa.array(np.trunc(np.where(fits, self.number[stated], 0.0)).astype(np.int64), mask=~fits)
+
+
+def whole_sheets(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The rows again in batches that end where a sheet ends, of `size` rows or one larger sheet."""
+
+    def name(batch: pa.RecordBatch, i: int) -> tuple:
+        return tuple(batch[k][i].as_py() for k in SHEET)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= size and name(held[0], 0) != name(batch, -1):
+            block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            cut = int(np.flatnonzero(changes(*(codes_of(block[k])[0] for k in SHEET)))[-1])
+            yield block.slice(0, cut)
+            held = [block.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def stated_number(value: Column) -> Column:
+    """`value` as a double, if it is one.  A failed cast costs far more than a look at the first character that could begin a number."""
+    return F.when(value.rlike("^[\\x00-\\x20]*[+-]?[0-9.nNiI]"), value.try_cast("double"))
 
 
 def sections(cells: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """Course rows per semester block: (file, sheet, label, start_col, row, line, credit).
 
     Without `ranges` (file, sheet, label, start_col, end_col, header_row) those of L4 are found in the same walk.
-    The cells go through one exchange, by sheet; a sheet's ranges travel as rows before its cells.
+    The cells go through one exchange, by sheet; a sheet's ranges travel as rows before its cells.  Cells without a row or column are left out.
     """
     spark, kinds = cells.sparkSession, {f.name: f.dataType for f in cells.schema}
-    number = F.col("value").try_cast("double")
-    rows = cells.select(*SHEET, F.lit(1).alias("part"), "row", "col", F.coalesce("value", F.lit("")).alias("value"),
-                        F.coalesce(F.col("kind") == "number", F.lit(False)).alias("is_number"), number.alias("number"))
+    rows = cells.where(F.col("row").isNotNull() & F.col("col").isNotNull()).select(
+        *SHEET, F.lit(1).alias("part"), "row", "col", F.coalesce("value", F.lit("")).alias("value"),
+        F.coalesce(F.col("kind") == "number", F.lit(False)).alias("is_number"), stated_number(F.col("value")).alias("number"))
     if ranges is not None:
         rows = rows.unionByName(ranges.select(
             *SHEET, F.lit(0).alias("part"), F.col("header_row").cast(kinds["row"]).alias("row"), F.col("start_col").cast(kinds["col"]).alias("col"),
@@ -102,34 +229,12 @@ def sections(cells: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     arrow, given = to_arrow_schema(schema), ranges is not None
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in arrow]
-        at, held, labels = None, [], []
-
-        def close() -> None:
-            for found in Sheet(held, labels if given else None).sections():
-                for column, x in zip(out, (*at, *found), strict=True):
-                    column.append(x)
-
-        def taken() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
-            for column in out:
-                column.clear()
-            return made
-
-        for batch in batches:
-            for file, sheet, part, *cell in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (file, sheet) != at:
-                    if held:
-                        close()
-                    at, held, labels = (file, sheet), [], []
-                if part:
-                    held.append(cell)
-                else:
-                    labels.append((cell[2], cell[1], int(cell[4]), cell[0]))
-            yield taken()
-        if held:
-            close()
-            yield taken()
+        for rows in whole_sheets(batches):
+            block = Block(rows, given)
+            for at, label, lines, credit in block.sections():
+                at, label = pa.array(at), pa.array(label)
+                made = [*(rows[k].take(at) for k in SHEET), rows["value"].take(label), rows["col"].take(label), rows["row"].take(at), lines, credit]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow, strict=True)], schema=arrow)
 
     # As many tasks as the session shuffles to: the walk is work for processors, so small inputs are not gathered in few tasks.
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *SHEET)

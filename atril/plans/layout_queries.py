@@ -50,7 +50,7 @@ def grid_cells(v):
         return made if present is None else F.when(present, made)
 
     s = lambda c: c.cast("string")
-    cells = F.array_compact(F.array(
+    cells = F.array(
         cell(1, F.concat(F.lit("AREA "), C("l_returnflag")), text, row % 2 == 0),
         cell(2, F.when(row == 3, "COMPONENTE").otherwise(s(row)), F.when(row == 3, "text").otherwise("number")),
         cell(3, F.concat(F.lit("C"), s(C("l_partkey"))), text, C("l_suppkey") % 3 != 0),
@@ -59,8 +59,8 @@ def grid_cells(v):
         cell(6, s(C("l_suppkey") % 5 + 1), "number"),
         cell(7, F.when(C("l_discount") > 0.05, "CR").otherwise("HP"), text),
         cell(8, s(C("l_partkey") % 4), "number"),
-        cell(9, F.when(row == 4, "0.5").otherwise("7"), "number")))
-    body = g.select(C("l_orderkey").alias("file"), row, F.explode(cells).alias("c")).select("file", "row", "c.*")
+        cell(9, F.when(row == 4, "0.5").otherwise("7"), "number"))
+    body = g.select(C("l_orderkey").alias("file"), row, F.explode(cells).alias("c")).where(C("c").isNotNull()).select("file", "row", "c.*")
 
     def fixed(r, col, value, kind):
         return F.struct(F.lit(r).cast("long").alias("row"), F.lit(col).cast("long").alias("col"),

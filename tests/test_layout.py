@@ -56,6 +56,85 @@ def test_sheets_of_any_shape(spark):
     assert L.grid_sections(early).count() == 0
 
 
+def test_blocks_of_whole_sheets():
+    """Sheets are never cut, whatever the batches; a sheet larger than a block is one."""
+    import pyarrow as pa
+
+    from atril.operators import sheets
+
+    at = [f for f, n in ((None, 3), ("a", 20), ("b", 1), ("c", 2), ("d", 6)) for _ in range(n)]
+    rows = pa.RecordBatch.from_arrays([pa.array(at, pa.string()), pa.array(["s"] * len(at)), pa.array(range(len(at)))], ["file", "sheet", "n"])
+    for width in (1, 3, 7, 100):
+        got = [b.to_pydict() for b in sheets.whole_sheets((rows.slice(i, width) for i in range(0, len(at), width)), 5)]
+        assert [n for b in got for n in b["n"]] == list(range(len(at)))
+        seen = [f for b in got for f in dict.fromkeys(b["file"])]
+        assert seen == [None, "a", "b", "c", "d"]
+
+
+def test_sheets_like_a_walk_over_rows(spark):
+    """Equal to a plain reading of each sheet: odd margins, repeated places, gaps, marks, numbers of any form, ranges that overlap."""
+    import random
+    from itertools import groupby
+
+    rng, values = random.Random(11), ["", "", "I", "II", "IX", "CR", "T", "TP", "P", "a", " b |", "|", "Ñu", "TOTAL x", "Requisitos de Grado", "3", "4.0", "0.5", "nan", "Infinity", "1e30", " 7 ", "2d"]
+    weight = [1 if v[:1] in "TR" and len(v) > 2 else 4 for v in values]
+
+    def number(v):
+        shown = v.strip().removesuffix("d") if v.strip()[:1].isdigit() else v.strip()
+        try:
+            return float(shown) if shown not in ("", "I") else None
+        except ValueError:
+            return None
+
+    def read(cells, ranges):
+        cells = sorted(cells, key=lambda c: c[:2])
+        if ranges is None:
+            ranges = []
+            for row, of in groupby(cells, key=lambda c: c[0]):
+                found = [(c, v) for _, c, v, _ in of if v and set(v) <= set("IVXLCDM")]
+                if len(found) >= 2:
+                    ends = [c - 1 for c, _ in found[1:]] + [max(c[1] for c in cells)]
+                    ranges = [(v, c, e, row) for (c, v), e in zip(found, ends)]
+                    break
+        if not ranges:
+            return
+        first, header = min(r[1] for r in ranges), min(r[3] for r in ranges)
+        footer = min((r for r, c, v, _ in cells if c < first and (v.upper().startswith("TOTAL") or "REQUISITOS DE GRADO" in v.upper())), default=10**9)
+        body = [c for c in cells if c[0] < footer]
+        broken = {c for _, c, v, k in body if k == "number" and number(v) is not None and number(v) % 1 != 0} if body else set()
+        margin = {}
+        for row, of in groupby(body, key=lambda c: c[0]):
+            shown = [c for c in of if c[2] != ""]
+            if row >= header:
+                margin.update((c, v) for _, c, v, k in shown if c < first and k != "number")
+            category = " - ".join(margin[c] for c in sorted(margin)) if row >= header else ""
+            for label, lo, hi, _ in ranges:
+                inside = [(c, v) for _, c, v, _ in shown if lo <= c <= hi and c not in broken]
+                if not inside or [v for _, v in inside] == [label]:
+                    continue
+                line = " | ".join(dict(inside).get(c, "") for c in range(lo, hi + 1)).strip(" |")
+                said, numbers = [v for _, v in inside], [number(v) for _, v in inside]
+                mark, credit = said.index("CR") if "CR" in said else len(said), None
+                if mark + 1 < len(said):
+                    credit = numbers[mark + 1]
+                elif (len(said) > 1 and said[-2] in ("T", "TP", "P")) or None not in numbers:
+                    credit = numbers[-1]
+                yield label, lo, row, f"{category} | {line}" if category else line, int(credit) if credit is not None and abs(credit) < 2.0**63 else None
+
+    made, given = [], []
+    for f in range(60):
+        given += [(f"f{f}", "s", rng.choice(["I", "II"]), lo, lo + rng.randint(-1, 6), rng.randint(1, 3)) for lo in rng.sample(range(2, 8), rng.randint(0, 3))]
+        for row in range(1, rng.randint(2, 12)):
+            made += [(f"f{f}", "s", row, c, rng.choices(values, weight)[0], rng.choice(["text", "number"])) for c in sorted(rng.sample(range(1, 12), rng.randint(1, 8)))]
+    table = spark.createDataFrame(made, CELLS)
+    drawn = spark.createDataFrame(given, "file string, sheet string, label string, start_col int, end_col int, header_row int")
+    for ranges in (None, drawn):
+        want = [(f, *x) for f, of in groupby(made, key=lambda c: c[0]) for x in read(
+            [c[2:] for c in of], None if ranges is None else [(g[2], *g[3:]) for g in sorted(given, key=lambda g: (g[5], g[3])) if g[0] == f])]
+        got = [(r.file, r.label, r.start_col, r.row, r.line, r.credit) for r in L.grid_sections(table, ranges).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 100
+
+
 def test_one_exchange_of_the_cells(spark):
     plan = L.grid_sections(grid(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
