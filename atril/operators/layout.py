@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from atril.functions import text as tx
 from atril.operators import sheets
+from atril.session import materialise
 
 SHEET = ["file", "sheet"]
 ROMAN_LABEL = "^[IVXLCDM]+$"
@@ -123,20 +124,17 @@ def annotate_grid(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Cells of grid sheets with first_col (first semester column), header_row, footer_row
     (first total or graduation row, none = beyond every row) and is_total.
 
-    The one shuffle of the cells, by sheet; the windows and groupings of L5-L7 and W6 all
-    refine that partitioning.
+    The one shuffle of the cells, by sheet, and one window: the first row with a mark, and whether a total is among its marks.
     """
     head = ranges.groupBy(*SHEET).agg(F.min("start_col").alias("first_col"), F.min("header_row").alias("header_row"))
     label = F.when(F.col("col") < F.col("first_col"), F.upper("value"))
-    whole = Window.partitionBy(*SHEET)
-    a = cells.join(head, SHEET).withColumns({
-        "_total": F.coalesce(label.startswith("TOTAL"), F.lit(False)),
-        "_degree": F.coalesce(label.contains("REQUISITOS DE GRADO"), F.lit(False))})
-    a = a.withColumn("footer_row", F.coalesce(
-        F.min(F.when(F.col("_total") | F.col("_degree"), F.col("row"))).over(whole), F.lit(2147483647)))
-    a = a.withColumn("is_total", F.coalesce(
-        F.bool_or(F.col("_total") & (F.col("row") == F.col("footer_row"))).over(whole), F.lit(False)))
-    return a.drop("_total", "_degree")
+    total = F.coalesce(label.startswith("TOTAL"), F.lit(False))
+    degree = F.coalesce(label.contains("REQUISITOS DE GRADO"), F.lit(False))
+    mark = F.when(total | degree, F.struct("row", (~total).alias("other")))
+    a = cells.join(head, SHEET).withColumn("_stop", F.min(mark).over(Window.partitionBy(*SHEET)))
+    return a.withColumns({
+        "footer_row": F.coalesce("_stop.row", F.lit(2147483647)),
+        "is_total": F.coalesce(~F.col("_stop.other"), F.lit(False))}).drop("_stop")
 
 
 def forward_fill_labels(annotated: DataFrame) -> DataFrame:
@@ -144,15 +142,8 @@ def forward_fill_labels(annotated: DataFrame) -> DataFrame:
     order.  Numbers are never labels.  Input: `annotate_grid`."""
     scoped = annotated.where((F.col("row") >= F.col("header_row")) & (F.col("row") < F.col("footer_row")))
     is_label = (F.col("col") < F.col("first_col")) & (F.col("value") != "") & (F.col("kind") != "number")
-    rows = scoped.groupBy(*SHEET, "row").agg(
-        F.map_from_entries(F.collect_list(F.when(is_label, F.struct("col", "value")))).alias("labels"))
-    columns = F.array_distinct(F.flatten(F.collect_list(F.map_keys("labels")).over(Window.partitionBy(*SHEET))))
-    slots = rows.withColumn("_columns", columns).withColumn("col", F.explode("_columns")).select(
-        *SHEET, "row", "col", F.try_element_at("labels", F.col("col")).alias("value"))
-    seen = Window.partitionBy(*SHEET, "col").orderBy("row")
-    filled = slots.withColumn("label", F.last("value", ignorenulls=True).over(seen)).where(F.col("label").isNotNull())
-    return filled.groupBy(*SHEET, "row").agg(F.sort_array(F.collect_list(F.struct("col", "label"))).alias("l")).select(
-        *SHEET, "row", F.array_join(F.transform("l", lambda x: x["label"]), " - ").alias("category"))
+    return sheets.fill_labels(scoped.groupBy(*SHEET).agg(
+        F.collect_list(F.when(is_label, F.struct("row", "col", "value"))).alias("labels"), F.collect_set("row").alias("rows")))
 
 
 def grid_sections(cells: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
@@ -188,9 +179,9 @@ def column_islands(cells: DataFrame) -> DataFrame:
 
 def footer_blocks(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows of the side-by-side tables below the grid, one block per column island;
-    blocks without any letter are dropped."""
-    below = annotate_grid(cells, ranges).where(
-        (F.col("row") >= F.col("footer_row")) & ~((F.col("row") == F.col("footer_row")) & F.col("is_total")))
+    blocks without any letter are dropped.  What stands below is written once: islands, spans and lines all read it."""
+    below = materialise(annotate_grid(cells, ranges).where(
+        (F.col("row") >= F.col("footer_row")) & ~((F.col("row") == F.col("footer_row")) & F.col("is_total"))), "below")
     placed = below.join(column_islands(below.select(*cells.columns)), [*SHEET, "col"])
     spans = placed.groupBy(*SHEET, "island").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
     rows = _row_lines(placed.join(spans, [*SHEET, "island"]), [*SHEET, "island", "row"], F.first("lo"), F.first("hi"))

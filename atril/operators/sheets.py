@@ -45,6 +45,19 @@ def least(places: np.ndarray, values: np.ndarray, n: int, otherwise: int) -> np.
     return np.where(out == FAR, otherwise, out)
 
 
+def filled(sheet: np.ndarray, row: np.ndarray, col: np.ndarray, values: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Labels sorted by sheet, row and column: which are the last of their row, and the category that holds from there on."""
+    last = np.append(changes(sheet, row)[1:], True)[: len(sheet)]
+    made, at, margin = [], None, {}
+    for of, place, value, done in zip(sheet.tolist(), col.tolist(), values, last.tolist(), strict=True):
+        if of != at:
+            at, margin = of, {}
+        margin[place] = value
+        if done:
+            made.append(" - ".join(margin[c] for c in sorted(margin)))
+    return last, made
+
+
 class Block:
     """Cells of whole sheets, sorted by sheet, row and column; `codes` are their values in `words`."""
 
@@ -107,15 +120,8 @@ class Block:
     def categories(self, shown: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """Places of the cells behind which a category holds, until the next or the end of the sheet, and the categories."""
         at = np.flatnonzero(shown & self.margin & ~self.is_number & (self.row >= self.header_row[self.sheet]))
-        last = np.append(changes(self.sheet[at], self.row[at])[1:], True)[: len(at)]
-        made, sheet, margin = [], None, {}
-        for of, col, value, done in zip(
-                self.sheet[at].tolist(), self.col[at].tolist(), self.words.take(pa.array(self.codes[at])).to_pylist(), last.tolist(), strict=True):
-            if of != sheet:
-                sheet, margin = of, {}
-            margin[col] = value
-            if done:
-                made.append(" - ".join(margin[c] for c in sorted(margin)))
+        values = self.words.take(pa.array(self.codes[at])).to_pylist()
+        last, made = filled(self.sheet[at], self.row[at], self.col[at], values)
         return at[last], pa.array([*made, ""], pa.string())
 
     def sections(self) -> Iterator[tuple]:
@@ -205,6 +211,36 @@ def whole_sheets(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterat
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def fill_labels(per_sheet: DataFrame) -> DataFrame:
+    """(file, sheet, row, category) from one row per sheet with its `rows` and `labels` (row, col, value); rows above the first label are left out."""
+    kinds = {f.name: f.dataType for f in per_sheet.schema}
+    schema = T.StructType([*(T.StructField(k, kinds[k]) for k in SHEET), T.StructField("row", kinds["rows"].elementType), T.StructField("category", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, labels = batch["rows"].flatten(), batch["labels"].flatten()
+            if not len(labels):
+                continue
+            every = np.arange(batch.num_rows)
+            of = np.repeat(every, pc.list_value_length(batch["rows"]).to_numpy(zero_copy_only=False))
+            sheet = np.repeat(every, pc.list_value_length(batch["labels"]).to_numpy(zero_copy_only=False))
+            place = rows.to_numpy(zero_copy_only=False).astype(np.int64)
+            row, col = (labels.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("row", "col"))
+            order = np.lexsort((col, row, sheet))
+            sheet, row = sheet[order], row[order]
+            last, made = filled(sheet, row, col[order], labels.field("value").take(pa.array(order)).to_pylist())
+            since, least_row = sheet[last], int(place.min())
+            height = int(place.max()) - least_row + 1
+            behind = np.searchsorted(since * height + row[last] - least_row, of * height + place - least_row, side="right") - 1
+            known = (behind >= 0) & (since[np.maximum(behind, 0)] == of)
+            at = pa.array(of[known])
+            columns = [*(batch[k].take(at) for k in SHEET), pa.array(place[known]), pa.array(made, pa.string()).take(pa.array(behind[known]))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return per_sheet.where(F.size("labels") > 0).mapInArrow(fill, schema)
+
+
 def stated_number(value: Column) -> Column:
     """`value` as a double, if it is one.  A failed cast costs far more than a look at the first character that could begin a number."""
     return F.when(value.rlike("^[\\x00-\\x20]*[+-]?[0-9.nNiI]"), value.try_cast("double"))

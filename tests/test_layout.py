@@ -135,6 +135,19 @@ def test_sheets_like_a_walk_over_rows(spark):
         assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 100
 
 
+def test_labels_are_filled_down(spark):
+    """By column, numbers and empty values never, until the footer; the cells are brought together once."""
+    c = cells(spark, [(1, 3, "I"), (1, 4, "II"), (2, 3, "x"), (3, 1, "A"), (3, 4, "y"), (4, 2, "b"), (5, 1, ""), (5, 2, 7), (6, 1, "C"), (6, 2, "d"), (7, 3, "z"), (8, 1, "Requisitos de grado"), (8, 2, "TOTAL"), (9, 1, "later")])
+    both = c.unionByName(c.where("row < 8").selectExpr("'g' AS file", "sheet", "row", "col", "value", "kind"))
+    annotated = L.annotate_grid(both, L.detect_semester_grid(both))
+    assert {(r.file, r.footer_row, r.is_total) for r in annotated.collect()} == {("f", 8, True), ("g", 2147483647, False)}
+    got = sorted((r.file, r.row, r.category) for r in L.forward_fill_labels(annotated).collect())
+    assert got == [(f, r, x) for f in "fg" for r, x in ((3, "A"), (4, "A - b"), (5, "A - b"), (6, "C - d"), (7, "C - d"))]
+    ranged = L.detect_semester_grid(both)._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    plan = L.forward_fill_labels(annotated)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= ranged + 1
+
+
 def test_one_exchange_of_the_cells(spark):
     plan = L.grid_sections(grid(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
