@@ -248,3 +248,23 @@ def test_near_dup_classes(spark):
     got = [tuple(r) for r in near_dup.near_dup_classes(df, "doc_id", "text").collect()]
     assert set(got) == want and len(got) == len(want)
     assert near_dup.near_dup_classes(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_near_dup_frequent_words(spark, monkeypatch):
+    """Sets with a frequent word meet on it and the next shared one: links as by brute force, no large meeting."""
+    from pyspark.sql import functions as F
+
+    from atril.operators import near_dup
+
+    monkeypatch.setattr(near_dup, "MEETING", 12)
+    test_near_dup_classes(spark)
+    rng = np.random.default_rng(7)
+    drawn = {tuple(sorted(rng.choice(40, int(n), replace=False).tolist())) for n in rng.integers(1, 7, 400)}
+    sets = spark.createDataFrame([(i, 1, " ".join(f"w{w}" for w in s)) for i, s in enumerate(sorted(drawn))], "id long, copies long, head string")
+    words = [set(s) for s in sorted(drawn)]
+    for limit in (.3, .7):
+        want = {(i, j) for j, b in enumerate(words) for i, a in enumerate(words[:j]) if len(a & b) / len(a | b) > limit}
+        got = [(r.a, r.b) for r in near_dup.near_dup_links(sets, limit).collect()]
+        assert set(got) == want and len(got) == len(want)
+    met = near_dup.meeting_rows(near_dup.ordered_sets(sets), .7)
+    assert max(met.groupBy("word").count().toPandas()["count"]) > 12 >= max(met.groupBy("word", "second").agg(F.count("*").alias("n")).toPandas()["n"])
