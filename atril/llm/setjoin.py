@@ -5,7 +5,8 @@ is compared with the pivot of its groups, which already connects the large class
 and groups finds what is left: a set may only be linked to a member of a group if enough of its tokens occur in the
 union of the group's.  By the order of tokens (rare ones first) it is enough to meet on one of the first tokens of
 both; groups met are opened if the overlap with their whole union reaches the bound and if they
-hold a set that isn't yet connected to the one asked for.
+hold a set that isn't yet connected to the one asked for.  Before any text is fetched, bitmaps of the sets, some bits a
+token, leave out pairs that can't be linked.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ GROUP = 64
 KEYS = 4
 #: One document in so many shows which tokens are frequent; that decides their order, never a result.
 ORDER_SHARE = 16
-#: Frequent tokens sent to the tasks at most (8 bytes each); further ones keep their place by hash.
+#: Frequent tokens at most; further ones keep their place by hash.
 FREQUENT = 500_000
+#: The bitmap by which tasks know them (2 MB).
+FREQUENT_BITS = 24
 #: Sets that ask the same group, compared together.
 ASKING = 256
 
@@ -94,21 +97,51 @@ def linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return 100 * common >= least * (len(a) + len(b) - common)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bitmap of two to four bits a token, its length a power of two; the low bits of a token set its bit."""
+    size = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[tokens & (size - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size))
+
+
+def may_link(a: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray, least: int) -> np.ndarray:
+    """Whether a set of `n` tokens with the bitmap `a` (64-bit words) may be `linked` with each of the others.
+
+    A bit one bitmap has and the other lacks is a token the other set lacks; the longer bitmap is folded first.
+    """
+    able = 100 * np.minimum(n, sizes) >= least * np.maximum(n, sizes)
+    for i in np.flatnonzero(able):
+        size = min(len(a), len(others[i]))
+        x, y = _folded(a, size), _folded(others[i], size)
+        both = int(np.bitwise_count(x & y).sum())
+        most = min(n - int(np.bitwise_count(x).sum()), int(sizes[i]) - int(np.bitwise_count(y).sum())) + both
+        able[i] = 100 * most >= least * (n + int(sizes[i]) - most)
+    return able
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    salts = [np.uint64(0xA24BAED4963EE407 * (k + 1) % (1 << 64)) for k in range(KEYS)]
+    # Tokens are evenly spread already, so a product with an odd number orders them anew.
+    salts = np.array([0xA24BAED4963EE407 * (2 * k + 1) % (1 << 64) for k in range(KEYS)], np.uint64)[:, None]
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("n", "sid", *(f"k{i}" for i in range(KEYS)))}
+        out: dict[str, list] = {k: [] for k in ("n", "sid", "bits", *(f"k{i}" for i in range(KEYS)))}
         for text in batch["text"]:
             tokens = shingles(text)
             out["n"].append(len(tokens))
             out["sid"].append(set_id(tokens) if len(tokens) else None)
-            for i, salt in enumerate(salts):
-                out[f"k{i}"].append(int(mix(tokens.view(np.uint64) ^ salt).min().view(np.int64)) if len(tokens) else None)
+            out["bits"].append(sketch(tokens) if len(tokens) else None)
+            least = (tokens.view(np.uint64) * salts).min(axis=1).view(np.int64).tolist() if len(tokens) else [None] * KEYS
+            for i, key in enumerate(least):
+                out[f"k{i}"].append(key)
         return {"doc_id": batch["doc_id"], "row": batch["row"], **out}
 
     keys = ", ".join(f"k{i} long" for i in range(KEYS))
-    return materialise(arrow_map(_named_rows(docs), rows, f"doc_id long, row long, n long, sid long, {keys}"), "signatures")
+    return materialise(arrow_map(_named_rows(docs), rows, f"doc_id long, row long, n long, sid long, bits binary, {keys}"), "signatures")
 
 
 def _named_rows(docs: DataFrame) -> DataFrame:
@@ -135,11 +168,25 @@ def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(one, "row").dropDuplicates(["row"]).select("sid", "packed")
 
 
+def _able_pairs(sets: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """The rows (`sid`, `pivot`) of `pairs` whose bitmaps leave a link possible."""
+    own = sets.select("sid", "n", "bits")
+    both = pairs.join(own, "sid").join(own.select(F.col("sid").alias("pivot"), F.col("n").alias("m"), F.col("bits").alias("other")), "pivot")
+
+    def rows(batch: dict[str, list]) -> dict[str, list]:
+        keep = [i for i, (x, n, y, m) in enumerate(zip(batch["bits"], batch["n"], batch["other"], batch["m"], strict=True))
+                if may_link(np.frombuffer(x, np.uint64), n, [np.frombuffer(y, np.uint64)], np.array([m]), least)[0]]
+        return {"sid": [batch["sid"][i] for i in keep], "pivot": [batch["pivot"][i] for i in keep]}
+
+    return arrow_map(both, rows, "sid long, pivot long")
+
+
 def _with_pivots(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Links (a, b) between each set and the pivots of its groups, the smallest set id of each."""
     long = sets.select("sid", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("key")) for i in range(KEYS)))).alias("k")).select("sid", "k.i", "k.key")
     pivots = long.groupBy("i", "key").agg(F.min("sid").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    pairs = materialise(long.join(pivots, ["i", "key"]).where("sid <> pivot").select("sid", "pivot").distinct(), "pairs")
+    pairs = long.join(pivots, ["i", "key"]).where("sid <> pivot").select("sid", "pivot").distinct()
+    pairs = materialise(_able_pairs(sets, pairs, least), "pairs")
     texts = materialise(_texts(docs, sets, pairs.select("sid").unionByName(pairs.select(F.col("pivot").alias("sid"))).distinct()), "texts")
     both = pairs.join(texts, "sid").join(texts.select(F.col("sid").alias("pivot"), F.col("packed").alias("other")), "pivot")
 
@@ -157,14 +204,16 @@ def _with_pivots(docs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """The tokens most frequent among one document in `ORDER_SHARE`."""
+    """A bitmap of the tokens most frequent among one document in `ORDER_SHARE`; few others share their bits."""
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         return {"token": np.concatenate([shingles(t) for t in batch["text"]] or [np.empty(0, np.int64)]).tolist()}
 
     part = corpus_text(docs).select("text").distinct().where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0)
     counted = arrow_map(part, rows, "token long").groupBy("token").count().where("count >= 4")
-    return np.sort(np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(FREQUENT).toLocalIterator()], np.int64))
+    bits = np.zeros(1 << FREQUENT_BITS, bool)
+    bits[np.array([r.token for r in counted.orderBy(F.desc("count"), "token").limit(FREQUENT).toLocalIterator()], np.int64) & (len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little")
 
 
 def _first_tokens(docs: DataFrame, frequent, least: int, chosen: Sieve, sieve: Sieve | None) -> DataFrame:
@@ -186,8 +235,8 @@ def _first_tokens(docs: DataFrame, frequent, least: int, chosen: Sieve, sieve: S
                         continue
                     done.add(sid)
                     common = frequent.value
-                    place = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
-                    often = common[place] == found if len(common) else np.zeros(n, bool)
+                    at_bit = found & ((1 << FREQUENT_BITS) - 1)
+                    often = (common[at_bit >> 3] >> (at_bit & 7)) & 1 == 1
                     ask = n - -(-least * n // 100) + 1
                     own = n - -(-2 * least * n // other) + 1
                     first = np.concatenate([found[~often], found[often]])[:ask]
@@ -234,11 +283,34 @@ def _by_matrix(docs: DataFrame, sets: DataFrame, known: DataFrame, least: int) -
     )
     asked = materialise(met.select("sid", "g", "part").distinct(), "asked")
     members = asked.select("g", "part").distinct().join(classes.select("sid", "g", "part"), ["g", "part"])
-    texts = materialise(_texts(docs, sets, asked.select("sid").unionByName(members.select("sid")).distinct()), "texts")
     blocks = asked.groupBy("g", "part").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("blocks"))
     asking = asked.join(blocks, ["g", "part"]).select("g", "part", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).alias("block"), "sid", F.lit(False).alias("member"))
     inside = members.join(blocks, ["g", "part"]).select("g", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "sid", F.lit(True).alias("member"))
-    both = asking.unionByName(inside).join(texts, "sid").join(classes.select("sid", "component"), "sid")
+    place = asking.unionByName(inside).join(classes.select("sid", "component"), "sid")
+
+    def look_in(rows: pa.Table) -> pa.Table:
+        """Members and asking sets that may be linked with one another and aren't yet connected."""
+        found = rows.select(["sid", "member", "component", "n", "bits"]).to_pylist()
+        own = [r for r in found if r["member"]]
+        bits, sizes = [np.frombuffer(r["bits"], np.uint64) for r in own], np.array([r["n"] for r in own], np.int64)
+        classes_of, needed, kept = np.array([r["component"] for r in own], np.int64), np.zeros(len(own), bool), []
+        for r in found if own else ():
+            if r["member"]:
+                continue
+            apart = np.flatnonzero(classes_of != r["component"])
+            able = apart[may_link(np.frombuffer(r["bits"], np.uint64), r["n"], [bits[i] for i in apart], sizes[apart], least)]
+            if len(able):
+                needed[able] = True
+                kept.append(r)
+        kept += [own[i] for i in np.flatnonzero(needed)]
+        head = {c: pa.array([rows[c][0].as_py()] * len(kept), pa.int64()) for c in ("g", "part", "block")} if rows.num_rows else {}
+        return pa.table({**head, "sid": pa.array([r["sid"] for r in kept], pa.int64()), "member": pa.array([r["member"] for r in kept], pa.bool_()),
+                         "component": pa.array([r["component"] for r in kept], pa.int64())})
+
+    drawn = place.join(sets.select("sid", "n", "bits"), "sid")
+    place = materialise(drawn.groupBy("g", "part", "block").applyInArrow(look_in, "g long, part long, block long, sid long, member boolean, component long"), "able")
+    texts = materialise(_texts(docs, sets, place.select("sid").distinct()), "texts")
+    both = place.join(texts, "sid")
 
     def open_group(rows: pa.Table) -> pa.Table:
         found = rows.select(["sid", "member", "component", "packed"]).to_pylist()
@@ -274,7 +346,7 @@ def _classes(docs: DataFrame, least: int) -> DataFrame:
     """One row per document: doc_id, row, n, sid, class (a set of it; null without words), component_id."""
     signed = _signatures(docs)
     sets = materialise(signed.where("sid IS NOT NULL").groupBy("sid").agg(
-        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(KEYS))
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(KEYS))
     ), "sets")
     near = _with_pivots(docs, sets, least)
     known = components(near)
