@@ -10,7 +10,10 @@ States and transitions are built when first met and dropped together when there
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import chain
 
@@ -31,10 +34,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ranks of `piece` by merging the lowest pair first; used on pairs of tokens only."""
+def merge(piece: bytes, ranks: dict[bytes, int], few: int = 1) -> list[int]:
+    """Ranks of `piece` by merging the lowest pair first, until `few` parts are left; used on tokens only."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
+    while len(parts) > few:
         found = [(ranks.get(parts[i] + parts[i + 1]), i) for i in range(len(parts) - 1)]
         found = [x for x in found if x[0] is not None]
         if not found:
@@ -68,10 +71,15 @@ class Transducer:
                     self.ends.append(None)
                 at = self.tree[at][byte]
             self.ends[at] = rank
-        self.pairs: dict[tuple[int | None, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.judged = bytearray(len(self.tree))  # places whose token is known to encode itself, or was taken out
+        self.states: dict[tuple, _State] = {}
+        self.halves: dict[int, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
+        for state in self.states.values():
+            state.step.clear()  # they name each other in rings
         self.states: dict[tuple, _State] = {}
         self.start = self._state(((0, None, ()),))
 
@@ -80,36 +88,69 @@ class Transducer:
             self.states[key] = _State(key)
         return self.states[key]
 
-    def follows(self, left: int | None, right: int) -> bool:
-        """Whether the encoding of both tokens' bytes is these two tokens (alone: that token)."""
-        known = self.pairs.get((left, right))
+    def follows(self, left: int, right: int) -> bool:
+        """Whether the encoding of both tokens' bytes is these two tokens, each of which encodes itself."""
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            before = b"" if left is None else self.token[left]
-            want = [right] if left is None else [left, right]
-            known = merge(before + self.token[right], self.ranks) == want
-            self.pairs[left, right] = known
+            known = self.pairs[pair] = self._apart(left, right)
         return known
 
+    def _end(self, place: int) -> int | None:
+        """The token that ends at a place of the tree, if it encodes itself."""
+        if not self.judged[place]:
+            self.judged[place] = 1
+            if (end := self.ends[place]) is not None and merge(self.token[end], self.ranks) != [end]:
+                self.ends[place] = None
+        return self.ends[place]
+
+    def _halves(self, token: int) -> list[int]:
+        """The two tokens that merge into `token` last; of a single byte itself alone."""
+        if token not in self.halves:
+            self.halves[token] = merge(self.token[token], self.ranks, 2)
+        return self.halves[token]
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether two tokens that encode themselves stay apart: no pair across the border merges earlier than
+        its tokens go up in larger ones.  The later one of both is taken back by a merge at a time."""
+        a, b, until = left, right, None
+        while True:
+            met = self.ranks.get(self.token[a] + self.token[b])
+            if met is not None and (until is None or met < until):
+                return False
+            for side in ((0, 1) if a > b else (1, 0)):
+                halves = self._halves(b if side else a)
+                if len(halves) == 2:
+                    if side:
+                        b, until = halves[0], b + 1
+                    else:
+                        a, until = halves[1], a
+                    break
+            else:
+                return True
+
     def _advance(self, state: _State, byte: int) -> tuple[tuple[int, ...], _State]:
-        ahead, last = [], None
+        ahead, last, tree = [], None, self.tree
         for place, token, waiting in state.open:
-            place = self.tree[place].get(byte)
+            place = tree[place].get(byte)
             if place is None:
                 continue
-            end = self.ends[place]
-            if end is not None and last is None and self.follows(None, end) and (token is None or self.follows(token, end)):
+            if last is None and (end := self._end(place)) is not None and (token is None or self.follows(token, end)):
                 last = (0, end, (*waiting, end))
-            if self.tree[place]:
+            if tree[place]:
                 ahead.append((place, token, waiting))
         if last is None:
             raise ValueError("the vocabulary lacks a byte")
         ahead.append(last)
-        shared = 0
-        shortest = min(len(w) for _, _, w in ahead)
-        while shared < shortest and len({w[shared] for _, _, w in ahead}) == 1:
+        # What the smallest and the largest begin with, all begin with.
+        waits = [w for _, _, w in ahead]
+        low, high, shared = min(waits), max(waits), 0
+        while shared < len(low) and low[shared] == high[shared]:
             shared += 1
+        if not shared:
+            return (), self._state(tuple(ahead))
         return last[2][:shared], self._state(tuple((p, t, w[shared:]) for p, t, w in ahead))
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -157,6 +198,30 @@ class Utf8Stream:
         return data[: len(data) - keep].decode("utf-8", "replace")
 
 
+class _Met(dict):
+    """What `make` gave for a key.  When there are many keys they become the earlier ones, and those of them not asked
+    for again are dropped the next time."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.earlier = make, most, {}
+
+    def __missing__(self, key):
+        value = self.earlier.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def age(self) -> bool:
+        """Whether keys were dropped."""
+        if len(self) <= self.most // 2:
+            return False
+        self.earlier = dict(self)
+        self.clear()
+        return True
+
+
 class Codec:
     """Encoder and decoder of one rank file; chunks met before are looked up."""
 
@@ -168,13 +233,26 @@ class Codec:
         space = r"\p{White_Space}"
         fixed = pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", space)
         self.pattern = regex.compile(fixed)
-        self.met: dict[str, str] = {}  # chunk behind a space: its ids in decimal
+        self.met = _Met(self._behind_space, MAX_CHUNKS)  # chunk behind a space: its ids in decimal
         self.changed: dict[str, bytes] = {}  # chunks of `met` whose ids stand for other bytes
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         encode = self.machine.encode
         return tuple(chain.from_iterable(encode(m.encode()) for m in self.pattern.findall(chunk)))
 
+    def _behind_space(self, chunk: str) -> str:
+        ids, plain = self._chunk(" " + chunk), b" " + chunk.encode()
+        back = b"".join(map(self.bytes_of.__getitem__, ids))
+        if back != plain:
+            self.changed[chunk] = back
+        return ",".join(map(self.digits_of.__getitem__, ids))
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        """`text` cut at the gaps; where every space is one, a plain split does."""
+        plain = text.split(" ")
+        return plain if all(plain) and list(map(str.strip, plain)) == plain else _GAP.split(text)
+
     def encode(self, text: str) -> list[int]:
         return list(map(int, filter(None, self.decimal(text)[0].split(","))))
 
@@ -182,21 +260,14 @@ class Codec:
         """(ids in decimal with commas between them, bytes the ids stand for), chunk by chunk."""
         if not text:
             return "", b""
-        first, *others = _GAP.split(text)
-        if len(self.met) > MAX_CHUNKS:
-            self.met.clear()
-            self.changed.clear()
-        met, new = self.met, set(others)
-        for chunk in new.difference(met):
-            ids, plain = self._chunk(" " + chunk), b" " + chunk.encode()
-            met[chunk] = ",".join(map(self.digits_of.__getitem__, ids))
-            back = b"".join(map(self.bytes_of.__getitem__, ids))
-            if back != plain:
-                self.changed[chunk] = back
+        if self.met.age():
+            self.changed = {c: back for c, back in self.changed.items() if c in self.met.earlier}
+        first, *others = self._chunks(text)
+        parts = list(map(self.met.__getitem__, others))
         ids = self._chunk(first)
-        parts = [",".join(map(self.digits_of.__getitem__, ids)), *map(met.__getitem__, others)]
+        parts.insert(0, ",".join(map(self.digits_of.__getitem__, ids)))
         head = b"".join(map(self.bytes_of.__getitem__, ids))
-        if self.changed and not new.isdisjoint(self.changed):
+        if self.changed and not self.changed.keys().isdisjoint(others):
             behind = b"".join(self.changed.get(c) or b" " + c.encode() for c in others)
         else:
             behind = " ".join(["", *others]).encode()
@@ -216,6 +287,18 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@contextmanager
+def _collector_off() -> Iterator[None]:
+    """Nothing made here needs the collector of rings, which would walk all states again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str, texts: bool = False) -> DataFrame:
     """Encode every text, decode the ids again, and give both as digests (`texts`: also `ids` and `decoded`).
 
@@ -225,6 +308,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, texts: bool = False)
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         tool = codec(path, pattern)
+        with _collector_off():
+            return given_out(tool, batch)
+
+    def given_out(tool: Codec, batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
         for text in batch["text"]:
             ids, data = tool.decimal(text)

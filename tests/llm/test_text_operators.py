@@ -113,6 +113,27 @@ def test_patterns_cover_the_demand():
     assert least <= sum(times for _, times in found) <= len(packing.first_fit(demand, 256))
 
 
+def test_byte_bpe_keeps_what_is_asked_for_again(monkeypatch):
+    """When there are too many chunks those asked for again stay; results don't depend on the limits."""
+    import tiktoken
+
+    monkeypatch.setattr(byte_bpe, "MAX_CHUNKS", 40)
+    monkeypatch.setattr(byte_bpe, "MAX_STATES", 60)
+    ranks = byte_bpe.read_ranks(path := public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    tool, own = byte_bpe.Codec(path, public_tokenizers.PATTERN), tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    made, make = [], tool.met.make
+    tool.met.make = lambda chunk: made.append(chunk) or make(chunk)
+    for i in range(60):
+        text = f"a zzyzx {prose(9)} {i}qx  two\n {prose(3)}"
+        assert tool.decimal(text) == (",".join(map(str, own.encode_ordinary(text))), text.encode())
+        assert len(tool.met) + len(tool.met.earlier) < 80
+    assert made.count("zzyzx") == 1
+    for left, right in ((a, b) for a in RNG.sample(sorted(ranks.values()), 60) for b in RNG.sample(sorted(ranks.values()), 60)):
+        parts = [tool.machine.token[left], tool.machine.token[right]]
+        if all(byte_bpe.merge(p, ranks) == [ranks[p]] for p in parts):
+            assert tool.machine.follows(left, right) == (byte_bpe.merge(b"".join(parts), ranks) == [left, right])
+
+
 def brute_classes(texts):
     sets = []
     for _, t in texts:
@@ -144,6 +165,35 @@ def test_jaccard_matrix_finds_what_pivots_miss(spark, texts, docs, monkeypatch):
     test_jaccard_classes(docs, texts)
 
 
+def test_jaccard_bitmaps():
+    """No pair that is linked is left out by the bitmaps, most of the others are."""
+    rng, kept, far = np.random.default_rng(3), 0, 0
+    for n in (1, 2, 3, 31, 32, 33, 400, 900):
+        for share in (0, .1, .3, .7, .8, .86, .9, 1):
+            for more in (0, .1, .3):
+                a = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+                b = np.unique(np.concatenate([a[: round(share * n)], rng.integers(-(1 << 63), 1 << 63, round((1 - share + more) * n))]))
+                if not len(b):
+                    continue
+                x, y = (np.frombuffer(setjoin.sketch(t), np.uint64) for t in (a, b))
+                able = setjoin.may_link(x, len(a), [y], np.array([len(b)]), 75)[0]
+                assert able or not setjoin.linked(a, b, 75)
+                assert able == setjoin.may_link(y, len(b), [x], np.array([len(a)]), 75)[0]
+                if n > 30 and share <= .3:
+                    kept, far = kept + able, far + 1
+    assert far and not kept
+
+
+def test_jaccard_texts_fetched(spark, monkeypatch):
+    """Sets that share a few rare tokens only fetch no texts."""
+    fetched, fetch = [], setjoin._texts
+    monkeypatch.setattr(setjoin, "_texts", lambda docs, sets, wanted: fetched.append(wanted.count()) or fetch(docs, sets, wanted))
+    passage = prose(40)
+    docs = spark.createDataFrame([(i, prose(60) + " " + passage) for i in range(30)], "doc_id long, text string")
+    assert all(r.doc_id == r.component_id for r in setjoin.jaccard_classes(docs).collect())
+    assert fetched == [0, 0]
+
+
 def brute_repeats(texts, length=suffixes.LENGTH):
     data = [(t or "").encode() for _, t in texts]
     seen = {}
