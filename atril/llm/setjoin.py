@@ -126,7 +126,7 @@ def may_link(a: np.ndarray, n: int, others: list[np.ndarray], sizes: np.ndarray,
 
 def _signatures(docs: DataFrame) -> DataFrame:
     # Tokens are evenly spread already, so a product with an odd number orders them anew.
-    salts = np.array([0xA24BAED4963EE407 * (2 * k + 1) % (1 << 64) for k in range(KEYS)], np.uint64)[:, None]
+    salts = (mix(np.arange(1, KEYS + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("n", "sid", "bits", *(f"k{i}" for i in range(KEYS)))}
