@@ -11,7 +11,10 @@ from pyspark.sql.types import StructType
 
 from atril.session import materialise, ship_package
 
-__all__ = ["Sieve", "arrow_map", "arrow_tally", "components", "corpus_text", "extended", "held_out", "materialise", "put_back", "set_aside", "table", "words"]
+__all__ = ["Sieve", "arrow_map", "arrow_tally", "components", "corpus_text", "extended", "held_out", "hold_batches", "materialise", "put_back", "set_aside", "table", "words"]
+
+#: Bytes of an Arrow batch on its way to Python.  A task holds it outside the heap of its executor and once more in its worker.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hold_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by `BATCH_BYTES`; a bound that the session has set stays.
+
+    Spark cuts batches by rows (10 000) and only then by bytes; that many whole texts of two tasks, kept by two allocators, are a
+    good part of a small executor.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, BATCH_BYTES)
+
+
 def corpus_text(docs: DataFrame, *keep: str) -> DataFrame:
     """`doc_id`, the columns of `keep` and the text, with null texts as empty ones."""
     return docs.select("doc_id", *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

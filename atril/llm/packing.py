@@ -14,13 +14,15 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atril.llm.common import arrow_map, corpus_text, materialise
 
-MAX_WORDS = 1_000_000
+#: Words a worker keeps with their ids: some 500 bytes each, so about 50 MB.
+MAX_WORDS = 100_000
 #: A full stop or comma after a letter is a token of its own in this tokenizer, so it needs no entry with each word.
 _POINT = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
 SEPARATOR = "~"
@@ -193,7 +195,11 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = 2048, width:
             places.append((size, offered[size], offered[size] + n * times, n, first))
             offered[size] += n * times
         first += times
-    slots = spark.createDataFrame(places, "bin int, low long, high long, each int, first long")
+    # By Arrow: a list of tuples would go through Python workers of their own, which stay beside the others.
+    slots = spark.createDataFrame(pa.table({
+        k: pa.array([p[i] for p in places], kind)
+        for i, (k, kind) in enumerate((("bin", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("each", pa.int32()), ("first", pa.int64())))
+    }))
     # Ranks inside a bin: a bin may hold most items, so it is ranked in hashed parts that are put in a row.
     parts = max(1024, n_items // 20_000)
     items = items.withColumn("part", F.pmod(F.xxhash64("piece"), F.lit(parts)))

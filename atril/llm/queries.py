@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atril.llm import byte_bpe, hnsw, lattice, mtree, packing, piece_bpe, secret_scan, setjoin, spelling, suffixes, toxicity, warc, whitening
-from atril.llm.common import held_out, table
+from atril.llm.common import held_out, hold_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +62,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hold_batches(spark)
     return setjoin.jaccard_classes(table(spark, sf_dir, "documents"))
 
 

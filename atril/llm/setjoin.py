@@ -207,7 +207,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     """A bitmap of the tokens most frequent among one document in `ORDER_SHARE`; few others share their bits."""
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
-        return {"token": np.concatenate([shingles(t) for t in batch["text"]] or [np.empty(0, np.int64)]).tolist()}
+        return {"token": pa.array(np.concatenate([shingles(t) for t in batch["text"]] or [np.empty(0, np.int64)]))}
 
     part = corpus_text(docs).select("text").distinct().where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0)
     counted = arrow_map(part, rows, "token long").groupBy("token").count().where("count >= 4")

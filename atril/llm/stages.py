@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atril.llm import packing, secret_scan, setjoin, suffixes, toxicity
-from atril.llm.common import materialise, put_back, set_aside
+from atril.llm.common import hold_batches, materialise, put_back, set_aside
 from atril.llm.queries import toxic_lexicon
 
 #: Columns the toxicity score adds.
@@ -20,6 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, which have no hits, stay; each of several equal rows is judged alike; an empty table stays
     empty; all columns are returned as they are, also those named like the score's own.
     """
+    hold_batches(spark)
     aside, before = set_aside(docs, RESULT)
     return put_back(toxicity.score(aside, toxic_lexicon(spark, sf_dir, docs)).where("predicted = 0"), before, RESULT)
 
@@ -30,6 +31,7 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null doc_id stands only for a class without others; texts without words are in no class and all stay.
     """
+    hold_batches(spark)
     own = "_" * (1 + max(map(len, docs.columns)))  # no column has this name
     stand_in = materialise(setjoin.stand_ins(docs).withColumnRenamed("row", own), "stand-ins")
     wordless = F.length(F.trim(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     "))) == 0
@@ -45,6 +47,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table stays empty; `n_chars`, where there is one, follows a changed text; other columns are returned as
     they are, also those named like the operator's own.
     """
+    hold_batches(spark)
     aside, before = set_aside(docs, suffixes.ADDED)
     cut = suffixes.cut_repeats(aside, characters=True)
     changed = F.col("n_removed") > 0
@@ -61,10 +64,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts stay as they are; equal rows are masked alike; an empty table stays empty; `n_chars`
     follows the text, and other columns are returned as they are.
     """
+    hold_batches(spark)
     return secret_scan.mask(docs, secret_scan.train(docs)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 ids, as operator 3 packs them (see there for nulls, empty texts
     and repeated rows); other columns are ignored."""
+    hold_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

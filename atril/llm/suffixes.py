@@ -366,9 +366,13 @@ def cut_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
                 names=[*names, *out],
             )
 
-    kind = masks.schema["found"].dataType
-    direct = marked.where(f"NOT {maybe}").withColumn(found, F.lit(None).cast(kind))
+    # Texts without a repeat stay as they are, by expressions: a second Python step would double the workers of a task.
+    nothing = F.lit(0).cast("long")
+    direct = marked.where(f"NOT {maybe}").select(
+        *(F.col(f"`{c}`") for c in names), F.octet_length(text).cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"),
+        F.col(text).cast("binary").alias("kept"),
+    )
     joined = marked.where(maybe).join(masks.select(F.col("key").alias(key), F.col("found").alias(found)), key, "left")
     schema = extended(plain, "n_bytes long, n_removed long, n_spans long, kept binary")
     columns = [*(F.col(f"`{c}`") for c in names), text, found]
-    return direct.select(columns).mapInArrow(cut, schema).unionByName(joined.select(columns).mapInArrow(cut, schema))
+    return direct.unionByName(joined.select(columns).mapInArrow(cut, schema))

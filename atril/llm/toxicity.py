@@ -23,6 +23,8 @@ from atril.llm.common import arrow_map, corpus_text, materialise
 #: Bound of the labelled rows the lexicon is fitted on (those with the smallest hashes).
 FIT_ROWS = 30_000
 PREFIXES = range(3, 9)
+#: Texts whose entries are counted together: a text has some hundreds, and they are held as Python strings.
+COUNTED = 256
 #: An entry needs so many documents of label 1 that as many drawn at random are all toxic once in 1 / CHANCE, and this share of label 1.
 CHANCE, MIN_SHARE = 1e-5, 0.5
 #: Words added to every length, so that one hit in a few words is not everything.
@@ -174,7 +176,7 @@ def fit(labelled: DataFrame, exceptions: tuple[str, ...] = (), bound: int = FIT_
         keys = list(bad | good)
         return {"entry": keys, "bad": [bad[k] for k in keys], "good": [good[k] for k in keys]}
 
-    counted = arrow_map(rows.select("text", "toxic"), count, "entry string, bad long, good long")
+    counted = arrow_map(rows.select("text", "toxic"), count, "entry string, bad long, good long", step=COUNTED)
     kept = counted.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(
         (F.col("bad") >= math.log(CHANCE) / math.log(bad / n)) & (F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good")))
     ).collect()

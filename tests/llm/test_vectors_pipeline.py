@@ -1,6 +1,8 @@
 """Vector operators, the registered queries and the pipeline."""
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from atril.llm import hnsw, mtree, queries
@@ -185,3 +187,39 @@ def test_labelled_sample(spark):
     whole = toxicity.labelled_texts(docs, labels)
     assert {(r.doc_id, r.text, r.toxic) for r in whole.collect()} == {(i, f"t{i}", i % 2) for i in range(2000)}
     assert 300 < toxicity.labelled_texts(docs, labels, 500).count() < 700
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Whole texts reach Python in batches of some megabytes, whatever their number of rows; a bound of the session's own stays."""
+    from atril.llm import common
+
+    def sizes(docs):
+        return [r.n for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound, None)
+    try:
+        spark.conf.unset(bound)
+        docs = spark.range(0, 6000, 1, 1).selectExpr("repeat(cast(id as string), 1000) AS text")
+        common.hold_batches(spark)
+        assert 2 < len(found := sizes(docs)) and max(found) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(bound, 1 << 20)
+        common.hold_batches(spark)
+        assert int(spark.conf.get(bound)) == 1 << 20
+    finally:
+        spark.conf.unset(bound) if before is None else spark.conf.set(bound, before)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_worker_a_task(spark):
+    """Texts without a repeat pass one Python step, and the patterns of the packing reach Spark without Python workers."""
+    from atril.llm import packing, suffixes
+
+    docs = spark.createDataFrame([(i, f"{i} " + "same words again " * 20) for i in range(50)], "doc_id long, text string")
+    # Only texts that may hold a repeat go through the step that cuts.
+    assert plan(suffixes.cut_repeats(docs)).count("MapInArrow cut") == 1
+    packed = packing.pack(spark.read.schema(docs.schema).parquet(f"{SF}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    assert "ExistingRDD" not in plan(packed)
