@@ -2,6 +2,7 @@
 
 * `query_blocks` - the only route to an explicit broadcast: the small side is cut
   into hashed blocks whose row and byte size is measured first.
+* `maybe_in` - leaves rows without a partner out before a shuffle, by a filter of bits of bounded size.
 * `carry_last`, `preceding_rows`, `trailing_sum` - window functions for keys that
   may hold a large share of all rows.  A plain window puts a whole key in one
   task; these cut every key into position ranges ("pieces"), compute inside the
@@ -59,6 +60,53 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+#: Words of 64 bits in a filter of `maybe_in`, at most.
+SLOTS = 2**20
+
+
+def _marked(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """`df` with `_maybe`: whether `column` may be among `values`; where it is, never false."""
+    bits = [f"shiftleft(1L, int(shiftrightunsigned(_hash, {at}) & 63))" for at in (20, 26, 32)]
+    slot, mask = F.expr(f"_hash & {SLOTS - 1}L"), F.expr(" | ".join(bits))
+    held = values.select(F.xxhash64(column).alias("_hash")).select(slot.alias("_slot"), mask.alias("_mask"))
+    held = F.broadcast(held.groupBy("_slot").agg(F.bit_or("_mask").alias("_held")))
+    hashed = df.withColumn("_hash", F.xxhash64(column)).withColumns({"_slot": slot, "_mask": mask})
+    return hashed.join(held, "_slot", "left").withColumn("_maybe", F.expr("coalesce(_held & _mask = _mask, false)"))
+
+
+def maybe_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows of `df` whose `column` may be among `values`; few others, and none is lost.
+
+    A value sets three bits in one of SLOTS words.  Only words with a bit are sent to the tasks: never more than SLOTS, and no
+    more than there are values.  Fuller words let more rows through.
+    """
+    return _marked(df, column, values).where("_maybe").select(*df.columns)
+
+
+def surely_not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The other rows of `df`: their `column` is not among `values`."""
+    return _marked(df, column, values).where("NOT _maybe").select(*df.columns)
+
+
+def sketch(values: Column, name: str = "sketch") -> list[Column]:
+    """256 bits of an array of numbers, one for each value, as four columns."""
+
+    def word(i: int) -> Column:
+        def bit(v: Column) -> Column:
+            h = F.xxhash64(v)
+            at = F.shiftright(h, 2).bitwiseAND(63).cast("int")
+            return F.when(h.bitwiseAND(3) == i, F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
+
+        return F.aggregate(values, F.lit(0).cast("long"), lambda held, v: held.bitwiseOR(bit(v)))
+
+    return [word(i).alias(f"{name}_{i}") for i in range(4)]
+
+
+def may_hold(whole: str, part: str) -> Column:
+    """Whether the values behind sketch `part` may all be among those behind `whole`."""
+    return F.expr(" AND ".join(f"{whole}_{i} & {part}_{i} = {part}_{i}" for i in range(4)))
+
+
 def _pieces(df: DataFrame, keys: list[str], position: Column, span: int) -> DataFrame:
     cut = df.withColumn("_pos", position.cast("long"))
     return cut.withColumn("_piece", F.floor(F.col("_pos") / F.lit(span))).repartition(*keys, "_piece")

@@ -182,6 +182,21 @@ def test_copies_are_matched_once(spark):
     assert top == [(0, 1, 0), (0, 2, 3), (0, 3, 6), (1, 1, 0), (1, 2, 9), (1, 3, 12)]
 
 
+def test_words_nobody_asks_for_stay_out(spark):
+    """The filter loses no value and lets few others through; what it lets through is no matter for the marks."""
+    from atril.operators import scale
+
+    words = spark.range(20_000).selectExpr("id", "concat('w', id) AS word").withColumn("word", F.when(F.col("id") != 7, F.col("word")))
+    asked = words.where("id % 40 = 0 OR id = 7").select("word")
+    kept = {r.id for r in scale.maybe_in(words, "word", asked).collect()}
+    assert kept >= {i for i in range(20_000) if i % 40 == 0 or i == 7} and len(kept) < 700
+    assert {r.id for r in scale.surely_not_in(words, "word", asked).collect()} == set(range(20_000)) - kept
+    terms = spark.createDataFrame([("azul", 1), ("rojo", 2), ("verde", 3)], "lexeme string, term long")
+    c = spark.createDataFrame([(1, "rojo gris azul " + "x" * 30_000 + " Rojo", [1.0]), (2, "gris", [1.0]), (3, "azul", None)],
+                              "chunk_id int, content string, embedding array<float>")
+    assert [(r.chunk_id, [tuple(m) for m in r.marks]) for r in R.question_marks(terms, c, "simple").collect()] == [(1, [(0, 2), (2, 1), (4, 2)])]
+
+
 def test_keyword_hits_are_cut_before_exclusion(spark):
     kw = spark.createDataFrame([(1, i, i) for i in range(1, 4)], "query_id int, chunk_id int, rn int")
     vec = spark.createDataFrame([(1, 2, 0.9, 1)], "query_id int, chunk_id int, score double, rn int")
