@@ -197,6 +197,25 @@ def test_words_nobody_asks_for_stay_out(spark):
     assert [(r.chunk_id, [tuple(m) for m in r.marks]) for r in R.question_marks(terms, c, "simple").collect()] == [(1, [(0, 2), (2, 1), (4, 2)])]
 
 
+@pytest.mark.parametrize("k", [None, 3])
+def test_texts_of_many_copies_and_marks(spark, monkeypatch, k):
+    """Copies beyond a class and marks beyond a row change no result; the chunks that ride with a hit are bounded."""
+    monkeypatch.setattr(R.S, "MARK_ROWS", 4)
+    monkeypatch.setattr(R.text_classes, "__defaults__", (10,))
+    texts = [(i, "rojo azul " * (9 if i % 2 else 1) + "verde") for i in range(200)]
+    q = spark.createDataFrame([(1, "azul rojo"), (2, "verde"), (3, "verde gris")], "query_id int, query_text string")
+    c = spark.createDataFrame([(i, t, [1.0]) for i, t in texts], "chunk_id int, content string, embedding array<float>")
+    hits, _, classes = R.distinct_matches(q, c, "simple", 5, k)
+    rows = hits.collect()
+    assert max(len(r.chunks) for r in rows) < (40 if k is None else 4) and classes.count() == len(rows) / 2 and len(rows) >= 4
+    if k is None:
+        got = {(r.query_id, r.chunk_id): r.rank_score for r in R.text_match(q, c, "simple", span=5).collect()}
+        assert got == {(1, i): pytest.approx(1.7 if i % 2 else 0.1) for i in range(200)} | {(2, i): pytest.approx(0.1) for i in range(200)}
+    else:
+        got = sorted((r.query_id, r.rn, r.chunk_id) for r in R.keyword_topk(q, c, k, "simple", span=5).collect())
+        assert got == [(1, 1, 1), (1, 2, 3), (1, 3, 5), (2, 1, 0), (2, 2, 1), (2, 3, 2)]
+
+
 def test_keyword_hits_are_cut_before_exclusion(spark):
     kw = spark.createDataFrame([(1, i, i) for i in range(1, 4)], "query_id int, chunk_id int, rn int")
     vec = spark.createDataFrame([(1, 2, 0.9, 1)], "query_id int, chunk_id int, score double, rn int")
