@@ -130,6 +130,21 @@ def test_files_are_written_into_few_folders(spark):
     assert got == {i: f"línea {i}\nfin\n" for i in range(600) if i != 7} | {601: "\n"}
 
 
+def test_files_are_listed_by_tasks(spark):
+    """The files of Spark's own reader, at any depth and under odd names, without a list of them on the driver."""
+    d = Path(tempfile.mkdtemp()) / "a b%20ñ"
+    for name in ("x.txt", "y.md", ".h.txt", "_h.txt", "_k=1.txt", "a/b/c/d/deep.txt", "a/_no/x.txt", "p=1/_q=2/x.md", "s/ü x%.txt", "empty.txt"):
+        (d / name).parent.mkdir(parents=True, exist_ok=True)
+        (d / name).write_bytes(b"" if name == "empty.txt" else name.encode())
+    (d / "no").mkdir()
+    for pattern in (None, "*.{txt,md}", "?.md", "[xz].*"):
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern or "*").load(str(d))
+        found = files.scan_files(spark, f"file://{d}" if pattern else str(d), pattern)
+        assert found.inputFiles() == []
+        assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in own.select("path", "length", "content").collect())
+    assert files.scan_files(spark, f"{d}/*").count() == 6 and files.scan_files(spark, f"{d}/y.md").first().length == 4
+
+
 def test_keys_of_a_stream_share_groups(spark, monkeypatch):
     """The number of states and Python calls is that of the groups, not of the keys; results are those of every key alone."""
     monkeypatch.setattr(J, "STATE_GROUPS", 3)
