@@ -145,6 +145,20 @@ def test_files_are_listed_by_tasks(spark):
     assert files.scan_files(spark, f"{d}/*").count() == 6 and files.scan_files(spark, f"{d}/y.md").first().length == 4
 
 
+def test_csv_files_of_many_folders(spark):
+    """A row for every file of a tree, dealt out by tasks; a file over the limit has no text."""
+    d = Path(tempfile.mkdtemp())
+    for i in range(300):
+        (d / str(i % 7) / "in" / str(i % 3)).mkdir(parents=True, exist_ok=True)
+        (d / str(i % 7) / "in" / str(i % 3) / f"{i}.csv").write_text(f"a, {i},\n,,\n")
+    with open(d / "large.csv", "wb") as f:
+        f.truncate(files.S.MAX_UPLOAD_BYTES + 1)
+    df = files.scan_csv_rows(spark, str(d))
+    assert df.inputFiles() == []
+    got = {Path(r.path).stem: r.text for r in df.collect()}
+    assert got.pop("large") is None and got == {str(i): f"a | {i}" for i in range(300)}
+
+
 def test_keys_of_a_stream_share_groups(spark, monkeypatch):
     """The number of states and Python calls is that of the groups, not of the keys; results are those of every key alone."""
     monkeypatch.setattr(J, "STATE_GROUPS", 3)
